@@ -3,30 +3,23 @@
 from __future__ import annotations
 
 import hashlib
-import re
 import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyarrow import fs as arrow_fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .formats import DIGEST_BITS
+from .stores import Stores
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_BYTES = 8 * 1024 * 1024
 
-# Hadoop's names for stores that Arrow knows by another one.
-ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
-
-# Hadoop writes paths unescaped, so a URL parser would cut names at `?` or `#`.
-_PATH = re.compile(r"(?s)(?:([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?)?(/.*)")
-
 
 def sha256(content: Column | str) -> Column:
     """Lowercase hex SHA-256; text counts as its UTF-8 bytes, NULL stays NULL."""
@@ -38,23 +31,9 @@ def digest(df: DataFrame, content_col: str) -> DataFrame:
     return df.withColumn("digest", sha256(content_col))
 
 
-def _open_stream(path: str, stores: dict):
-    scheme, authority, name = _PATH.fullmatch(path).groups()
-    store = (scheme or "file", authority or "")
-    if store not in stores:
-        if store[0] == "file":
-            stores[store] = (arrow_fs.LocalFileSystem(), "")
-        else:
-            known_as = ARROW_SCHEMES.get(store[0], store[0])
-            stores[store] = arrow_fs.FileSystem.from_uri(f"{known_as}://{store[1]}/")
-    store_fs, root = stores[store]
-    # Arrow would otherwise unpack a name such as `a.gz` while reading it.
-    return store_fs.open_input_stream(root.rstrip("/") + name, compression=None)
-
-
-def _digest_file(path: str, stores: dict) -> str:
+def _digest_file(path: str, stores: Stores) -> str:
     running = hashlib.sha256()
-    with _open_stream(path, stores) as stream:
+    with stores.open(path) as stream:
         while chunk := stream.read(CHUNK_BYTES):
             running.update(chunk)
     return running.hexdigest()
@@ -68,6 +47,6 @@ def digest_of_path(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     work, but never more than a chunk of its memory. A scalar function rather
     than `mapInPandas`, so that Catalyst drops it where the digest is not used.
     """
-    stores: dict = {}
+    stores = Stores()
     for paths in batches:
         yield paths.map(lambda path: _digest_file(path, stores), na_action="ignore")

@@ -92,7 +92,7 @@ DOCUMENT_DIGEST_SQL = "SELECT doc_id, sha256(text) AS digest FROM documents"
 
 def file_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables' own files as artifacts; SQL over the tables cannot see them."""
-    return digest_files(spark, sf_dir, recursive=True)
+    return digest_files(spark, sf_dir)
 
 
 # --- integrity audit ---------------------------------------------------------

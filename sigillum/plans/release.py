@@ -13,12 +13,10 @@ def audit_files(
     spark: SparkSession,
     manifest_path: str | list[str],
     artifacts_path: str | list[str],
-    *,
-    recursive: bool = False,
 ) -> DataFrame:
     """`(file_name, expected, actual, status)` of files against manifest files."""
     return audit(
         read_manifest(spark, manifest_path),
-        digest_files(spark, artifacts_path, recursive=recursive),
+        digest_files(spark, artifacts_path),
         "file_name",
     )

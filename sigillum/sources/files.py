@@ -2,42 +2,114 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digests import digest_of_path, sha256
+from ..functions.stores import Stores, is_data
+
+# Sent with the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
+_WILDCARDS = "*?[{"
+_FOUND = "path string, is_folder boolean"
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """`path` with the file system that Spark would look for it in."""
+    if any(wildcard in path for wildcard in _WILDCARDS):
+        raise ValueError(f"name a folder or a file, not a pattern: {path}")
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.makeQualified(hadoop_path).toString()
+
+
+def _found(rows: list[tuple[str, bool]]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["path", "is_folder"])
+
+
+def _first_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Empty files directly under each root, and the folders to visit."""
+    stores = Stores()
+    for batch in batches:
+        for root in batch["path"]:
+            yield _found(
+                [
+                    (path, is_folder)
+                    for path, is_folder, length in stores.children(root)
+                    if (is_folder or length == 0) and is_data(path)
+                ]
+            )
+
+
+def _deeper_levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Empty files, those found so far and all those below the folders."""
+    stores = Stores()
+    for batch in batches:
+        yield batch[~batch["is_folder"]]
+        folders = list(batch.loc[batch["is_folder"], "path"])
+        while folders:
+            empty = []
+            for path, is_folder, length in stores.children(folders.pop()):
+                if not is_data(path):
+                    continue
+                if is_folder:
+                    folders.append(path)
+                elif length == 0:
+                    empty.append((path, False))
+            yield _found(empty)
+
+
+def _empty_files(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Paths of empty files, which Spark's file sources leave out of every scan.
+
+    Each folder of the first level is walked by one task, a folder at a time.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+    return (
+        spark.createDataFrame([(root,) for root in roots], "path string")
+        .mapInPandas(_first_level, _FOUND)
+        .repartition(tasks)
+        .mapInPandas(_deeper_levels, _FOUND)
+        .select("path")
+    )
 
 
 def digest_files(
     spark: SparkSession,
     path: str | list[str],
     *,
-    recursive: bool = False,
     whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> DataFrame:
-    """`(file_name, length, digest)` of every file under `path`, of any size.
+    """`(file_name, length, digest)` of every file in and below `path`, of any size.
 
     Files up to `whole_file_bytes` are read and digested in the JVM, packed into
     tasks by size. Larger ones would each be one huge row, so only their paths
     become rows and a task per file streams the bytes. The length test is pushed
     into the scan, which skips the other branch's files without opening them.
+
+    As everywhere in Spark, names starting with `_` or `.` are not data.
     """
-    # Taken from `path`: `_metadata.file_name` is percent-escaped.
-    file_name = F.substring_index("path", "/", -1).alias("file_name")
+    roots = [_qualified(spark, root) for root in ([path] if isinstance(path, str) else path)]
     row_limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
     limit = min(whole_file_bytes, row_limit)
+    # Taken from `path`: `_metadata.file_name` is percent-escaped.
+    file_name = F.substring_index("path", "/", -1).alias("file_name")
 
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(path)
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
     small = files.where(F.col("length") <= limit).select(
         file_name, "length", sha256("content").alias("digest")
     )
     large = files.where(F.col("length") > limit).select(
         file_name, "length", digest_of_path("path").alias("digest")
     )
-    return small.unionByName(large)
+    empty = _empty_files(spark, roots).select(
+        file_name, F.lit(0).cast("long").alias("length"), sha256(F.lit("")).alias("digest")
+    )
+    return small.unionByName(large).unionByName(empty)

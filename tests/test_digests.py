@@ -1,0 +1,128 @@
+import gzip
+import hashlib
+
+import pytest
+
+from sigillum import digest, digest_files
+from sigillum.functions.digests import CHUNK_BYTES
+
+EMPTY = hashlib.sha256(b"").hexdigest()
+
+
+def sha(content):
+    return hashlib.sha256(content).hexdigest()
+
+
+def digests(df):
+    return {row.file_name: (row.length, row.digest) for row in df.collect()}
+
+
+def expected(files):
+    return {name: (len(content), sha(content)) for name, content in files.items()}
+
+
+def write(folder, files):
+    folder.mkdir(parents=True, exist_ok=True)
+    for name, content in files.items():
+        (folder / name).write_bytes(content)
+    return str(folder)
+
+
+def test_text_is_digested_as_utf8(spark):
+    texts = ["", "abc", "山徑地圖", "é\u0000"]
+    df = spark.createDataFrame([(text,) for text in texts], "text string")
+    rows = digest(df, "text").collect()
+    assert [row.digest for row in rows] == [sha(text.encode()) for text in texts]
+    assert digest(df, "text").columns == ["text", "digest"]
+
+
+def test_bytes_and_null(spark):
+    contents = [b"", b"\xff\x00\xfe", None]
+    df = spark.createDataFrame([(content,) for content in contents], "content binary")
+    rows = digest(df, "content").collect()
+    assert [row.digest for row in rows] == [EMPTY, sha(b"\xff\x00\xfe"), None]
+
+
+NAMES = {
+    "plain.zip": b"abc",
+    "Bô chèng.zip": b"accents and space",
+    "100%25 #1?.zip": b"what a URL would cut or unescape",
+    "empty": b"",
+    "packed.gz": gzip.compress(b"digest the packed bytes, not these"),
+    "text.txt": b"line\nline\r\n",
+}
+
+
+@pytest.mark.parametrize("whole_file_bytes", [-1, 3, 1 << 26])
+def test_files_of_any_name_by_either_way(spark, tmp_path, whole_file_bytes):
+    """-1 streams every file, 3 divides them, the last reads all of them whole."""
+    path = write(tmp_path / "artifacts", NAMES)
+    result = digest_files(spark, path, whole_file_bytes=whole_file_bytes)
+    assert result.columns == ["file_name", "length", "digest"]
+    assert digests(result) == expected(NAMES)
+
+
+def test_file_of_several_chunks(spark, tmp_path):
+    files = {"large.bin": bytes(range(256)) * (CHUNK_BYTES // 256 * 2) + b"end"}
+    path = write(tmp_path / "artifacts", files)
+    assert digests(digest_files(spark, path, whole_file_bytes=1000)) == expected(files)
+
+
+def test_file_over_sparks_own_limit_is_streamed(spark, tmp_path):
+    files = {"a": b"123", "b": b"12345678"}
+    path = write(tmp_path / "artifacts", files)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "5")
+    try:
+        result = digests(digest_files(spark, path))
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert result == expected(files)
+
+
+def test_subfolders_of_any_depth(spark, tmp_path):
+    tree = {
+        ".": {"top": b"1", "empty top": b""},
+        "key=value": {"deep": b"2", "Bô 空": b""},
+        "key=value/b": {"deeper": b"3", "empty deeper": b""},
+        "_key=value": {"partition": b"4", "empty partition": b""},
+        "none": {},
+    }
+    for folder, files in tree.items():
+        path = write(tmp_path / "artifacts" / folder, files)
+    for streamed in (-1, 1 << 20):
+        result = digests(digest_files(spark, str(tmp_path / "artifacts"), whole_file_bytes=streamed))
+        assert result == expected({k: v for files in tree.values() for k, v in files.items()})
+
+
+def test_names_that_spark_takes_for_metadata_are_left_out_empty_or_not(spark, tmp_path):
+    path = write(tmp_path / "a", {"_SUCCESS": b"", ".x.crc": b"crc", ".y": b"", "z._COPYING_": b"", "x": b"1"})
+    write(tmp_path / "a" / "_temporary", {"part": b"", "other": b"2"})
+    assert digests(digest_files(spark, path)) == expected({"x": b"1"})
+
+
+def test_several_roots_and_single_files(spark, tmp_path):
+    one = write(tmp_path / "one", {"x": b"3", "e": b""})
+    two = write(tmp_path / "two", {"x": b"4", "e": b""})
+    rows = digest_files(spark, [one, f"file:{two}/x", f"{two}/e"]).collect()
+    assert sorted((row.file_name, row.digest) for row in rows) == sorted(
+        [("x", sha(b"3")), ("x", sha(b"4")), ("e", EMPTY), ("e", EMPTY)]
+    )
+
+
+def test_empty_folder(spark, tmp_path):
+    assert digests(digest_files(spark, write(tmp_path / "none", {}))) == {}
+
+
+def test_patterns_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="not a pattern"):
+        digest_files(spark, f"{tmp_path}/*.zip")
+
+
+def test_registered_query_digests_the_table_files(spark):
+    from pathlib import Path
+
+    import __spark_entry__ as contract
+
+    sf_dir = Path("/root/testdata/sf0.001")
+    result = digests(contract.queries()["file_digest"](spark, str(sf_dir)))
+    assert result == expected({p.name: p.read_bytes() for p in sf_dir.glob("*.parquet")})

@@ -1,0 +1,123 @@
+import hashlib
+import re
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from sigillum import parse_manifest, read_manifest
+
+A = hashlib.sha256(b"a").hexdigest()
+B = hashlib.sha256(b"b").hexdigest()
+
+
+def scan(spark, tmp_path, text):
+    path = tmp_path / "manifest.txt"
+    path.write_bytes(text.encode())
+    return [tuple(row) for row in read_manifest(spark, str(path)).collect()]
+
+
+def entry(digest, name):
+    return (digest, name, f"{digest}  {name}", False)
+
+
+def malformed(line):
+    return (None, None, line, True)
+
+
+def test_columns(spark, tmp_path):
+    (tmp_path / "m").write_text("")
+    assert read_manifest(spark, str(tmp_path / "m")).columns == [
+        "digest", "file_name", "line", "is_malformed",
+    ]
+
+
+def test_entries(spark, tmp_path):
+    text = f"{A}  a.zip\n{B}  Bô chèng.zip\n{A}  two  spaces.zip\n{B}   leading space\n"
+    assert scan(spark, tmp_path, text) == [
+        entry(A, "a.zip"),
+        entry(B, "Bô chèng.zip"),
+        entry(A, "two  spaces.zip"),
+        entry(B, " leading space"),
+    ]
+
+
+def test_last_line_may_lack_its_end_and_windows_line_ends_are_ends(spark, tmp_path):
+    assert scan(spark, tmp_path, f"{A}  a\r\n{B}  b") == [entry(A, "a"), entry(B, "b")]
+
+
+def test_blank_lines_are_skipped(spark, tmp_path):
+    assert scan(spark, tmp_path, f"\n   \n\t\n{A}  a\n\n") == [entry(A, "a")]
+
+
+def test_any_other_form_is_kept_as_malformed(spark, tmp_path):
+    lines = [
+        "junk",
+        A,
+        f"{A}  ",
+        f"{A} a",
+        f"{A} *a",
+        f"{A}\ta",
+        f" {A}  a",
+        f"{A.upper()}  a",
+        f"{A[:-1]}  a",
+        f"{A}0  a",
+        f"{A[:-1]}g  a",
+        f"﻿{A}  a",
+    ]
+    assert scan(spark, tmp_path, "\n".join(lines)) == [malformed(line) for line in lines]
+
+
+def test_line_separators_that_do_not_end_a_line_belong_to_the_name(spark, tmp_path):
+    names = ["a b", "a ", " ", "a\x85", "a\x0b"]
+    assert scan(spark, tmp_path, "".join(f"{A}  {name}\n" for name in names)) == [
+        entry(A, name) for name in names
+    ]
+
+
+def test_several_files(spark, tmp_path):
+    (tmp_path / "one").write_text(f"{A}  a\n")
+    (tmp_path / "two").write_text(f"{B}  b\n")
+    names = {row.file_name for row in read_manifest(spark, str(tmp_path)).collect()}
+    assert names == {"a", "b"}
+
+
+def test_long_file_is_split_without_losing_or_cutting_lines(spark, tmp_path):
+    n = 5000
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)]
+    (tmp_path / "m").write_text("".join(f"{d}  file {i}\n" for i, d in enumerate(digests)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        manifest = read_manifest(spark, str(tmp_path / "m"))
+        assert manifest.rdd.getNumPartitions() > 10
+        rows = manifest.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(row.digest, row.file_name) for row in rows} == {
+        (d, f"file {i}") for i, d in enumerate(digests)
+    }
+    assert len(rows) == n
+
+
+LINES = st.one_of(
+    st.text(max_size=80),
+    st.builds(
+        lambda digest, gap, name: digest + gap + name,
+        st.sampled_from([A, B, A.upper(), A[:-1], A + "0"]),
+        st.sampled_from(["  ", " ", "   ", " *", "\t"]),
+        st.text(max_size=6),
+    ),
+)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(LINES, max_size=40))
+def test_agrees_with_brute_force(spark, lines):
+    expected = []
+    for line in lines:
+        if not re.search(r"[^ \t\n\x0b\f\r]", line):
+            continue
+        match = re.fullmatch(r"([0-9a-f]{64})  (.+)", line, re.DOTALL)
+        expected.append((match[1], match[2], line, False) if match else malformed(line))
+    df = spark.createDataFrame([(line,) for line in lines], "value string")
+    assert [tuple(row) for row in parse_manifest(df).collect()] == expected
