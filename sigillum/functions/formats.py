@@ -9,9 +9,10 @@ SEPARATOR = "  "
 # trailing line separator such as U+2028, and `.` refuse one inside a name.
 ENTRY_PATTERN = r"(?s)^[0-9a-f]{64}  ."
 
-# A digest standing alone in text. The bounds are spelled out because Java's
-# `\b` counts non-ASCII letters as word characters, so that it would miss a
-# digest written directly after a Chinese or accented word.
-PUBLISHED_PATTERN = r"(?<![0-9A-Za-z_])([0-9a-f]{64})(?![0-9A-Za-z_])"
+# A digest standing alone in text. Java's `\b` counts non-ASCII letters as word
+# characters and would miss a digest written directly after a Chinese word, so
+# both bounds are spelled out. They follow the digits: tested at every character
+# instead, the left one made the scan of ordinary pages take 1.7 times as long.
+PUBLISHED_PATTERN = r"([0-9a-f]{64})(?![0-9A-Za-z_])(?<![0-9A-Za-z_][0-9a-f]{64})"
 
 NOT_BLANK_PATTERN = r"\S"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lookup import lookup
+from .keys import require_same_type
 
 OK = "OK"
 MISMATCH = "MISMATCH"
@@ -13,53 +13,116 @@ MISSING = "MISSING"
 UNLISTED = "UNLISTED"
 CONFLICT = "CONFLICT"
 
+# A key is hot with more rows than this and than this share of all rows, so
+# there are fewer than HOT_SHARE hot keys in a table of any size.
+HOT_ROWS = 1_000_000
+HOT_SHARE = 1000
+_BUCKETS = 4096
+
+_SLOT, _MATCH = "__slot", "__match"
+
 
 def _listed(manifest: DataFrame, key: str) -> DataFrame:
-    """One row per listed key, with the least digest and whether there are others.
+    """One row per listed key: its least digest, and whether there are others.
 
     Least and greatest digest are enough to see a conflict, so however often a
     name is listed, each map task sends one row for it.
     """
     return (
         manifest.where(F.col(key).isNotNull() & F.col("digest").isNotNull())
-        .groupBy(key)
+        .groupBy(F.xxhash64(key).alias(_SLOT), F.col(key).alias(_MATCH))
         .agg(F.min("digest").alias("expected"), F.max("digest").alias("greatest"))
-        .select(key, "expected", (F.col("expected") != F.col("greatest")).alias("is_conflict"))
+        .select(
+            _SLOT, _MATCH, "expected", (F.col("expected") != F.col("greatest")).alias("is_conflict")
+        )
+    )
+
+
+def _hot_keys(rows: DataFrame, key: str, hot_rows: int) -> DataFrame:
+    """Keys of `rows` that are hot, exactly. Reads the key column only.
+
+    Counting hash buckets first costs a few thousand rows per task instead of a
+    shuffle of all keys. Without a hot bucket, adaptive execution drops the rest.
+    """
+    keyed = rows.where(F.col(key).isNotNull()).select(
+        key, F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).alias("bucket")
+    )
+    all_buckets = Window.partitionBy(F.lit(0))
+    limit = F.greatest(F.lit(hot_rows), F.sum("n").over(all_buckets) / HOT_SHARE)
+    hot_buckets = (
+        keyed.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("limit", limit)
+        .where(F.col("n") > F.col("limit"))
+        .select("bucket", "limit")
+    )
+    return (
+        keyed.join(F.broadcast(hot_buckets), "bucket")
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias("n"), F.max("limit").alias("limit"))
+        .where(F.col("n") > F.col("limit"))
+        .select(key)
     )
 
 
-def audit(manifest: DataFrame, digests: DataFrame, key: str) -> DataFrame:
+def audit(
+    manifest: DataFrame, digests: DataFrame, key: str, *, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """`(key, expected, actual, status)`: every artifact, and every entry without one.
 
     Both inputs have `key` and `digest` columns. Malformed manifest lines have
     neither and are left to `is_malformed`. Several artifacts under one key are
     one row each. For a `CONFLICT`, `expected` is the least digest listed.
 
-    This is a full outer join written as its two halves, since Spark never
-    splits a hot key of a full outer join. The second half reads only the keys
-    of `digests`: Catalyst prunes the digest, so no content is read twice.
+    A full outer join with one shuffle per side, of digests and never of content.
+    Spark cannot split one key of a full outer join between tasks, so artifacts
+    under a hot key bring what the manifest lists for it along, from a broadcast
+    of those few keys, and go through the join unmatched, spread over its tasks.
+    So do artifacts without a key. Their entries are kept out of the join: a hot
+    key has artifacts, so it cannot be missing.
     """
-    listed = _listed(manifest, key)
-    artifacts = digests.select(key, F.col("digest").alias("actual"))
-
-    present = lookup(artifacts, listed, key).select(
+    require_same_type(manifest, digests, key)
+    hot = F.broadcast(_hot_keys(digests, key, hot_rows))
+    hot_listed = hot.join(
+        _listed(manifest.join(hot, key, "left_semi"), key).drop(_SLOT).withColumnRenamed(_MATCH, key),
         key,
-        "expected",
-        "actual",
+        "left",
+    ).select(
+        key,
+        F.lit(True).alias("is_hot"),
+        F.col("expected").alias("hot_expected"),
+        F.col("is_conflict").alias("hot_is_conflict"),
+    )
+
+    # The partition id stays the same when a task is run again.
+    spread = F.xxhash64(F.spark_partition_id(), "actual")
+    is_matched = F.col("is_hot").isNull() & F.col(key).isNotNull()
+    artifacts = (
+        digests.select(key, F.col("digest").alias("actual"))
+        .join(F.broadcast(hot_listed), key, "left")
+        .withColumn(_SLOT, F.when(is_matched, F.xxhash64(key)).otherwise(spread))
+        .withColumn(_MATCH, F.when(is_matched, F.col(key)))
+    )
+    listed = _listed(manifest.join(hot, key, "left_anti"), key)
+
+    expected = F.coalesce("hot_expected", "expected")
+    status = (
         F.when(F.col("expected").isNull(), UNLISTED)
         .when(F.col("is_conflict"), CONFLICT)
         .when(F.col("actual").isNull(), MISSING)
         .when(F.col("actual") == F.col("expected"), OK)
         .otherwise(MISMATCH)
-        .alias("status"),
     )
-    absent = listed.join(digests.select(key).distinct(), key, "left_anti").select(
-        key,
-        "expected",
-        F.lit(None).cast("string").alias("actual"),
-        F.when(F.col("is_conflict"), CONFLICT).otherwise(MISSING).alias("status"),
+    return (
+        artifacts.join(listed, [_SLOT, _MATCH], "full_outer")
+        .select(
+            F.coalesce(key, _MATCH).alias(key),
+            expected.alias("expected"),
+            "actual",
+            F.coalesce("hot_is_conflict", "is_conflict").alias("is_conflict"),
+        )
+        .select(key, "expected", "actual", status.alias("status"))
     )
-    return present.unionByName(absent)
 
 
 def audit_summary(audited: DataFrame) -> DataFrame:

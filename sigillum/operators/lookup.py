@@ -5,17 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_KEY_HASH = "__key_hash"
-
+from .keys import require_same_type
 
-def require_same_type(left: DataFrame, right: DataFrame, key: str) -> None:
-    """Hashes of equal numbers differ between types, so keys are not cast silently."""
-    left_type, right_type = left.schema[key].dataType, right.schema[key].dataType
-    if left_type != right_type:
-        raise TypeError(
-            f"key {key!r} is {left_type.simpleString()} on one side and "
-            f"{right_type.simpleString()} on the other; cast one of them"
-        )
+_KEY_HASH = "__key_hash"
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:

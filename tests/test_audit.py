@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from sigillum import audit, audit_files, audit_summary, parse_manifest
+from sigillum.operators.audit import HOT_ROWS
 
 A, B, C = (hashlib.sha256(text).hexdigest() for text in (b"a", b"b", b"c"))
 LEAST = min(A, B)
@@ -16,8 +17,11 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def run(spark, manifest, artifacts):
-    rows = audit(frame(spark, manifest), frame(spark, artifacts), "key").collect()
+def run(spark, manifest, artifacts, hot_rows=HOT_ROWS):
+    """With `hot_rows` of 1 or 0, repeated keys or all keys count as hot."""
+    audited = audit(frame(spark, manifest), frame(spark, artifacts), "key", hot_rows=hot_rows)
+    assert audited.columns == ["key", "expected", "actual", "status"]
+    rows = audited.collect()
     return Counter(tuple(row) for row in rows)
 
 
@@ -43,10 +47,11 @@ CASES = {
 }
 
 
+@pytest.mark.parametrize("hot_rows", [HOT_ROWS, 0])
 @pytest.mark.parametrize("case", CASES)
-def test_statuses(spark, case):
+def test_statuses(spark, case, hot_rows):
     manifest, artifacts, expected = CASES[case]
-    assert run(spark, manifest, artifacts) == Counter(expected)
+    assert run(spark, manifest, artifacts, hot_rows) == Counter(expected)
 
 
 def brute_force(manifest, artifacts):
@@ -83,19 +88,20 @@ ROWS = st.lists(
 )
 
 
-@pytest.mark.parametrize("threshold", ["-1", "10m"], ids=["sort-merge", "broadcast"])
-def test_agrees_with_brute_force(spark, threshold):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+@pytest.mark.parametrize("hot_rows", [HOT_ROWS, 1, 0])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_agrees_with_brute_force(spark, adaptive, hot_rows):
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
-    @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
     @given(ROWS, ROWS)
     def check(manifest, artifacts):
-        assert run(spark, manifest, artifacts) == brute_force(manifest, artifacts)
+        assert run(spark, manifest, artifacts, hot_rows) == brute_force(manifest, artifacts)
 
     try:
         check()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
 
 
 def test_summary(spark):
@@ -117,7 +123,7 @@ def test_malformed_lines_list_nothing(spark):
 def test_keys_of_different_types_are_refused(spark):
     numbers = spark.createDataFrame([(1, A)], "key int, digest string")
     longs = spark.createDataFrame([(1, A)], "key long, digest string")
-    with pytest.raises(TypeError, match="key 'key' is bigint on one side and int"):
+    with pytest.raises(TypeError, match="key 'key' is int on one side and bigint"):
         audit(numbers, longs, "key")
 
 

@@ -1,12 +1,14 @@
 """The plans that hold at scale: what is read, what is shuffled, what is split."""
 
 import re
+from collections import Counter
 from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
 
-from sigillum import audit, audit_files, audit_summary, crosscheck, digest, digest_files
+from sigillum import audit, audit_files, crosscheck, digest, digest_files
+from sigillum.operators.audit import _hot_keys
 
 PAGES = "/root/testdata/sf0.01/pages.parquet"
 
@@ -60,12 +62,14 @@ def text_digest(column):
     return F.sha2(F.col(column).cast("string"), 256)
 
 
-def test_hot_artifact_key_is_split_and_counted_whole(spark, tmp_path, large_tables):
-    n = 30000
+@pytest.mark.parametrize("hot_key", ["listed", "unlisted", "null"])
+def test_hot_artifact_key_is_spread_and_counted_whole(spark, tmp_path, large_tables, hot_key):
+    n, tasks = 30000, 12
+    value = {"listed": F.lit(0), "unlisted": F.lit(-1), "null": F.lit(None)}[hot_key]
     artifacts = stored(
         spark, tmp_path, "artifacts",
-        spark.range(0, n, 1, 8).select(
-            F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("key"),
+        spark.range(0, n, 1, tasks).select(
+            F.when(F.col("id") % 3 == 0, value).otherwise(F.col("id")).cast("long").alias("key"),
             text_digest("id").alias("digest"),
         ),
     )
@@ -73,14 +77,55 @@ def test_hot_artifact_key_is_split_and_counted_whole(spark, tmp_path, large_tabl
         spark, tmp_path, "manifest",
         spark.range(0, n + 5, 1, 8).select(F.col("id").alias("key"), text_digest("id").alias("digest")),
     )
-    summary = audit_summary(audit(manifest, artifacts, "key"))
+    audited = audit(manifest, artifacts, "key", hot_rows=1000)
+    by_task = audited.groupBy(F.spark_partition_id().alias("task"), "status").count().collect()
+    found = Counter()
+    for row in by_task:
+        found[row.status] += row["count"]
     hot = n // 3
-    assert {row.status: row.n for row in summary.collect()} == {
-        "OK": n - hot + 1,
-        "MISMATCH": hot - 1,
-        "MISSING": hot - 1 + 5,
-    }
-    assert "SortMergeJoin(skew=true)" in final_plan(summary)
+    assert found == {
+        "listed": {"OK": n - hot + 1, "MISMATCH": hot - 1, "MISSING": hot - 1 + 5},
+        "unlisted": {"OK": n - hot, "UNLISTED": hot, "MISSING": hot + 5},
+        "null": {"OK": n - hot, "UNLISTED": hot, "MISSING": hot + 5},
+    }[hot_key]
+    rows_of_task = Counter()
+    for row in by_task:
+        rows_of_task[row.task] += row["count"]
+    assert max(rows_of_task.values()) < 3 * sum(rows_of_task.values()) / 128
+
+
+def test_hot_copies_are_spread_by_the_task_that_read_them(spark, tmp_path, large_tables):
+    """Equal rows, so that nothing in them tells one from another."""
+    n, tasks = 40000, 40
+    copies = spark.range(0, n, 1, tasks).select(
+        F.lit("copy").alias("key"), F.sha2(F.lit("copy"), 256).alias("digest")
+    )
+    manifest = copies.limit(1)
+    audited = audit(manifest, copies, "key", hot_rows=1000)
+    by_task = audited.groupBy(F.spark_partition_id().alias("task"), "status").count().collect()
+    assert {row.status for row in by_task} == {"OK"}
+    assert sum(row["count"] for row in by_task) == n
+    assert max(row["count"] for row in by_task) <= n // 8
+
+
+def test_hot_keys_are_found_exactly(spark):
+    counts = {"a": 500, "b": 101, "c": 100, "d": 99, "e": 1, None: 1000}
+    rows = spark.createDataFrame([(key,) for key, n in counts.items() for _ in range(n)], "key string")
+    assert {row.key for row in _hot_keys(rows, "key", 100).collect()} == {"a", "b"}
+    assert not _hot_keys(rows, "key", 10_000).collect()
+
+
+def test_ordinary_keys_cost_one_shuffle_of_each_side(spark, tmp_path, large_tables):
+    """Without a hot key the finished plan is a plain full outer join."""
+    n = 20000
+    rows = spark.range(0, n, 1, 8).select(F.col("id").alias("key"), text_digest("id").alias("digest"))
+    artifacts, manifest = (stored(spark, tmp_path, name, rows) for name in ("artifacts", "manifest"))
+    audited = audit(manifest, artifacts, "key")
+    assert len(audited.collect()) == n
+    finished = final_plan(audited)
+    assert finished.count("Exchange hashpartitioning") == 2
+    assert finished.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in finished
+    assert finished.count("Scan parquet") == 2
 
 
 def test_hot_published_digest_is_split_and_counted_whole(spark, tmp_path, large_tables):
@@ -155,13 +200,13 @@ def test_audit_reads_content_once_and_never_shuffles_it(spark, large_tables):
     assert "IsNotNull(page_id)]" in text
 
 
-def test_small_manifest_is_broadcast_by_size(spark, tmp_path):
+def test_small_manifest_is_broadcast_by_size_in_the_cross_check(spark, tmp_path):
     pages = spark.read.parquet(PAGES)
-    artifacts = digest(pages, "html").select("page_id", "digest")
-    listed = stored(spark, tmp_path, "manifest", artifacts)
-    audited = audit(listed, artifacts, "page_id")
-    audited.collect()
-    assert "BroadcastHashJoin" in final_plan(audited)
+    hashed = digest(pages, "html").select("digest", F.col("url").alias("file_name"))
+    listed = stored(spark, tmp_path, "manifest", hashed)
+    checked = crosscheck(pages, listed, "page_id")
+    checked.collect()
+    assert "BroadcastHashJoin" in final_plan(checked)
 
 
 def test_digest_is_a_projection_over_the_columns_asked_for(spark):
