@@ -2,66 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .keys import require_same_type
 
-OK = "OK"
-MISMATCH = "MISMATCH"
-MISSING = "MISSING"
-UNLISTED = "UNLISTED"
-CONFLICT = "CONFLICT"
-
 # A key is hot with more rows than this and than this share of all rows, so
 # there are fewer than HOT_SHARE hot keys in a table of any size.
 HOT_ROWS = 1_000_000
 HOT_SHARE = 1000
 _BUCKETS = 4096
 
-_SLOT, _MATCH = "__slot", "__match"
+_STATUS = """
+CASE WHEN expected IS NULL THEN 'UNLISTED'
+     WHEN is_conflict THEN 'CONFLICT'
+     WHEN actual IS NULL THEN 'MISSING'
+     WHEN actual = expected THEN 'OK'
+     ELSE 'MISMATCH' END
+"""
 
 
-def _listed(manifest: DataFrame, key: str) -> DataFrame:
+def _listed(manifest: DataFrame) -> DataFrame:
     """One row per listed key: its least digest, and whether there are others.
 
     Least and greatest digest are enough to see a conflict, so however often a
     name is listed, each map task sends one row for it.
     """
     return (
-        manifest.where(F.col(key).isNotNull() & F.col("digest").isNotNull())
-        .groupBy(F.xxhash64(key).alias(_SLOT), F.col(key).alias(_MATCH))
+        manifest.groupBy(F.xxhash64("entry_key").alias("slot"), "entry_key")
         .agg(F.min("digest").alias("expected"), F.max("digest").alias("greatest"))
-        .select(
-            _SLOT, _MATCH, "expected", (F.col("expected") != F.col("greatest")).alias("is_conflict")
-        )
+        .selectExpr("slot", "entry_key", "expected", "expected <> greatest AS is_conflict")
     )
 
 
 def _hot_keys(rows: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """Keys of `rows` that are hot, exactly. Reads the key column only.
+    """`hot_key`: the keys of `rows` that are hot, exactly. Reads the key column only.
 
     Counting hash buckets first costs a few thousand rows per task instead of a
     shuffle of all keys. Without a hot bucket, adaptive execution drops the rest.
     """
-    keyed = rows.where(F.col(key).isNotNull()).select(
-        key, F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).alias("bucket")
-    )
-    all_buckets = Window.partitionBy(F.lit(0))
-    limit = F.greatest(F.lit(hot_rows), F.sum("n").over(all_buckets) / HOT_SHARE)
+    keyed = rows.select(
+        F.col(key).alias("hot_key"),
+        F.expr("pmod(xxhash64(hot_key), {})".format(_BUCKETS)).alias("bucket"),
+    ).where("hot_key IS NOT NULL")
     hot_buckets = (
         keyed.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("limit", limit)
-        .where(F.col("n") > F.col("limit"))
+        .agg(F.expr("count(*)").alias("n"))
+        .selectExpr(
+            "bucket",
+            "n",
+            f"greatest({hot_rows}, sum(n) OVER (PARTITION BY 0) / {HOT_SHARE}) AS limit",
+        )
+        .where("n > limit")
         .select("bucket", "limit")
     )
     return (
         keyed.join(F.broadcast(hot_buckets), "bucket")
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"), F.max("limit").alias("limit"))
-        .where(F.col("n") > F.col("limit"))
-        .select(key)
+        .groupBy("hot_key")
+        .agg(F.expr("count(*) > max(limit)").alias("is_hot"))
+        .where("is_hot")
+        .select("hot_key")
     )
 
 
@@ -82,46 +82,41 @@ def audit(
     key has artifacts, so it cannot be missing.
     """
     require_same_type(manifest, digests, key)
+    entries = manifest.select(F.col(key).alias("entry_key"), "digest").where(
+        "entry_key IS NOT NULL AND digest IS NOT NULL"
+    )
     hot = F.broadcast(_hot_keys(digests, key, hot_rows))
+    is_of_hot = F.expr("entry_key = hot_key")
     hot_listed = hot.join(
-        _listed(manifest.join(hot, key, "left_semi"), key).drop(_SLOT).withColumnRenamed(_MATCH, key),
-        key,
-        "left",
-    ).select(
-        key,
-        F.lit(True).alias("is_hot"),
-        F.col("expected").alias("hot_expected"),
-        F.col("is_conflict").alias("hot_is_conflict"),
-    )
+        _listed(entries.join(hot, is_of_hot, "left_semi")), is_of_hot, "left"
+    ).selectExpr("hot_key", "expected AS hot_expected", "is_conflict AS hot_is_conflict")
+    listed = _listed(entries.join(hot, is_of_hot, "left_anti"))
 
-    # The partition id stays the same when a task is run again.
+    # Rows go to slots by key or, unmatched, by their own digest and the id of
+    # their partition, which stays the same when a task is run again.
+    by_key = "hot_key IS NULL AND artifact_key IS NOT NULL"
     spread = F.xxhash64(F.spark_partition_id(), "actual")
-    is_matched = F.col("is_hot").isNull() & F.col(key).isNotNull()
     artifacts = (
-        digests.select(key, F.col("digest").alias("actual"))
-        .join(F.broadcast(hot_listed), key, "left")
-        .withColumn(_SLOT, F.when(is_matched, F.xxhash64(key)).otherwise(spread))
-        .withColumn(_MATCH, F.when(is_matched, F.col(key)))
-    )
-    listed = _listed(manifest.join(hot, key, "left_anti"), key)
-
-    expected = F.coalesce("hot_expected", "expected")
-    status = (
-        F.when(F.col("expected").isNull(), UNLISTED)
-        .when(F.col("is_conflict"), CONFLICT)
-        .when(F.col("actual").isNull(), MISSING)
-        .when(F.col("actual") == F.col("expected"), OK)
-        .otherwise(MISMATCH)
+        digests.select(F.col(key).alias("artifact_key"), F.col("digest").alias("actual"))
+        .join(F.broadcast(hot_listed), F.expr("artifact_key = hot_key"), "left")
+        .select(
+            F.when(F.expr(by_key), F.xxhash64("artifact_key")).otherwise(spread).alias("slot"),
+            F.expr(f"CASE WHEN {by_key} THEN artifact_key END").alias("entry_key"),
+            "artifact_key",
+            "actual",
+            "hot_expected",
+            "hot_is_conflict",
+        )
     )
     return (
-        artifacts.join(listed, [_SLOT, _MATCH], "full_outer")
+        artifacts.join(listed, ["slot", "entry_key"], "full_outer")
         .select(
-            F.coalesce(key, _MATCH).alias(key),
-            expected.alias("expected"),
+            F.coalesce("artifact_key", "entry_key").alias(key),
+            F.coalesce("hot_expected", "expected").alias("expected"),
             "actual",
             F.coalesce("hot_is_conflict", "is_conflict").alias("is_conflict"),
         )
-        .select(key, "expected", "actual", status.alias("status"))
+        .select(key, "expected", "actual", F.expr(_STATUS).alias("status"))
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digests import digest, sha256
@@ -19,12 +19,15 @@ from ..sources.files import digest_files
 from ..sources.manifest import parse_manifest
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Stated, so that no file is opened to find them out.
+SCHEMAS = {
+    "pages": "page_id bigint, url string, html string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
 
 
-def _every(n: int, remainder: int) -> Column:
-    return F.col("page_id") % n == remainder
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 # --- manifest scan -----------------------------------------------------------
@@ -33,18 +36,18 @@ def _every(n: int, remainder: int) -> Column:
 def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page listed once properly and once in each way that is not an entry."""
     hashed = digest(_table(spark, sf_dir, "pages"), "html").select("digest", "url")
-    lines = F.array(
-        F.concat("digest", F.lit("  "), "url"),
-        F.concat("digest", F.lit(" "), "url"),
-        F.concat("digest", F.lit(" *"), "url"),
-        F.concat(F.upper("digest"), F.lit("  "), "url"),
-        F.concat("digest", F.lit("  ")),
-        F.concat(F.lit(" "), "digest", F.lit("  "), "url"),
-        F.concat("digest", F.lit("0  "), "url"),
-        F.col("url"),
-        F.lit("  "),
-    )
-    return parse_manifest(hashed.select(F.explode(lines).alias("value")))
+    lines = """explode(array(
+        concat(digest, '  ', url),
+        concat(digest, ' ', url),
+        concat(digest, ' *', url),
+        concat(upper(digest), '  ', url),
+        concat(digest, '  '),
+        concat(' ', digest, '  ', url),
+        concat(digest, '0  ', url),
+        url,
+        '  '
+    ))"""
+    return parse_manifest(hashed.select(F.expr(lines).alias("value")))
 
 
 MANIFEST_SCAN_SQL = r"""
@@ -100,29 +103,24 @@ def file_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _seeded_manifest(pages: DataFrame) -> DataFrame:
     """Entries for `pages` with every kind of fault, from one scan of the table."""
-    content = F.when(_every(10, 3), F.concat("html", F.lit("x"))).otherwise(F.col("html"))
-    hashed = pages.select("page_id", "url", sha256(content).alias("digest"))
-
-    def entry(key: Column, value: Column) -> Column:
-        return F.struct(key.alias("page_id"), value.alias("digest"))
-
-    page_id, page_digest = F.col("page_id"), F.col("digest")
-    entries = F.array(
-        F.when(~_every(10, 7), entry(page_id, page_digest)),
-        F.when(_every(10, 5), entry(page_id + 1000000, page_digest)),
-        F.when(_every(50, 1), entry(page_id, sha256("url"))),
-        F.when(_every(50, 2), entry(page_id, page_digest)),
-    )
+    content = F.expr("CASE WHEN page_id % 10 = 3 THEN concat(html, 'x') ELSE html END")
+    entries = """explode(array(
+        CASE WHEN page_id % 10 <> 7 THEN struct(page_id, digest) END,
+        CASE WHEN page_id % 10 = 5 THEN struct(page_id + 1000000 AS page_id, digest) END,
+        CASE WHEN page_id % 50 = 1 THEN struct(page_id, sha2(url, 256) AS digest) END,
+        CASE WHEN page_id % 50 = 2 THEN struct(page_id, digest) END
+    ))"""
     return (
-        hashed.select(F.explode(entries).alias("entry"))
-        .where(F.col("entry").isNotNull())
+        pages.select("page_id", "url", sha256(content).alias("digest"))
+        .select(F.expr(entries).alias("entry"))
+        .where("entry IS NOT NULL")
         .select("entry.page_id", "entry.digest")
     )
 
 
 def integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    content = F.when(~_every(50, 4), F.col("html"))
+    content = F.expr("CASE WHEN page_id % 50 <> 4 THEN html END")
     artifacts = pages.select("page_id", sha256(content).alias("digest"))
     return audit(_seeded_manifest(pages), artifacts, "page_id")
 
@@ -192,19 +190,13 @@ def published_digest_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     hashed = digest(pages, "html")
 
-    def code(value: Column) -> Column:
-        return F.concat(F.lit("<code>"), value, F.lit("</code>"))
-
-    published = hashed.select(
-        "page_id",
-        F.concat(
-            "html",
-            code(F.col("digest")),
-            F.when(_every(4, 0), code(sha256("url"))).otherwise(F.lit("")),
-        ).alias("html"),
-    )
-    names = F.array(F.col("url"), F.concat(F.lit("page-"), F.col("page_id").cast("string")))
-    manifest = hashed.select("digest", F.explode(names).alias("file_name"))
+    inserted = """concat(
+        html, '<code>', digest, '</code>',
+        CASE WHEN page_id % 4 = 0 THEN concat('<code>', sha2(url, 256), '</code>') ELSE '' END
+    )"""
+    published = hashed.select("page_id", F.expr(inserted).alias("html"))
+    names = F.expr("explode(array(url, concat('page-', page_id)))")
+    manifest = hashed.select("digest", names.alias("file_name"))
     return crosscheck(published, manifest, "page_id")
 
 

@@ -111,7 +111,7 @@ def test_hot_copies_are_spread_by_the_task_that_read_them(spark, tmp_path, large
 def test_hot_keys_are_found_exactly(spark):
     counts = {"a": 500, "b": 101, "c": 100, "d": 99, "e": 1, None: 1000}
     rows = spark.createDataFrame([(key,) for key, n in counts.items() for _ in range(n)], "key string")
-    assert {row.key for row in _hot_keys(rows, "key", 100).collect()} == {"a", "b"}
+    assert {row.hot_key for row in _hot_keys(rows, "key", 100).collect()} == {"a", "b"}
     assert not _hot_keys(rows, "key", 10_000).collect()
 
 
