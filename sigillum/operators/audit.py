@@ -43,7 +43,7 @@ def _hot_keys(rows: DataFrame, key: str, hot_rows: int) -> DataFrame:
     """
     keyed = rows.select(
         F.col(key).alias("hot_key"),
-        F.expr("pmod(xxhash64(hot_key), {})".format(_BUCKETS)).alias("bucket"),
+        F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).alias("bucket"),
     ).where("hot_key IS NOT NULL")
     hot_buckets = (
         keyed.groupBy("bucket")
@@ -89,34 +89,32 @@ def audit(
     is_of_hot = F.expr("entry_key = hot_key")
     hot_listed = hot.join(
         _listed(entries.join(hot, is_of_hot, "left_semi")), is_of_hot, "left"
-    ).selectExpr("hot_key", "expected AS hot_expected", "is_conflict AS hot_is_conflict")
+    ).selectExpr("hot_key", "struct(hot_key AS key, expected, is_conflict) AS hot")
     listed = _listed(entries.join(hot, is_of_hot, "left_anti"))
 
     # Rows go to slots by key or, unmatched, by their own digest and the id of
     # their partition, which stays the same when a task is run again.
-    by_key = "hot_key IS NULL AND artifact_key IS NOT NULL"
+    by_key = F.expr("hot_key IS NULL AND artifact_key IS NOT NULL")
     spread = F.xxhash64(F.spark_partition_id(), "actual")
     artifacts = (
         digests.select(F.col(key).alias("artifact_key"), F.col("digest").alias("actual"))
         .join(F.broadcast(hot_listed), F.expr("artifact_key = hot_key"), "left")
         .select(
-            F.when(F.expr(by_key), F.xxhash64("artifact_key")).otherwise(spread).alias("slot"),
-            F.expr(f"CASE WHEN {by_key} THEN artifact_key END").alias("entry_key"),
-            "artifact_key",
+            F.when(by_key, F.xxhash64("artifact_key")).otherwise(spread).alias("slot"),
+            F.expr("CASE WHEN hot_key IS NULL THEN artifact_key END AS entry_key"),
             "actual",
-            "hot_expected",
-            "hot_is_conflict",
+            "hot",
         )
     )
     return (
         artifacts.join(listed, ["slot", "entry_key"], "full_outer")
-        .select(
-            F.coalesce("artifact_key", "entry_key").alias(key),
-            F.coalesce("hot_expected", "expected").alias("expected"),
+        .selectExpr(
+            "coalesce(hot.key, entry_key) AS key",
+            "coalesce(hot.expected, expected) AS expected",
             "actual",
-            F.coalesce("hot_is_conflict", "is_conflict").alias("is_conflict"),
+            "coalesce(hot.is_conflict, is_conflict) AS is_conflict",
         )
-        .select(key, "expected", "actual", F.expr(_STATUS).alias("status"))
+        .select(F.col("key").alias(key), "expected", "actual", F.expr(_STATUS).alias("status"))
     )
 
 
