@@ -1,5 +1,8 @@
 import gzip
 import hashlib
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -119,10 +122,26 @@ def test_patterns_are_refused(spark, tmp_path):
 
 
 def test_registered_query_digests_the_table_files(spark):
-    from pathlib import Path
-
     import __spark_entry__ as contract
 
     sf_dir = Path("/root/testdata/sf0.001")
     result = digests(contract.queries()["file_digest"](spark, str(sf_dir)))
     assert result == expected({p.name: p.read_bytes() for p in sf_dir.glob("*.parquet")})
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    """Started elsewhere, so that Python workers cannot import it from their folder."""
+    write(tmp_path / "artifacts", {"x": b"1", "empty": b""})
+    script = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+import sigillum
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+rows = sigillum.digest_files(spark, {str(tmp_path / "artifacts")!r}, whole_file_bytes=0).collect()
+print(sorted((row.file_name, row.digest) for row in rows))
+"""
+    result = subprocess.run(
+        [sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300
+    )
+    assert result.stdout.strip() == str([("empty", EMPTY), ("x", sha(b"1"))]), result.stderr
