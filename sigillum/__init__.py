@@ -3,7 +3,7 @@
 from .functions import digest
 from .operators import audit, audit_summary, crosscheck
 from .plans import audit_files
-from .sources import digest_files, parse_manifest, read_manifest
+from .sources import digest_files, entries, parse_manifest, read_manifest
 
 __all__ = [
     "audit",
@@ -12,6 +12,7 @@ __all__ = [
     "crosscheck",
     "digest",
     "digest_files",
+    "entries",
     "parse_manifest",
     "read_manifest",
 ]

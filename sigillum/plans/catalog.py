@@ -16,7 +16,7 @@ from ..functions.digests import digest, sha256
 from ..operators.audit import audit, audit_summary
 from ..operators.crosscheck import crosscheck
 from ..sources.files import digest_files
-from ..sources.manifest import parse_manifest
+from ..sources.manifest import entries, parse_manifest
 
 
 # Stated, so that no file is opened to find them out.
@@ -34,9 +34,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page listed once properly and once in each way that is not an entry."""
+    """Every page listed properly, twice, and once in each way that is not an entry."""
     hashed = digest(_table(spark, sf_dir, "pages"), "html").select("digest", "url")
     lines = """explode(array(
+        concat(digest, '  ', url),
         concat(digest, '  ', url),
         concat(digest, ' ', url),
         concat(digest, ' *', url),
@@ -54,6 +55,7 @@ MANIFEST_SCAN_SQL = r"""
 WITH hashed AS (SELECT sha256(html) AS digest, url FROM pages),
 lines AS (
   SELECT unnest([
+    digest || '  ' || url,
     digest || '  ' || url,
     digest || ' ' || url,
     digest || ' *' || url,
@@ -76,6 +78,15 @@ WHERE trim(line) <> ''
 """
 
 
+def manifest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries(manifest_scan(spark, sf_dir))
+
+
+MANIFEST_ENTRIES_SQL = f"""
+SELECT DISTINCT digest, file_name FROM ({MANIFEST_SCAN_SQL}) AS scanned WHERE NOT is_malformed
+"""
+
+
 # --- artifact digest ---------------------------------------------------------
 
 
@@ -222,6 +233,7 @@ FROM published p LEFT JOIN names n ON n.digest = p.published
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "manifest_scan": manifest_scan,
+    "manifest_entries": manifest_entries,
     "artifact_digest": artifact_digest,
     "document_digest": document_digest,
     "file_digest": file_digest,
@@ -234,6 +246,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # `file_digest` has none: its artifacts are files, not rows of a table.
 ORACLE_SQL: dict[str, str] = {
     "manifest_scan": MANIFEST_SCAN_SQL,
+    "manifest_entries": MANIFEST_ENTRIES_SQL,
     "artifact_digest": ARTIFACT_DIGEST_SQL,
     "document_digest": DOCUMENT_DIGEST_SQL,
     "integrity_audit": INTEGRITY_AUDIT_SQL,

@@ -1,4 +1,4 @@
 from .files import digest_files
-from .manifest import parse_manifest, read_manifest
+from .manifest import entries, parse_manifest, read_manifest
 
-__all__ = ["digest_files", "parse_manifest", "read_manifest"]
+__all__ = ["digest_files", "entries", "parse_manifest", "read_manifest"]

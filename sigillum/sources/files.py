@@ -30,53 +30,51 @@ def _qualified(spark: SparkSession, path: str) -> str:
     return store.makeQualified(hadoop_path).toString()
 
 
-def _found(rows: list[tuple[str, bool]]) -> pd.DataFrame:
+def _visit(folder: str, stores: Stores) -> pd.DataFrame:
+    """Empty files and subfolders in a folder, or an empty file itself."""
+    rows = [
+        (path, is_folder)
+        for path, is_folder, length in stores.children(folder)
+        if (is_folder or length == 0) and is_data(path)
+    ]
     return pd.DataFrame(rows, columns=["path", "is_folder"])
 
 
-def _first_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Empty files directly under each root, and the folders to visit."""
+def _one_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What the folders hold in their place, and the files found so far."""
     stores = Stores()
     for batch in batches:
-        for root in batch["path"]:
-            yield _found(
-                [
-                    (path, is_folder)
-                    for path, is_folder, length in stores.children(root)
-                    if (is_folder or length == 0) and is_data(path)
-                ]
-            )
-
-
-def _deeper_levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Empty files, those found so far and all those below the folders."""
+        yield batch[~batch["is_folder"]]
+        for folder in batch.loc[batch["is_folder"], "path"]:
+            yield _visit(folder, stores)
+
+
+def _all_levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files anywhere below the folders, and those found so far."""
     stores = Stores()
     for batch in batches:
         yield batch[~batch["is_folder"]]
         folders = list(batch.loc[batch["is_folder"], "path"])
         while folders:
-            empty = []
-            for path, is_folder, length in stores.children(folders.pop()):
-                if not is_data(path):
-                    continue
-                if is_folder:
-                    folders.append(path)
-                elif length == 0:
-                    empty.append((path, False))
-            yield _found(empty)
+            found = _visit(folders.pop(), stores)
+            folders.extend(found.loc[found["is_folder"], "path"])
+            yield found[~found["is_folder"]]
 
 
 def _empty_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Paths of empty files, which Spark's file sources leave out of every scan.
 
-    Each folder of the first level is walked by one task, a folder at a time.
+    The folders two levels down are spread over the tasks, which walk them a
+    folder at a time.
     """
     tasks = spark.sparkContext.defaultParallelism
     return (
-        spark.createDataFrame([(root,) for root in roots], "path string")
-        .mapInPandas(_first_level, _FOUND)
+        spark.createDataFrame([(root, True) for root in roots], _FOUND)
+        .mapInPandas(_one_level, _FOUND)
+        .repartition(tasks)
+        .mapInPandas(_one_level, _FOUND)
         .repartition(tasks)
-        .mapInPandas(_deeper_levels, _FOUND)
+        .mapInPandas(_all_levels, _FOUND)
         .select("path")
     )
 

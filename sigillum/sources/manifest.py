@@ -20,8 +20,8 @@ def parse_manifest(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """`(digest, file_name, line, is_malformed)` of every line that is not blank.
 
     A line of any other form than an entry keeps its text, with NULL digest and
-    name. Equal entries are collapsed where entries are used, in the audit's and
-    the cross-check's aggregation, so the scan itself shuffles nothing.
+    name. The scan shuffles nothing; equal entries are left to `entries` and to
+    the aggregations of the audit and the cross-check.
     """
     line = F.col(line_col)
     name_start = DIGEST_HEX_LENGTH + len(SEPARATOR) + 1
@@ -40,3 +40,8 @@ def parse_manifest(lines: DataFrame, line_col: str = "value") -> DataFrame:
 def read_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Scan manifest files, folders or globs; large plain files are split between tasks."""
     return parse_manifest(spark.read.text(path))
+
+
+def entries(manifest: DataFrame) -> DataFrame:
+    """`(digest, file_name)` of the entries, equal ones once."""
+    return manifest.where("NOT is_malformed").select("digest", "file_name").distinct()

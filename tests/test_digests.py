@@ -89,6 +89,7 @@ def test_subfolders_of_any_depth(spark, tmp_path):
         "key=value/b": {"deeper": b"3", "empty deeper": b""},
         "_key=value": {"partition": b"4", "empty partition": b""},
         "none": {},
+        "a/b/c/d": {"deepest": b"5", "empty deepest": b""},
     }
     for folder, files in tree.items():
         path = write(tmp_path / "artifacts" / folder, files)

@@ -4,7 +4,7 @@ import re
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from sigillum import parse_manifest, read_manifest
+from sigillum import entries, parse_manifest, read_manifest
 
 A = hashlib.sha256(b"a").hexdigest()
 B = hashlib.sha256(b"b").hexdigest()
@@ -74,6 +74,15 @@ def test_line_separators_that_do_not_end_a_line_belong_to_the_name(spark, tmp_pa
     ]
 
 
+def test_equal_entries_are_one_entry(spark, tmp_path):
+    path = tmp_path / "manifest.txt"
+    path.write_text(f"{A}  a\n{B}  b\njunk\n{A}  a\n{B}  a\njunk\n")
+    manifest = read_manifest(spark, str(path))
+    assert manifest.count() == 6
+    rows = [tuple(row) for row in entries(manifest).collect()]
+    assert sorted(rows) == sorted([(A, "a"), (B, "b"), (B, "a")])
+
+
 def test_several_files(spark, tmp_path):
     (tmp_path / "one").write_text(f"{A}  a\n")
     (tmp_path / "two").write_text(f"{B}  b\n")
