@@ -26,11 +26,14 @@ def _listed(manifest: DataFrame) -> DataFrame:
     """One row per listed key: its least digest, and whether there are others.
 
     Least and greatest digest are enough to see a conflict, so however often a
-    name is listed, each map task sends one row for it.
+    name is listed, each map task sends one row for it. Entries without a digest
+    are dropped afterwards: Catalyst would push a filter on `digest` below the
+    projection that computes it, and so compute it twice.
     """
     return (
         manifest.groupBy(F.xxhash64("entry_key").alias("slot"), "entry_key")
         .agg(F.min("digest").alias("expected"), F.max("digest").alias("greatest"))
+        .where("expected IS NOT NULL")
         .selectExpr("slot", "entry_key", "expected", "expected <> greatest AS is_conflict")
     )
 
@@ -83,7 +86,7 @@ def audit(
     """
     require_same_type(manifest, digests, key)
     entries = manifest.select(F.col(key).alias("entry_key"), "digest").where(
-        "entry_key IS NOT NULL AND digest IS NOT NULL"
+        "entry_key IS NOT NULL"
     )
     hot = F.broadcast(_hot_keys(digests, key, hot_rows))
     is_of_hot = F.expr("entry_key = hot_key")

@@ -23,10 +23,8 @@ def crosscheck(
     A page does not say which file a digest belongs to, so only membership is
     tested. If several names share the digest, `file_name` is the least.
     """
-    names = (
-        manifest.where(F.col("digest").isNotNull())
-        .groupBy(F.col("digest").alias("published"))
-        .agg(F.min("file_name").alias("file_name"), F.lit(True).alias("in_manifest"))
+    names = manifest.groupBy(F.col("digest").alias("published")).agg(
+        F.min("file_name").alias("file_name"), F.lit(True).alias("in_manifest")
     )
     return lookup(published_digests(pages, page_key, html_col), names, "published").select(
         page_key,

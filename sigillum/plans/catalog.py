@@ -206,8 +206,11 @@ def published_digest_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN page_id % 4 = 0 THEN concat('<code>', sha2(url, 256), '</code>') ELSE '' END
     )"""
     published = hashed.select("page_id", F.expr(inserted).alias("html"))
-    names = F.expr("explode(array(url, concat('page-', page_id)))")
-    manifest = hashed.select("digest", names.alias("file_name"))
+    entry = """explode(array(
+        struct(digest, url AS file_name),
+        struct(digest, concat('page-', page_id) AS file_name)
+    )) AS entry"""
+    manifest = hashed.select(F.expr(entry)).select("entry.digest", "entry.file_name")
     return crosscheck(published, manifest, "page_id")
 
 

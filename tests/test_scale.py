@@ -7,6 +7,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from sigillum import audit, audit_files, crosscheck, digest, digest_files
 from sigillum.operators.audit import _hot_keys
 
@@ -200,6 +201,23 @@ def test_audit_reads_content_once_and_never_shuffles_it(spark, large_tables):
     assert "IsNotNull(page_id)]" in text
 
 
+def test_two_tables_are_digested_once_each(spark, large_tables):
+    old, new = (
+        digest(spark.read.parquet(f"/root/testdata/{scale}/pages.parquet"), "html")
+        for scale in ("sf0.001", "sf0.01")
+    )
+    audited = audit(old, new, "page_id")
+    assert len(audited.collect()) == 250
+    assert len(re.findall(r"sha2\(", final_plan(audited))) == 2
+
+
+@pytest.mark.parametrize("name", ["integrity_audit", "published_digest_crosscheck"])
+def test_registered_queries_digest_content_once_a_side(spark, name):
+    result = contract.queries()[name](spark, "/root/testdata/sf0.01")
+    result.collect()
+    assert len(re.findall(r"sha2\([^,]*html", final_plan(result))) == 2
+
+
 def test_small_manifest_is_broadcast_by_size_in_the_cross_check(spark, tmp_path):
     pages = spark.read.parquet(PAGES)
     hashed = digest(pages, "html").select("digest", F.col("url").alias("file_name"))
