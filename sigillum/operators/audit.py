@@ -88,12 +88,12 @@ def audit(
     entries = manifest.select(F.col(key).alias("entry_key"), "digest").where(
         "entry_key IS NOT NULL"
     )
-    hot = F.broadcast(_hot_keys(digests, key, hot_rows))
+    hot_keys = _hot_keys(digests, key, hot_rows)
     is_of_hot = F.expr("entry_key = hot_key")
-    hot_listed = hot.join(
-        _listed(entries.join(hot, is_of_hot, "left_semi")), is_of_hot, "left"
+    hot_listed = hot_keys.join(
+        _listed(entries.join(F.broadcast(hot_keys), is_of_hot, "left_semi")), is_of_hot, "left"
     ).selectExpr("hot_key", "struct(hot_key AS key, expected, is_conflict) AS hot")
-    listed = _listed(entries.join(hot, is_of_hot, "left_anti"))
+    listed = _listed(entries.join(F.broadcast(hot_keys), is_of_hot, "left_anti"))
 
     # Rows go to slots by key or, unmatched, by their own digest and the id of
     # their partition, which stays the same when a task is run again.

@@ -4,7 +4,14 @@ from random import Random
 
 import pytest
 
-from sigillum import audit, audit_files, audit_summary, parse_manifest
+from sigillum import (
+    audit,
+    audit_files,
+    audit_summary,
+    digest_files,
+    parse_manifest,
+    read_manifest,
+)
 from sigillum.operators.audit import HOT_ROWS
 
 A, B, C = (hashlib.sha256(text).hexdigest() for text in (b"a", b"b", b"c"))
@@ -170,7 +177,8 @@ def test_files_against_manifest(spark, tmp_path):
         f"{A}  twice.zip\n{B}  twice.zip\n"
         f"{named['extra.zip'].upper()}  extra.zip\n"
     )
-    rows = audit_files(spark, str(tmp_path / "manifest"), str(artifacts)).collect()
+    paths = str(tmp_path / "manifest"), str(artifacts)
+    rows = audit_files(spark, *paths).collect()
     assert {row.file_name: row.status for row in rows} == {
         "good.zip": "OK",
         "Bô chèng.zip": "OK",
@@ -180,3 +188,7 @@ def test_files_against_manifest(spark, tmp_path):
         "extra.zip": "UNLISTED",
     }
     assert len(rows) == 6
+    all_hot = audit(
+        read_manifest(spark, paths[0]), digest_files(spark, paths[1]), "file_name", hot_rows=0
+    )
+    assert sorted(map(tuple, all_hot.collect())) == sorted(map(tuple, rows))
