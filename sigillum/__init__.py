@@ -1,6 +1,6 @@
 """Integrity of published artifacts, checked with Spark."""
 
-from .functions import digest
+from .functions import digest, digest_of_path
 from .operators import audit, audit_summary, crosscheck
 from .plans import audit_files
 from .sources import digest_files, entries, parse_manifest, read_manifest
@@ -12,6 +12,7 @@ __all__ = [
     "crosscheck",
     "digest",
     "digest_files",
+    "digest_of_path",
     "entries",
     "parse_manifest",
     "read_manifest",

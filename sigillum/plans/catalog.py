@@ -18,7 +18,6 @@ from ..operators.crosscheck import crosscheck
 from ..sources.files import digest_files
 from ..sources.manifest import entries, parse_manifest
 
-
 # Stated, so that no file is opened to find them out.
 SCHEMAS = {
     "pages": "page_id bigint, url string, html string",
@@ -115,7 +114,7 @@ def file_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _seeded_manifest(pages: DataFrame) -> DataFrame:
     """Entries for `pages` with every kind of fault, from one scan of the table."""
     content = F.expr("CASE WHEN page_id % 10 = 3 THEN concat(html, 'x') ELSE html END")
-    entries = """explode(array(
+    planted = """explode(array(
         CASE WHEN page_id % 10 <> 7 THEN struct(page_id, digest) END,
         CASE WHEN page_id % 10 = 5 THEN struct(page_id + 1000000 AS page_id, digest) END,
         CASE WHEN page_id % 50 = 1 THEN struct(page_id, sha2(url, 256) AS digest) END,
@@ -123,7 +122,7 @@ def _seeded_manifest(pages: DataFrame) -> DataFrame:
     ))"""
     return (
         pages.select("page_id", "url", sha256(content).alias("digest"))
-        .select(F.expr(entries).alias("entry"))
+        .select(F.expr(planted).alias("entry"))
         .where("entry IS NOT NULL")
         .select("entry.page_id", "entry.digest")
     )

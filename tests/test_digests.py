@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from sigillum import digest, digest_files
+from sigillum import digest, digest_files, digest_of_path
 from sigillum.functions.digests import CHUNK_BYTES
 
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -113,6 +113,28 @@ def test_several_roots_and_single_files(spark, tmp_path):
     )
 
 
+def test_files_of_an_inventory(spark, tmp_path):
+    """Every file that the table names, hidden and empty ones too, and none for NULL."""
+    files = {"x": b"1", ".hidden": b"2", "empty": b"", "Bô #?.gz": b"3"}
+    path = write(tmp_path / "artifacts", files)
+    inventory = spark.createDataFrame(
+        [(name, f"{scheme}{path}/{name}") for name in files for scheme in ("", "file:", "file://")]
+        + [("none", None)],
+        "name string, path string",
+    )
+    rows = inventory.withColumn("digest", digest_of_path("path")).collect()
+    assert len(rows) == 13
+    assert {(row.name, row.digest) for row in rows} == {
+        (name, sha(content)) for name, content in files.items()
+    } | {("none", None)}
+
+
+def test_missing_file_fails_the_job(spark, tmp_path):
+    inventory = spark.createDataFrame([(f"{tmp_path}/gone",)], "path string")
+    with pytest.raises(Exception, match="gone"):
+        inventory.select(digest_of_path("path")).collect()
+
+
 def test_empty_folder(spark, tmp_path):
     assert digests(digest_files(spark, write(tmp_path / "none", {}))) == {}
 

@@ -116,6 +116,14 @@ def test_hot_keys_are_found_exactly(spark):
     assert not _hot_keys(rows, "key", 10_000).collect()
 
 
+def test_there_are_fewer_hot_keys_than_the_share_allows(spark):
+    """However low the row limit, a key of 1/1000 of the rows is not hot."""
+    even = spark.range(0, 6000).select((F.col("id") % 1000).alias("key"))
+    assert not _hot_keys(even, "key", 0).collect()
+    uneven = even.unionByName(spark.range(0, 100).select(F.lit(7).cast("long").alias("key")))
+    assert [row.hot_key for row in _hot_keys(uneven, "key", 0).collect()] == [7]
+
+
 def test_ordinary_keys_cost_one_shuffle_of_each_side(spark, tmp_path, large_tables):
     """Without a hot key the finished plan is a plain full outer join."""
     n = 20000
