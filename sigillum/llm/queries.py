@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op1_decontamination
+from .mixing import op8_mixing
 from .neardup import op3_minhash
+from .secrets import op5_secrets
+from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_minhash": op3_minhash,
+    "op5_secrets": op5_secrets,
+    "op6_toxicity": op6_toxicity,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
