@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, stash, table
 
@@ -37,7 +38,7 @@ SEED = 20260112
 _STEPS = 60
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def token_count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Runs of characters other than white space in each whole text; 0 for NULL."""
     for texts in batches:

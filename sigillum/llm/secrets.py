@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -45,7 +46,10 @@ BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 MARK = "<SECRET>"
 _STRIDE = 8
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-SPANS = "array<struct<kind:string,start:int,end:int>>"
+# A type, not its text: that would need a session when the module is imported.
+SPANS = T.ArrayType(
+    T.StructType().add("kind", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType())
+)
 
 
 def crc_base62(body: str) -> str:
@@ -120,7 +124,7 @@ def secret_spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(rows, pa.list_(kind))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def redacted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The texts with a mark in place of each run of overlapping secrets; NULL stays NULL."""
     scanner = Scanner()
