@@ -7,17 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op1_decontamination
+from .fingerprints import op9_fingerprints
+from .htmltext import op4_html_text
 from .mixing import op8_mixing
 from .neardup import op3_minhash
 from .secrets import op5_secrets
 from .toxicity import op6_toxicity
+from .warc import OP7_SQL, op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_minhash": op3_minhash,
+    "op4_html_text": op4_html_text,
     "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
+    "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
+    "op9_fingerprints": op9_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# The others train, sketch, parse or take texts apart in ways SQL has no words for.
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": OP7_SQL,
+}
