@@ -14,7 +14,7 @@ Steps, each a Spark job over all documents:
 4. Candidates are confirmed on full sets, components found by least labels.
 5. A bucket that still holds several components may hide a link between two
    members that are not its centre. Those buckets alone are compared block by
-   block, by sketch, and what comes close is confirmed on full sets too.
+   block, on full sets.
 
 A pair of similarity 0.8 shares a bucket with a probability of
 1 - (1 - 0.8^6)^48 > 0.9999995, a more similar one with more.
@@ -40,9 +40,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BANDS = 48
 ROWS = 6
 BINS = BANDS * ROWS
-# A pair of similarity 0.8 agrees in 230 of 288 bins, with a deviation of 7.
-NEAR_BINS = 185
 BLOCK = 256
+COLUMNS = 4096
 WORDS = 5
 SIMILARITY_PCT = 80
 
@@ -137,29 +136,26 @@ def _sketcher(words: int) -> Callable:
         for batch in batches:
             ids = batch.column(0)
             for first, end, raw, offsets in slices(batch.column(1)):
-                sizes, classes, bands, sigs = [], [], [], []
+                sizes, classes, bands = [], [], []
                 for found in shingle_sets(raw, offsets, words, powers):
                     sizes.append(len(found))
                     if not len(found):
                         classes.append(None)
                         bands.append(None)
-                        sigs.append(None)
                         continue
                     both = np.array([found.sum(), mix64(found ^ _BASE).sum()], np.uint64)
                     classes.append(both.tobytes())
                     values = signature(found)
                     keys = mix64((values.reshape(BANDS, ROWS) * places).sum(axis=1) + salts)
                     bands.append(keys.view(np.int64))
-                    sigs.append(mix64(values).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, end - first),
                         pa.array(sizes, pa.int64()),
                         pa.array(classes, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
-                        pa.array(sigs, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "class", "bands", "sig"],
+                    names=["doc_id", "n_shingles", "class", "bands"],
                 )
 
     return sketch
@@ -228,65 +224,83 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     )
 
 
-_BLOCK_PAIRS = "key long, left_block int, right_block int"
+def _compare_blocks(rows: pa.Table) -> pa.Table:
+    """Links between the left and the right rows of a group, by their full sets.
 
-
-def _compare_blocks(rows: "pa.Table") -> "pa.Table":
-    """Pairs of one pair of blocks that lie in different components and look similar."""
+    One link of a left row with each component on the right is enough.
+    """
     node = rows.column("node").to_numpy()
     component = rows.column("component").to_numpy()
-    size = rows.column("n_shingles").to_numpy()
-    is_left = rows.column("is_left").to_numpy(zero_copy_only=False)
-    is_right = rows.column("is_right").to_numpy(zero_copy_only=False)
-    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, BINS)
-    right = np.flatnonzero(is_right)
-    found_a, found_b = [], []
-    for i in np.flatnonzero(is_left):
-        other = right[component[right] != component[i]]
-        other = other[100 * np.minimum(size[other], size[i]) >= SIMILARITY_PCT * np.maximum(size[other], size[i])]
-        other = other[(sig[other] == sig[i]).sum(axis=1) >= NEAR_BINS]
-        found_a.append(np.minimum(node[i], node[other]))
-        found_b.append(np.maximum(node[i], node[other]))
-    a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-    b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-    both = np.unique(np.stack([a, b], axis=1), axis=0)
-    return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
-
-
-def _hidden_pairs(bucketed: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Candidates between components that share a bucket, not tested by its star.
-
-    A bucket is dealt into blocks, and a group is one pair of blocks, so a group
-    never holds more than a few hundred sketches whatever the bucket holds.
+    side = rows.column("is_left").to_numpy(zero_copy_only=False)
+    sets = rows.column("shingles").combine_chunks()
+    size = sets.value_lengths().to_numpy()
+    owner = np.repeat(np.arange(len(node)), size)
+    _, column, times = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    is_shared = times > 1
+    place = np.cumsum(is_shared) - 1
+    keep = is_shared[column]
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    left, right = np.flatnonzero(side), np.flatnonzero(~side)
+    common = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(is_shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (start, start + COLUMNS))
+        grid = np.zeros((len(node), COLUMNS), np.float32)
+        grid[owner[a:b], column[a:b] - start] = 1
+        common += grid[left] @ grid[right].T
+    common = common.astype(np.int64)
+    union = size[left][:, None] + size[right][None, :] - common
+    linked = (100 * common >= SIMILARITY_PCT * union) & (component[left][:, None] != component[right][None, :])
+    i, j = np.nonzero(linked)
+    _, first = np.unique(np.stack([i, component[right][j]]), axis=1, return_index=True)
+    a, b = node[left][i[first]], node[right][j[first]]
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def _hidden_links(starred: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within a bucket that its star could not show, one for each pair of components.
+
+    A bucket is open if it holds several components besides its centre. There
+    the members outside the largest one, on the left, meet all, on the right.
+    Both sides are dealt into blocks, and a group is one pair of blocks, so no
+    group has more than some hundred sets whatever the bucket holds.
     """
-    labelled = lookup(bucketed.withColumnRenamed("rep", "node"), labels, "node").withColumn(
-        "component", F.coalesce("component", "node")
-    )
-    mixed = (
-        labelled.groupBy("key")
-        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        .where("least <> most")
-        .select("key")
-    )
-    open_rows = labelled.join(mixed, "key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = open_rows.withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    )
-    paired = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "key",
-        F.least("block", "other").alias("left_block"),
-        F.greatest("block", "other").alias("right_block"),
-        (F.col("block") <= F.col("other")).alias("is_left"),
-        (F.col("block") >= F.col("other")).alias("is_right"),
-        "node",
-        "component",
+    rest = lookup(
+        starred.where("rep <> centre").select("key", F.col("rep").alias("node")), labels, "node"
+    ).withColumn("component", F.coalesce("component", "node"))
+    largest = (
+        rest.groupBy("key", "component")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key")
+        .agg(
+            F.max(F.struct("n", "component")).alias("main"),
+            F.sum("n").alias("n"),
+            F.count(F.lit(1)).alias("parts"),
+        )
+        .where("parts > 1")
+        .selectExpr(
+            "key",
+            "main.component AS main",
+            f"CAST(ceil((n - main.n) / {BLOCK}) AS INT) AS lefts",
+            f"CAST(ceil(n / {BLOCK}) AS INT) AS rights",
+        )
     )
-    with_sketch = paired.join(
-        sketches.select(F.col("doc_id").alias("node"), "n_shingles", "sig"), "node"
+    seats = """explode(concat(
+        transform(sequence(0, lefts - 1), b -> struct(
+            b AS left_block, CAST(pmod(xxhash64(node), rights) AS INT) AS right_block, false AS is_left)),
+        CASE WHEN component = main THEN array() ELSE
+            transform(sequence(0, rights - 1), b -> struct(
+                CAST(pmod(xxhash64(node), lefts) AS INT) AS left_block, b AS right_block, true AS is_left)) END
+    ))"""
+    seated = (
+        rest.join(largest, "key")
+        .select("key", "node", "component", F.expr(seats).alias("seat"))
+        .select("key", "node", "component", "seat.*")
     )
     return (
-        with_sketch.groupBy("key", "left_block", "right_block")
+        seated.join(sets, "node")
+        .groupBy("key", "left_block", "right_block")
         .applyInArrow(_compare_blocks, "a long, b long")
         .distinct()
     )
@@ -310,7 +324,7 @@ def near_duplicates(
     sketched = stash(
         named.mapInArrow(
             _sketcher(words),
-            "doc_id long, n_shingles long, class binary, bands array<long>, sig binary",
+            "doc_id long, n_shingles long, class binary, bands array<long>",
         )
     )
     usable = sketched.where("class IS NOT NULL AND doc_id IS NOT NULL")
@@ -320,20 +334,22 @@ def near_duplicates(
     )
     reps = (
         usable.join(member_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-        .select("doc_id", "n_shingles", "bands", "sig")
+        .select("doc_id", "bands")
     )
     banded = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     bucketed = stash(banded.join(shared, "key").select("key", "rep", "size"))
 
     centrality = bucketed.groupBy("rep").agg(F.sum("size").alias("weight"))
-    weighed = lookup(bucketed.select("key", "rep"), centrality, "rep")
-    centres = weighed.groupBy("key").agg(
-        F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("most")
-    ).select("key", (-F.col("most.minus")).alias("centre"))
+    centres = (
+        lookup(bucketed.select("key", "rep"), centrality, "rep")
+        .groupBy("key")
+        .agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("most"))
+        .select("key", (-F.col("most.minus")).alias("centre"))
+    )
+    starred = stash(lookup(bucketed.select("key", "rep"), centres, "key"))
     stars = stash(
-        lookup(bucketed.select("key", "rep"), centres, "key")
-        .where("rep <> centre")
+        starred.where("rep <> centre")
         .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
         .distinct()
     )
@@ -346,7 +362,7 @@ def near_duplicates(
     )
     links = stash(_confirmed(stars, sets, SIMILARITY_PCT))
     labels = components(links)
-    hidden = stash(_confirmed(_hidden_pairs(bucketed, labels, reps), sets, SIMILARITY_PCT))
+    hidden = stash(_hidden_links(starred, labels, sets))
     if not hidden.isEmpty():
         labels = components(links.union(hidden))
 
