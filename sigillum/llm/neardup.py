@@ -356,7 +356,7 @@ def near_duplicates(
     nodes = stars.select("a").union(stars.select("b")).distinct().withColumnRenamed("a", "node")
     sets = stash(
         named.withColumnRenamed("doc_id", "node")
-        .join(nodes, "node", "left_semi")
+        .join(nodes.hint("merge"), "node", "left_semi")  # as many as the corpus has near copies
         .select("node", "text")
         .mapInArrow(_set_reader(words), "node long, shingles array<long>")
     )
