@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import op1_decontamination
 from .fingerprints import op9_fingerprints
 from .htmltext import op4_html_text
+from .langid import op10_language
 from .mixing import op8_mixing
 from .neardup import op3_minhash
+from .quality import op2_quality
 from .secrets import op5_secrets
 from .toxicity import op6_toxicity
 from .warc import OP7_SQL, op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_quality": op2_quality,
     "op3_minhash": op3_minhash,
     "op4_html_text": op4_html_text,
     "op5_secrets": op5_secrets,
@@ -24,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
+    "op10_language": op10_language,
 }
 
 # The others train, sketch, parse or take texts apart in ways SQL has no words for.
