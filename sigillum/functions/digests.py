@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .formats import DIGEST_BITS
-from .stores import Stores
+from .stores import StoreOptions, Stores
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,14 +39,19 @@ def _digest_file(path: str, stores: Stores) -> str:
     return running.hexdigest()
 
 
-@F.pandas_udf(T.StringType())
-def digest_of_path(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def digest_of_path(path: Column | str, options: StoreOptions | None = None) -> Column:
     """SHA-256 of the file at each path, read in chunks by the task that has the row.
 
     SHA-256 runs through a file from front to back, so one file is one task's
     work, but never more than a chunk of its memory. A scalar function rather
     than `mapInPandas`, so that Catalyst drops it where the digest is not used.
+    `options` are those of `Stores`.
     """
-    stores = Stores()
-    for paths in batches:
-        yield paths.map(lambda path: _digest_file(path, stores), na_action="ignore")
+
+    @F.pandas_udf(T.StringType())
+    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        stores = Stores(options)
+        for paths in batches:
+            yield paths.map(lambda path: _digest_file(path, stores), na_action="ignore")
+
+    return digests(path)

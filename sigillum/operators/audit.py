@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keys import require_same_type
+from .keys import quoted, require_free_name, require_same_type
 
-# A key is hot with more rows than this and than this share of all rows, so
-# there are fewer than HOT_SHARE hot keys in a table of any size.
-HOT_ROWS = 1_000_000
-HOT_SHARE = 1000
-_BUCKETS = 4096
+# Hash buckets counted for each shuffle partition, to find hot keys.
+BUCKETS_PER_PARTITION = 8
 
 _STATUS = """
-CASE WHEN expected IS NULL THEN 'UNLISTED'
+CASE WHEN is_conflict IS NULL THEN 'UNLISTED'
+     WHEN expected IS NULL THEN 'NO_DIGEST'
      WHEN is_conflict THEN 'CONFLICT'
      WHEN actual IS NULL THEN 'MISSING'
      WHEN actual = expected THEN 'OK'
@@ -26,36 +24,33 @@ def _listed(manifest: DataFrame) -> DataFrame:
     """One row per listed key: its least digest, and whether there are others.
 
     Least and greatest digest are enough to see a conflict, so however often a
-    name is listed, each map task sends one row for it. Entries without a digest
-    are dropped afterwards: Catalyst would push a filter on `digest` below the
-    projection that computes it, and so compute it twice.
+    name is listed, each map task sends one row for it.
     """
     return (
         manifest.groupBy(F.xxhash64("entry_key").alias("slot"), "entry_key")
         .agg(F.min("digest").alias("expected"), F.max("digest").alias("greatest"))
-        .where("expected IS NOT NULL")
-        .selectExpr("slot", "entry_key", "expected", "expected <> greatest AS is_conflict")
+        .selectExpr(
+            "slot", "entry_key", "expected", "coalesce(expected <> greatest, false) AS is_conflict"
+        )
     )
 
 
-def _hot_keys(rows: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """`hot_key`: the keys of `rows` that are hot, exactly. Reads the key column only.
+def _hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """`hot_key`: the keys of `rows` with more than an average partition of them, exactly.
 
-    Counting hash buckets first costs a few thousand rows per task instead of a
-    shuffle of all keys. Without a hot bucket, adaptive execution drops the rest.
+    There are fewer of those than shuffle partitions. Reads the key column only.
+    Counting hash buckets first costs a few rows per task and bucket instead of a
+    shuffle of all keys; without a hot bucket, adaptive execution drops the rest.
     """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = rows.select(
-        F.col(key).alias("hot_key"),
-        F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).alias("bucket"),
+        quoted(key).alias("hot_key"),
+        F.pmod(F.xxhash64(quoted(key)), F.lit(partitions * BUCKETS_PER_PARTITION)).alias("bucket"),
     ).where("hot_key IS NOT NULL")
     hot_buckets = (
         keyed.groupBy("bucket")
         .agg(F.expr("count(*)").alias("n"))
-        .selectExpr(
-            "bucket",
-            "n",
-            f"greatest({hot_rows}, sum(n) OVER (PARTITION BY 0) / {HOT_SHARE}) AS limit",
-        )
+        .selectExpr("bucket", "n", f"sum(n) OVER (PARTITION BY 0) / {partitions} AS limit")
         .where("n > limit")
         .select("bucket", "limit")
     )
@@ -68,14 +63,13 @@ def _hot_keys(rows: DataFrame, key: str, hot_rows: int) -> DataFrame:
     )
 
 
-def audit(
-    manifest: DataFrame, digests: DataFrame, key: str, *, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def audit(manifest: DataFrame, digests: DataFrame, key: str) -> DataFrame:
     """`(key, expected, actual, status)`: every artifact, and every entry without one.
 
-    Both inputs have `key` and `digest` columns. Malformed manifest lines have
-    neither and are left to `is_malformed`. Several artifacts under one key are
-    one row each. For a `CONFLICT`, `expected` is the least digest listed.
+    Both inputs have `key` and `digest` columns. Manifest rows without a key,
+    malformed lines among them, are left to `is_malformed`. Several artifacts
+    under one key are one row each. For a `CONFLICT`, `expected` is the least
+    digest listed; a key listed without any digest is `NO_DIGEST`.
 
     A full outer join with one shuffle per side, of digests and never of content.
     Spark cannot split one key of a full outer join between tasks, so artifacts
@@ -84,23 +78,24 @@ def audit(
     So do artifacts without a key. Their entries are kept out of the join: a hot
     key has artifacts, so it cannot be missing.
     """
+    require_free_name(key, ("expected", "actual", "status"))
     require_same_type(manifest, digests, key)
-    entries = manifest.select(F.col(key).alias("entry_key"), "digest").where(
-        "entry_key IS NOT NULL"
-    )
-    hot_keys = _hot_keys(digests, key, hot_rows)
-    is_of_hot = F.expr("entry_key = hot_key")
+    entries = manifest.select(quoted(key).alias("entry_key"), "digest").where("entry_key IS NOT NULL")
+    hot_keys = _hot_keys(digests, key)
+    # Marked by an outer join, which stays above the aggregation: so both halves
+    # read the same shuffle, and the manifest is scanned and digested once.
+    marked = _listed(entries).join(F.broadcast(hot_keys), F.expr("entry_key = hot_key"), "left")
+    listed = marked.where("hot_key IS NULL").drop("hot_key")
     hot_listed = hot_keys.join(
-        _listed(entries.join(F.broadcast(hot_keys), is_of_hot, "left_semi")), is_of_hot, "left"
+        marked.where("hot_key IS NOT NULL").drop("hot_key"), F.expr("entry_key = hot_key"), "left"
     ).selectExpr("hot_key", "struct(hot_key AS key, expected, is_conflict) AS hot")
-    listed = _listed(entries.join(F.broadcast(hot_keys), is_of_hot, "left_anti"))
 
     # Rows go to slots by key or, unmatched, by their own digest and the id of
     # their partition, which stays the same when a task is run again.
     by_key = F.expr("hot_key IS NULL AND artifact_key IS NOT NULL")
     spread = F.xxhash64(F.spark_partition_id(), "actual")
     artifacts = (
-        digests.select(F.col(key).alias("artifact_key"), F.col("digest").alias("actual"))
+        digests.select(quoted(key).alias("artifact_key"), F.col("digest").alias("actual"))
         .join(F.broadcast(hot_listed), F.expr("artifact_key = hot_key"), "left")
         .select(
             F.when(by_key, F.xxhash64("artifact_key")).otherwise(spread).alias("slot"),

@@ -1,3 +1,3 @@
-from .release import audit_files
+from .release import audit_files, audit_inventory
 
-__all__ = ["audit_files"]
+__all__ = ["audit_files", "audit_inventory"]

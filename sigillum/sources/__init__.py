@@ -1,4 +1,4 @@
-from .files import digest_files
+from .files import digest_files, list_files
 from .manifest import entries, parse_manifest, read_manifest
 
-__all__ = ["digest_files", "entries", "parse_manifest", "read_manifest"]
+__all__ = ["digest_files", "entries", "list_files", "parse_manifest", "read_manifest"]

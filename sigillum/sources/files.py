@@ -1,7 +1,8 @@
-"""Digests of files."""
+"""Files below a folder, and their digests."""
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -10,104 +11,79 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.digests import digest_of_path, sha256
-from ..functions.stores import Stores, is_data
+from ..functions.digests import digest_of_path
+from ..functions.shared import stash
+from ..functions.stores import StoreOptions, Stores, split_path
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
-_WILDCARDS = "*?[{"
-_FOUND = "path string, is_folder boolean"
+_FOUND = "path string, root string, is_folder boolean, length long"
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    """`path` with the file system that Spark would look for it in."""
-    if any(wildcard in path for wildcard in _WILDCARDS):
-        raise ValueError(f"name a folder or a file, not a pattern: {path}")
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return store.makeQualified(hadoop_path).toString()
+def _absolute(spark: SparkSession, path: str) -> str:
+    """`path` as tasks take it: one without a scheme belongs to the session's default
+    file system where Spark's own settings name one, else to the local one."""
+    if re.fullmatch(r"[^/]+://[^/]+", path):
+        path += "/"
+    scheme, _, name = split_path(path)
+    default = spark.conf.get("spark.hadoop.fs.defaultFS", None)
+    named = path if scheme or not default else default.rstrip("/") + path
+    return named if name == "/" else named.rstrip("/")
 
 
-def _visit(folder: str, stores: Stores) -> pd.DataFrame:
-    """Empty files and subfolders in a folder, or an empty file itself."""
-    rows = [
-        (path, is_folder)
-        for path, is_folder, length in stores.children(folder)
-        if (is_folder or length == 0) and is_data(path)
-    ]
-    return pd.DataFrame(rows, columns=["path", "is_folder"])
-
-
-def _one_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What the folders hold in their place, and the files found so far."""
-    stores = Stores()
-    for batch in batches:
-        yield batch[~batch["is_folder"]]
-        for folder in batch.loc[batch["is_folder"], "path"]:
-            yield _visit(folder, stores)
-
-
-def _all_levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Files anywhere below the folders, and those found so far."""
-    stores = Stores()
-    for batch in batches:
-        yield batch[~batch["is_folder"]]
-        folders = list(batch.loc[batch["is_folder"], "path"])
-        while folders:
-            found = _visit(folders.pop(), stores)
-            folders.extend(found.loc[found["is_folder"], "path"])
-            yield found[~found["is_folder"]]
-
-
-def _empty_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Paths of empty files, which Spark's file sources leave out of every scan.
+def list_files(
+    spark: SparkSession, path: str | list[str], options: StoreOptions | None = None
+) -> DataFrame:
+    """`(path, root, length)` of every file in and below `path`, hidden and empty ones too.
 
-    The folders two levels down are spread over the tasks, which walk them a
-    folder at a time.
+    The tree is listed when this is called, a level at a time; the folders of
+    each level are spread over all tasks, and each is listed once. The levels
+    are kept in the shared folder. Nothing passes through the driver, and no
+    name is a pattern.
     """
-    tasks = spark.sparkContext.defaultParallelism
-    return (
-        spark.createDataFrame([(root, True) for root in roots], _FOUND)
-        .mapInPandas(_one_level, _FOUND)
-        .repartition(tasks)
-        .mapInPandas(_one_level, _FOUND)
-        .repartition(tasks)
-        .mapInPandas(_all_levels, _FOUND)
-        .select("path")
+    roots = [_absolute(spark, root) for root in ([path] if isinstance(path, str) else path)]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stores = Stores(options)
+        for batch in batches:
+            for folder, root in zip(batch["path"], batch["root"], strict=True):
+                rows = [(found, root, *rest) for found, *rest in stores.children(folder)]
+                yield pd.DataFrame(rows, columns=["path", "root", "is_folder", "length"])
+
+    folders = spark.createDataFrame([(root, root) for root in roots], "path string, root string")
+    files = None
+    while True:
+        level = stash(folders.repartition(tasks).mapInPandas(children, _FOUND))
+        found = level.where("NOT is_folder").select("path", "root", "length")
+        files = found if files is None else files.unionByName(found)
+        folders = level.where("is_folder").select("path", "root")
+        if folders.isEmpty():
+            return files
+
+
+def relative_name(path: str = "path", root: str = "root"):
+    """A file's name from its root on; the last part of the path if it is the root itself."""
+    return F.expr(
+        f"CASE WHEN {path} = {root} THEN substring_index({path}, '/', -1)"
+        f" ELSE substring({path}, length(trim(TRAILING '/' FROM {root})) + 2) END"
     )
 
 
 def digest_files(
-    spark: SparkSession,
-    path: str | list[str],
-    *,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
+    spark: SparkSession, path: str | list[str], options: StoreOptions | None = None
 ) -> DataFrame:
     """`(file_name, length, digest)` of every file in and below `path`, of any size.
 
-    Files up to `whole_file_bytes` are read and digested in the JVM, packed into
-    tasks by size. Larger ones would each be one huge row, so only their paths
-    become rows and a task per file streams the bytes. The length test is pushed
-    into the scan, which skips the other branch's files without opening them.
-
-    As everywhere in Spark, names starting with `_` or `.` are not data.
+    `file_name` is relative to the path given, so it is the bare name in a flat
+    folder. Files are dealt evenly over tasks and streamed through them. Bounded
+    by what one folder lists; where a folder is too large for that, bring an
+    inventory table and use `digest_of_path`.
     """
-    roots = [_qualified(spark, root) for root in ([path] if isinstance(path, str) else path)]
-    row_limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
-    limit = min(whole_file_bytes, row_limit)
-    # Taken from `path`: `_metadata.file_name` is percent-escaped.
-    file_name = F.substring_index("path", "/", -1).alias("file_name")
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
-    small = files.where(F.col("length") <= limit).select(
-        file_name, "length", sha256("content").alias("digest")
-    )
-    large = files.where(F.col("length") > limit).select(
-        file_name, "length", digest_of_path("path").alias("digest")
-    )
-    empty = _empty_files(spark, roots).select(
-        file_name, F.lit(0).cast("long").alias("length"), sha256(F.lit("")).alias("digest")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        list_files(spark, path, options)
+        .repartition(tasks)
+        .select(relative_name().alias("file_name"), "length", digest_of_path("path", options).alias("digest"))
     )
-    return small.unionByName(large).unionByName(empty)

@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -81,3 +82,18 @@ def test_agrees_with_brute_force(spark, htmls, manifest):
             names = [name for listed, name in manifest if listed == digest]
             expected[(page_id, digest, min(names, default=None), bool(names))] += 1
     assert run(spark, list(enumerate(htmls)), manifest) == expected
+
+
+@pytest.mark.parametrize("name", ["published", "file_name", "in_manifest"])
+def test_page_key_named_as_a_result_column_is_refused(spark, name):
+    pages = spark.createDataFrame([("p", A)], "key string, html string").withColumnRenamed("key", name)
+    manifest = spark.createDataFrame([(A, "a")], "digest string, file_name string")
+    with pytest.raises(ValueError, match=name):
+        crosscheck(pages, manifest, name)
+
+
+@pytest.mark.parametrize("name", ["digest", "a.b", "line"])
+def test_page_key_of_any_other_name(spark, name):
+    pages = spark.createDataFrame([("p", A)], "key string, html string").withColumnRenamed("key", name)
+    manifest = spark.createDataFrame([(A, "a")], "digest string, file_name string")
+    assert [tuple(row) for row in crosscheck(pages, manifest, name).collect()] == [("p", A, "a", True)]

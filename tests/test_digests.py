@@ -6,7 +6,8 @@ from pathlib import Path
 
 import pytest
 
-from sigillum import digest, digest_files, digest_of_path
+from sigillum import audit_files, digest, digest_files, digest_of_path
+from sigillum.functions import stores
 from sigillum.functions.digests import CHUNK_BYTES
 
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -56,11 +57,9 @@ NAMES = {
 }
 
 
-@pytest.mark.parametrize("whole_file_bytes", [-1, 3, 1 << 26])
-def test_files_of_any_name_by_either_way(spark, tmp_path, whole_file_bytes):
-    """-1 streams every file, 3 divides them, the last reads all of them whole."""
+def test_files_of_any_name(spark, tmp_path):
     path = write(tmp_path / "artifacts", NAMES)
-    result = digest_files(spark, path, whole_file_bytes=whole_file_bytes)
+    result = digest_files(spark, path)
     assert result.columns == ["file_name", "length", "digest"]
     assert digests(result) == expected(NAMES)
 
@@ -68,18 +67,7 @@ def test_files_of_any_name_by_either_way(spark, tmp_path, whole_file_bytes):
 def test_file_of_several_chunks(spark, tmp_path):
     files = {"large.bin": bytes(range(256)) * (CHUNK_BYTES // 256 * 2) + b"end"}
     path = write(tmp_path / "artifacts", files)
-    assert digests(digest_files(spark, path, whole_file_bytes=1000)) == expected(files)
-
-
-def test_file_over_sparks_own_limit_is_streamed(spark, tmp_path):
-    files = {"a": b"123", "b": b"12345678"}
-    path = write(tmp_path / "artifacts", files)
-    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "5")
-    try:
-        result = digests(digest_files(spark, path))
-    finally:
-        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
-    assert result == expected(files)
+    assert digests(digest_files(spark, path)) == expected(files)
 
 
 def test_subfolders_of_any_depth(spark, tmp_path):
@@ -90,18 +78,56 @@ def test_subfolders_of_any_depth(spark, tmp_path):
         "_key=value": {"partition": b"4", "empty partition": b""},
         "none": {},
         "a/b/c/d": {"deepest": b"5", "empty deepest": b""},
+        "a[1]/{x,y}": {"what a glob would not find*?": b"6"},
     }
     for folder, files in tree.items():
-        path = write(tmp_path / "artifacts" / folder, files)
-    for streamed in (-1, 1 << 20):
-        result = digests(digest_files(spark, str(tmp_path / "artifacts"), whole_file_bytes=streamed))
-        assert result == expected({k: v for files in tree.values() for k, v in files.items()})
+        write(tmp_path / "artifacts" / folder, files)
+    result = digests(digest_files(spark, f"{tmp_path}/artifacts/"))
+    assert result == expected(
+        {f"{folder}/{k}".removeprefix("./"): v for folder, files in tree.items() for k, v in files.items()}
+    )
+    inside = digests(digest_files(spark, f"{tmp_path}/artifacts/a[1]"))
+    assert inside == expected({"{x,y}/what a glob would not find*?": b"6"})
 
 
-def test_names_that_spark_takes_for_metadata_are_left_out_empty_or_not(spark, tmp_path):
-    path = write(tmp_path / "a", {"_SUCCESS": b"", ".x.crc": b"crc", ".y": b"", "z._COPYING_": b"", "x": b"1"})
+def test_names_that_spark_takes_for_metadata_are_files(spark, tmp_path):
+    files = {"_SUCCESS": b"", ".x.crc": b"crc", ".y": b"", "z._COPYING_": b"", "x": b"1"}
+    path = write(tmp_path / "a", files)
     write(tmp_path / "a" / "_temporary", {"part": b"", "other": b"2"})
-    assert digests(digest_files(spark, path)) == expected({"x": b"1"})
+    files |= {"_temporary/part": b"", "_temporary/other": b"2"}
+    assert digests(digest_files(spark, path)) == expected(files)
+
+
+def test_each_folder_is_listed_once_and_levels_are_spread(spark, tmp_path):
+    """The tasks leave a file for each folder they list."""
+    for k in range(40):
+        write(tmp_path / "lake" / "a" / "b" / f"c{k}", {"x": b"1"})
+    log = tmp_path / "log"
+    log.mkdir()
+    real = stores.Stores.children
+
+    def logged(self, path, real=real, log=str(log)):
+        import os
+        import uuid
+
+        from pyspark import TaskContext
+
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.write(f"{TaskContext.get().partitionId()} {path}")
+        assert os.path.isdir(path)
+        return real(self, path)
+
+    stores.Stores.children = logged
+    (tmp_path / "sums").write_text("")
+    try:
+        audited = audit_files(spark, str(tmp_path / "sums"), str(tmp_path / "lake"))
+        assert audited.count() == 40
+    finally:
+        stores.Stores.children = real
+    seen = [p.read_text().split(" ", 1) for p in log.iterdir()]
+    folders = [folder for _, folder in seen]
+    assert len(folders) == len(set(folders)) == 43
+    assert len({task for task, folder in seen if "/c" in folder}) > 1
 
 
 def test_several_roots_and_single_files(spark, tmp_path):
@@ -113,6 +139,14 @@ def test_several_roots_and_single_files(spark, tmp_path):
     )
 
 
+def test_package_uses_public_spark_only():
+    import sigillum
+
+    code = "".join(p.read_text() for p in Path(sigillum.__file__).parent.rglob("*.py"))
+    for private in ("_jvm", "_jsc", "_jdf", "sparkContext", "binaryFile"):
+        assert private not in code
+
+
 def test_files_of_an_inventory(spark, tmp_path):
     """Every file that the table names, hidden and empty ones too, and none for NULL."""
     files = {"x": b"1", ".hidden": b"2", "empty": b"", "Bô #?.gz": b"3"}
@@ -139,17 +173,15 @@ def test_empty_folder(spark, tmp_path):
     assert digests(digest_files(spark, write(tmp_path / "none", {}))) == {}
 
 
-def test_patterns_are_refused(spark, tmp_path):
-    with pytest.raises(ValueError, match="not a pattern"):
-        digest_files(spark, f"{tmp_path}/*.zip")
-
+def test_missing_root_fails_the_listing(spark, tmp_path):
+    with pytest.raises(Exception, match="gone"):
+        digest_files(spark, f"{tmp_path}/gone")
 
-def test_registered_query_digests_the_table_files(spark):
-    import __spark_entry__ as contract
 
-    sf_dir = Path("/root/testdata/sf0.001")
-    result = digests(contract.queries()["file_digest"](spark, str(sf_dir)))
-    assert result == expected({p.name: p.read_bytes() for p in sf_dir.glob("*.parquet")})
+@pytest.mark.parametrize("path", ["x", "./x", "file:x", ""])
+def test_relative_paths_are_named_in_the_error(spark, path):
+    with pytest.raises(ValueError, match="relative"):
+        digest_files(spark, path)
 
 
 def test_tasks_need_no_copy_of_the_package(tmp_path):
@@ -161,7 +193,7 @@ sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
 from pyspark.sql import SparkSession
 import sigillum
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
-rows = sigillum.digest_files(spark, {str(tmp_path / "artifacts")!r}, whole_file_bytes=0).collect()
+rows = sigillum.digest_files(spark, {str(tmp_path / "artifacts")!r}).collect()
 print(sorted((row.file_name, row.digest) for row in rows))
 """
     result = subprocess.run(

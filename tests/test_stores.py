@@ -6,7 +6,7 @@ import pytest
 from pyarrow import fs
 
 from sigillum.functions import stores as module
-from sigillum.functions.stores import Stores, is_data
+from sigillum.functions.stores import Stores
 
 
 @pytest.fixture
@@ -60,6 +60,33 @@ def test_local_paths(tmp_path, opened, prefix):
     assert opened == []
 
 
-def test_names_that_are_data():
-    assert all(map(is_data, ["/a", "/_k=1", "/a_b", "/a.b", "s3://b/_x/a/"]))
-    assert not any(map(is_data, ["/_a", "/.a", "/.a=1", "/a._COPYING_", "/b/_SUCCESS"]))
+def test_options_make_the_store_and_functions_are_called_there(tmp_path, opened, monkeypatch):
+    (tmp_path / "bucket").mkdir()
+    (tmp_path / "bucket" / "x").write_bytes(b"1")
+    made = []
+
+    def s3(**arguments):
+        made.append(arguments)
+        return fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+
+    monkeypatch.setattr(module.arrow_fs, "S3FileSystem", s3, raising=False)
+    stores = Stores({"s3a": {"endpoint_override": "store.example:9000", "secret_key": lambda: "from a provider"}})
+    with stores.open("s3a://bucket/x") as stream:
+        assert stream.read() == b"1"
+    assert [path for path, *_ in stores.children("s3a://bucket/")] == ["s3a://bucket/x"]
+    assert made == [{"endpoint_override": "store.example:9000", "secret_key": "from a provider"}]
+    assert opened == []
+
+
+def test_unknown_schemes_and_relative_paths_are_named():
+    with pytest.raises(ValueError, match="nosuch://host"):
+        Stores().open("nosuch://host/x")
+    with pytest.raises(ValueError, match="'nosuch'"):
+        Stores({"nosuch": {}}).open("nosuch://host/x")
+    with pytest.raises(ValueError, match="relative: 'a/b'"):
+        Stores().open("a/b")
+
+
+def test_missing_paths_are_named(tmp_path):
+    with pytest.raises(FileNotFoundError, match="gone"):
+        list(Stores().children(f"{tmp_path}/gone"))
