@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_folder, stash
+
+__all__ = ["held_out", "mix64", "shared_folder", "slices", "stash", "table"]
+
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -28,26 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = tempfile.mkdtemp(prefix="sigillum-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read again.
-
-    Cuts the lineage: nothing before it runs again, whatever executor is lost.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column) -> Column:
     """True for documents that no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
