@@ -11,9 +11,13 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names; an own one only where it names none, as in tests."""
+    """The folder the session names. Where it names none, an own one in local mode only:
+    on a cluster a folder of one machine would not do."""
     named = spark.conf.get(SETTING, None)
     if named is None:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {SETTING} to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="sigillum-")
         spark.conf.set(SETTING, named)
     return named.rstrip("/")
