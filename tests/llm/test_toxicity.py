@@ -1,0 +1,100 @@
+"""Toxicity: its parts against plain versions, and accuracy on rows no label was learnt from."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sigillum.llm.toxicity import FEATURES, Features, Trees, drop_toxic, isotonic, toxicity
+
+DOCS, LABELS = "doc_id long, text string", "doc_id long, quality int, toxic int"
+
+
+def test_trees_learn_an_interaction():
+    rng = np.random.default_rng(1)
+    x = rng.random((3000, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.5)).astype(float)
+    trees = Trees().fit(x[:2000], y[:2000], np.ones(2000))
+    assert ((trees.score(x[2000:]) > 0) == y[2000:]).mean() > 0.97
+
+
+def test_isotonic_is_the_nearest_rising_curve():
+    rng = np.random.default_rng(2)
+    score, y, w = rng.random(60), rng.integers(0, 2, 60).astype(float), rng.random(60) + 0.1
+    knots, values = isotonic(score, y, w)
+    fitted = np.interp(score, knots, values)
+    order = np.argsort(score)
+    assert (np.diff(fitted[order]) >= -1e-12).all()
+    # max over starts of min over ends of the weighted mean
+    ys, ws = y[order], w[order]
+    mean = lambda i, j: (ys[i:j] * ws[i:j]).sum() / ws[i:j].sum()
+    best = [max(min(mean(i, j) for j in range(k + 1, 61)) for i in range(k + 1)) for k in range(60)]
+    assert np.allclose(fitted[order], best)
+
+
+def test_features():
+    of = dict(zip(FEATURES, Features({"scum": 2.0, "idiot": 3.0}).of("You IDIOTS! you id1ot, calm text"), strict=True))
+    assert of["top_weight"] == 3 and of["kinds"] == 1 and of["second_near"] == 1
+    assert of["obfuscated_hits"] == 1 and of["hits_per_word"] == pytest.approx(1 / 7)
+    assert of["capitals"] == pytest.approx(7 / 32) and of["shouting"] == pytest.approx(1 / 32)
+    assert len(Features({}).of("")) == len(FEATURES)
+
+
+def planted(n, seed=3):
+    rng = random.Random(seed)
+    words = [f"w{c}{d}" for c in "abcdefgh" for d in "ijklmnop"]
+    docs, labels = [], []
+    for k in range(n):
+        toxic = k % 5 == 0
+        text = rng.choices(words, k=rng.randint(20, 60))
+        for _ in range(rng.randint(2, 4) if toxic else 0):
+            text[rng.randrange(len(text))] = rng.choice(["rotten", "rottenly", "vermin"])
+        docs.append((k, " ".join(text)))
+        labels.append((k, 1, int(toxic)))
+    return docs, labels
+
+
+def test_held_out_rows_are_told_apart_and_teach_nothing(spark):
+    docs, labels = planted(600)
+    # Labels of held-out rows are all wrong: it must not matter.
+    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    wrong = [(k, q, 1 - t if held(k) else t) for k, q, t in labels]
+    df = toxicity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(wrong, LABELS))
+    assert df.columns == ["doc_id", "held_out", "score", "predicted"]
+    rows = df.collect()
+    truth = {k: t for k, _, t in labels}
+    assert all(r.held_out == held(r.doc_id) for r in rows) and len(rows) == 600
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in rows if r.held_out]) > 0.97
+
+
+def test_edge_cases(spark):
+    docs, labels = planted(80)
+    more = [(1000, None), (1001, ""), (1002, "rotten " * 100_000), (None, "rotten vermin"), (5, docs[5][1])]
+    wide = spark.createDataFrame(docs + more, DOCS).withColumn("score", F.lit("x")).withColumn("toxic", F.lit(1))
+    known = spark.createDataFrame(labels + [(None, 1, 1), (7, None, None), (999_999, 1, 1), (5, 0, 1)], LABELS)
+    rows = {(r.doc_id, r.predicted) for r in toxicity(wide, known).collect()}
+    assert {(1000, 0), (1001, 0), (None, 1)} <= rows
+    kept = drop_toxic(wide, known)
+    assert kept.columns == wide.columns
+    assert {1000, 1001} <= {r.doc_id for r in kept.collect()}
+    assert toxicity(wide.limit(0), known).collect() == []
+
+
+@pytest.mark.parametrize("labels, score", [([], 0.0), ([(1, 1, 1), (3, 1, 1)], 1.0), ([(1, 1, 0)], 0.0)])
+def test_labels_of_one_class(spark, labels, score):
+    df = toxicity(spark.createDataFrame([(1, "a b"), (3, "c")], DOCS), spark.createDataFrame(labels, LABELS))
+    assert [r.score for r in df.collect()] == [score, score]
+
+
+def test_query_on_held_out_rows(spark):
+    import __spark_entry__ as contract
+
+    sf_dir = "/root/testdata/sf0.1"
+    rows = contract.queries()["op6_toxicity"](spark, sf_dir)
+    both = rows.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out").collect()
+    toxic, clean = ([r for r in both if r.toxic == t] for t in (1, 0))
+    assert np.mean([r.predicted for r in toxic]) > 0.85
+    assert np.mean([r.predicted for r in clean]) < 0.02

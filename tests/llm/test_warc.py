@@ -1,0 +1,111 @@
+"""Archives: exact round trips, validation, and records that refer to others."""
+
+import hashlib
+import io
+import struct
+from pathlib import Path
+
+import duckdb
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+
+from sigillum.llm import warc
+from sigillum.llm.warc import DICTIONARY_MAGIC, WarcError, parse, read_archive, read_archives, record, write_archives
+
+SCHEMA = "page_id long, url string, html string"
+
+
+def round_trip(spark, folder, rows, **options):
+    archives = write_archives(spark.createDataFrame(rows, SCHEMA), str(folder), **options)
+    return archives, read_archives(archives, with_payload=True).collect()
+
+
+LONG = "x é\r\n\r\n" * 300
+
+
+def test_round_trip_and_revisits(spark, tmp_path):
+    rows = [(k, f"http://e.org/{k}", f"page {k} " * (k % 70)) for k in range(300)]
+    rows += [(1000, "u", LONG), (1001, None, LONG), (1002, "a\r\nWARC-Type: x", LONG), (1003, "short", "s"), (1004, "short", "s")]
+    archives, found = round_trip(spark, tmp_path / "w", rows, archive_bytes=2000)
+    assert archives.count() > 2
+    by_id = {r.page_id: r for r in found}
+    assert len(found) == len(rows) == len(by_id)
+    for page_id, url, html in rows:
+        row, data = by_id[page_id], html.encode()
+        assert row.payload_bytes == len(data) and row.payload_digest == hashlib.sha1(data).hexdigest()
+        owner = 1002 if html == LONG and page_id != 1002 else None
+        assert (row.record_type, row.refers_to) == ("revisit" if owner else "response", owner)
+        assert (row.payload is None) if owner else bytes(row.payload) == data
+        assert row.url == (url if page_id != 1002 else "a%0D%0AWARC-Type: x")
+
+
+def test_edge_cases(spark, tmp_path):
+    rows = [(1, None, None), (2, "u", ""), (3, "é ü", "a\u0000b"), (None, "u", LONG), (5, "u", LONG), (5, "u", LONG), (None, None, "n" * 2000)]
+    _, found = round_trip(spark, tmp_path / "w", rows)
+    kinds = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in found), key=repr)
+    n = len(LONG.encode())
+    assert kinds == sorted([
+        (1, 0, "response", None), (2, 0, "response", None), (3, 3, "response", None), (None, n, "revisit", 5),
+        (5, n, "response", None), (5, n, "response", None), (None, 2000, "response", None),
+    ], key=repr)
+    assert round_trip(spark, tmp_path / "none", [])[1] == []
+    wide = spark.createDataFrame(rows, SCHEMA).withColumn("digest", F.lit(1)).withColumn("owner", F.lit(2))
+    assert read_archives(write_archives(wide, str(tmp_path / "wide"))).count() == len(rows)
+
+
+def test_very_long_page(spark, tmp_path):
+    html = "".join(chr(97 + k % 26) for k in range(3_000_000))
+    _, (row,) = round_trip(spark, tmp_path / "w", [(1, "u", html)])
+    assert bytes(row.payload) == html.encode()
+
+
+def test_an_archive_is_a_dictionary_and_a_frame_for_each_record(spark, tmp_path):
+    rows = [(k, "u", f"<html><body>page {k}</body></html>" * 20) for k in range(200)]
+    archives, _ = round_trip(spark, tmp_path / "w", rows)
+    (path, *_rest) = [r.path for r in archives.collect()]
+    data = Path(path).read_bytes()
+    magic, size = struct.unpack("<II", data[:8])
+    assert magic == DICTIONARY_MAGIC
+    dictionary = zstandard.ZstdCompressionDict(data[8 : 8 + size])
+    first = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
+    assert first.decompress(data[8 + size :]).startswith(b"WARC/1.1\r\n") and first.eof
+    assert len(list(read_archive(io.BytesIO(data)))) == archives.agg(F.sum("records")).first()[0] or len(_rest)
+
+
+GOOD = record(7, "u", b"payload", hashlib.sha1(b"payload").digest(), None)
+
+
+def test_a_good_record():
+    assert parse(GOOD) == (7, "u", 7, hashlib.sha1(b"payload").hexdigest(), "response", None, b"payload")
+
+
+@pytest.mark.parametrize("old, new", [
+    (b"WARC/1.1", b"WARC/9.9"), (b"payload\r\n\r\n", b"paylaod\r\n\r\n"), (b"payload\r\n\r\n", b"payload!\r\n\r\n"),
+    (b"WARC-Date", b"WARC-Data"), (b"Type: response", b"Type: unheard"), (b"sha1:", b"sha9:"), (b"\r\n\r\n", b"\n"),
+    (b"Content-Length: 7", b"Content-Length: 8"),
+])
+def test_anything_amiss_is_an_error(old, new):
+    with pytest.raises(WarcError):
+        parse(GOOD.replace(old, new))
+
+
+def test_damaged_archives_stop_the_job(spark, tmp_path):
+    archives, _ = round_trip(spark, tmp_path / "w", [(1, "u", "page " * 500)])
+    path = archives.first().path
+    whole = Path(path).read_bytes()
+    Path(path).write_bytes(whole[:-9])
+    with pytest.raises(Exception, match="ends within a record"):
+        read_archives(archives).collect()
+    Path(path).write_bytes(whole)
+    with pytest.raises(Exception, match="1 records, not 2"):
+        read_archives(archives.withColumn("records", F.col("records") + 1)).collect()
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_query_agrees_with_sql(spark, scale):
+    found = warc.op7_warc(spark, f"/root/testdata/{scale}")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '/root/testdata/{scale}/pages.parquet'")
+    expected = con.execute(f"SELECT {', '.join(found.columns)} FROM ({warc.OP7_SQL})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
