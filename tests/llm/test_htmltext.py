@@ -1,0 +1,88 @@
+"""Main text of pages with everything around it."""
+
+import html
+import re
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from sigillum.llm.htmltext import extract, main_text
+
+LONG = "This is a paragraph of the article, and it has many of the words that are common in a text, so it is long enough."
+MORE = "The second paragraph of it is as long as the first one was, and it says what the first one has left to say about it."
+AD = "Buy the best of the best now and get it with a discount that is only for you and for your friends, in all of our shops."
+
+AROUND = [
+    f"<nav><ul><li><a href='/'>Home</a></li></ul><p>{AD}</p></nav>",
+    f"<header><p>{AD}</p></header>", f"<footer>{AD}</footer>", f"<aside><p>{AD}</p></aside>",
+    f"<div id=cookie-notice><p>{AD}</p></div>", f'<div class="ad">{AD}</div>', f"<div class='sidebar left'>{AD}</div>",
+    f"<form><label>{AD}</label><input name=q><textarea>{AD}</textarea></form>",
+    f"<script>if (a < b) document.write('<p>{AD}</p>');</script>", f"<style>p::after {{content: '{AD}'}}</style>",
+    f"<!-- <p>{AD}</p> -->", f"<noscript><p>{AD}</p></noscript>", f"<div style='display:none'>{AD}</div>",
+    f"<section class='comments'><article class=comment><p>{LONG}</p></article></section>",
+    f"<div id='comments'><p>{LONG}</p><p>{MORE}</p></div>", f"<div role='navigation'>{AD}</div>",
+]
+
+
+@pytest.mark.parametrize("around", AROUND)
+@pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post-content'>", "</div>"), ("<div>", "</div>")])
+def test_what_is_around_an_article_is_left_out(around, open_, close):
+    page = f"<html><head><title>No</title></head><body>{around}{open_}<h1>Title</h1><p>{LONG}</p>{around}<p>Short.<p>{MORE}{close}{around}</body>"
+    assert main_text(page) == f"Title {LONG} Short. {MORE}"
+
+
+@pytest.mark.parametrize("inside, text", [
+    ("a &amp; b &lt;c&gt; &eacute;&#233;&#xE9; &nbsp; d", "a & b <c> ééé d"),
+    ("one<br>two<b>three</b>\n\t four", "one twothree four"),
+    ("<p>open <b>bold<p>next", "open bold next"),
+    ("<ul><li>one<li>two</ul>", "one two"),
+    ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
+    ("<a href='x>y'>link</a> text that is much longer than it", "link text that is much longer than it"),
+    ("broken <a href='x>tag</a> text", "broken tag text"),
+    ("", ""),
+])
+def test_markup(inside, text):
+    assert main_text(f"<article><p>{LONG}</p>{inside}</article>") == f"{LONG} {text}".strip()
+
+
+@pytest.mark.parametrize("page", ["", " ", "<", "<p", "<!--", "<script>", "&", "<nav>only a menu", "<a href=x>link</a>"])
+def test_pages_without_an_article(page):
+    assert main_text(page) == ""
+
+
+def test_blocks_take_the_class_of_the_nearest_decided_ones():
+    link = "<p><a href='/'>" + "a link of some words " * 8 + "</a></p>"
+    page = f"<div><p>Near the links.</p>{link}<p>Links.</p>{link}<p>{LONG}</p><p>In between.</p><p>{MORE}</p></div>"
+    assert main_text(page) == f"{LONG} In between. {MORE}"
+
+
+def test_long_and_hostile_pages_take_linear_time():
+    main_text("<a '" * 20_000)
+    main_text("<div>" * 20_000 + LONG)
+    assert main_text(f"<article>{'<p>' + LONG + '</p>'}" * 1 + f"<p>{LONG} " * 20_000).count(LONG) == 20_001
+
+
+def test_table(spark):
+    page = f"<article><p>{LONG}</p></article>"
+    rows = [(1, "u", None), (2, None, ""), (3, "u", page), (3, "u", page), (None, "u", "<p")]
+    wide = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
+    df = extract(wide)
+    assert df.columns == ["page_id", "url", "text", "n_chars"]
+    found = sorted(map(tuple, df.collect()), key=repr)
+    n = len(LONG)
+    assert found == sorted([(1, "u", "", 0), (2, None, "", 0), (3, "u", LONG, n), (3, "u", LONG, n), (None, "u", "", 0)], key=repr)
+    assert extract(wide.limit(0)).collect() == []
+
+
+def test_query_gives_the_article_of_every_page(spark):
+    import __spark_entry__ as contract
+
+    sf_dir = "/root/testdata/sf0.01"
+    pages = duckdb.execute(f"SELECT page_id, html FROM '{sf_dir}/pages.parquet'").fetchall()
+    found = {r.page_id: r for r in contract.queries()["op4_html_text"](spark, sf_dir).collect()}
+    assert len(found) == len(pages)
+    for page_id, page in pages:
+        article = re.search("<article>(.*)</article>", page, re.S)[1]
+        text = " ".join(html.unescape(re.sub("<[^>]+>", "", re.sub("<(?:p|h1|br|/p|/h1)>", " ", article))).split())
+        assert found[page_id].text == text and found[page_id].n_chars == len(text)
