@@ -26,13 +26,13 @@ CELLS = 36  # of a fingerprint, all tables
 GROWTH = 4
 ROUNDS = 4  # each takes every table once
 
-PIECE = rf"(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+){{1,{PIECE_WORDS}}}"
+PIECE = rf"[^\x20\x09-\x0D]++(?:[\x20\x09\x0B-\x0D]++[^\x20\x09-\x0D]++){{0,{PIECE_WORDS - 1}}}"
 
 
 def paragraph_digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs; white space around one does not count."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(F.rtrim(p)))))
+    return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
 
 
 def _check(digest: str) -> str:
