@@ -54,8 +54,12 @@ class Network:
             "c": np.zeros((n, 1)),
         }
 
-    def _run(self, d: int, bytes_: np.ndarray, keep: bool = False):
-        """Hidden states of `(time, sequences)` bytes in one direction."""
+    def _run(self, d: int, bytes_: np.ndarray, inside: np.ndarray | None = None, keep: bool = False):
+        """Hidden states of `(time, sequences)` bytes in one direction.
+
+        Outside of a sequence, after its end, the state is nil; so a sequence
+        read backwards starts afresh, whatever length it is filled up to.
+        """
         h, p = HIDDEN, self.p
         x, u, b = p["x"][d], p["u"][d], p["b"][d]
         time, n = bytes_.shape
@@ -71,14 +75,18 @@ class Network:
             if keep:
                 kept.append((t, state, z, r, inner, new))
             state = new + z * (state - new)
+            if inside is not None:
+                state = state * inside[t]
             states[t] = state
         return states, kept
 
-    def _backwards(self, d: int, bytes_: np.ndarray, kept: list, slopes: np.ndarray, grads: dict) -> None:
+    def _backwards(
+        self, d: int, bytes_: np.ndarray, inside: np.ndarray, kept: list, slopes: np.ndarray, grads: dict
+    ) -> None:
         h, u = HIDDEN, self.p["u"][d]
         carry = np.zeros_like(slopes[0])
         for t, before, z, r, inner, new in reversed(kept):
-            carry = carry + slopes[t]
+            carry = (carry + slopes[t]) * inside[t]
             d_new = carry * (1 - z) * (1 - new**2)
             d_z = carry * (before - new) * z * (1 - z)
             d_r = d_new * inner * r * (1 - r)
@@ -92,7 +100,7 @@ class Network:
 
     def _step(self, bytes_: np.ndarray, mask: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
         """Loss over all positions and its gradients, by backpropagation through time."""
-        ways = [self._run(d, bytes_, keep=True) for d in (0, 1)]
+        ways = [self._run(d, bytes_, mask, keep=True) for d in (0, 1)]
         both = np.concatenate([states for states, _ in ways], axis=1)
         p = self._positions(both)
         time, _, n = both.shape
@@ -107,7 +115,7 @@ class Network:
         grads["c"] = slope.sum(axis=(0, 2))[:, None]
         down = np.matmul(self.p["v"].T, slope)
         for d, (_, kept) in enumerate(ways):
-            self._backwards(d, bytes_, kept, down[:, d * HIDDEN : (d + 1) * HIDDEN], grads)
+            self._backwards(d, bytes_, mask, kept, down[:, d * HIDDEN : (d + 1) * HIDDEN], grads)
         return float(loss), grads
 
     def _positions(self, both: np.ndarray) -> np.ndarray:
@@ -164,7 +172,8 @@ class Network:
             inside = time < length[some][None, :]
             at = np.minimum(start[some][None, :] + time, len(raw) - 1)
             bytes_ = np.where(inside, raw[at], 0)
-            both = np.concatenate([self._run(d, bytes_)[0] for d in (0, 1)], axis=1)
+            full = None if inside.all() else inside.astype(np.float32)
+            both = np.concatenate([self._run(d, bytes_, full)[0] for d in (0, 1)], axis=1)
             p = self._positions(both) * inside[:, None, :]
             np.add.at(total, owner[some], p.sum(axis=0).T)
         return total / np.maximum(sizes, 1)[:, None]
