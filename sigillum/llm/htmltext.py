@@ -45,6 +45,7 @@ BAD = frozenset(
     "nav footer aside form menu menuitem dialog button select option textarea input label fieldset datalist"
     " audio video canvas map".split()
 )
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 MAIN = frozenset(("article", "main"))
 BLOCKS = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer"
@@ -107,13 +108,19 @@ class _Open:
     is_bad: bool
     is_main: bool
     is_link: bool
+    is_header: bool = False  # of an article: only its headings belong to it
 
 
 def _opened(name: str, rest: str, above: _Open) -> _Open:
     is_bad, is_main = above.is_bad, above.is_main
     if name in MAIN:
         is_main = True
-    if name in BAD or (name == "header" and not above.is_main):
+    is_header = above.is_header
+    if name == "header" and above.is_main and not is_bad:
+        is_header = is_bad = True
+    elif is_header and name in HEADINGS:
+        is_header = is_bad = False
+    if name in BAD or name == "header":
         is_bad = True
     if rest:
         names = " ".join(next(filter(None, m), "") for m in _NAMED.findall(rest))
@@ -123,7 +130,7 @@ def _opened(name: str, rest: str, above: _Open) -> _Open:
             is_bad = True
         elif MAIN_NAME.search(names):
             is_main = True
-    return _Open(name, is_bad, is_main, above.is_link or name == "a")
+    return _Open(name, is_bad, is_main, above.is_link or name == "a", is_header)
 
 
 def blocks(page: str) -> list[Block]:
