@@ -11,7 +11,7 @@ from .fingerprints import op9_fingerprints
 from .htmltext import op4_html_text
 from .langid import op10_language
 from .mixing import op8_mixing
-from .neardup import op3_minhash
+from .neardup import OP3_SQL, op3_minhash
 from .quality import op2_quality
 from .secrets import op5_secrets
 from .toxicity import op6_toxicity
@@ -32,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 # The others train, sketch, parse or take texts apart in ways SQL has no words for.
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash": OP3_SQL,
     "op7_warc": OP7_SQL,
 }
