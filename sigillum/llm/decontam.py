@@ -24,7 +24,9 @@ from .common import mix64, slices, stash, table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Q = 9
-EDIT_RATE = 0.08
+EDIT_RATE = 0.1
+# Shared q-grams that the bound leaves at least; short items get a smaller budget for it.
+LEAST_SHARED = 8
 # A q-gram at more places of the benchmark than this is left out, and the bound
 # of each item lowered by its places, so that no passage is lost by it.
 MOST_PLACES = 4
@@ -85,6 +87,12 @@ def align(
     return int(row[end]), end + low + len(pattern)
 
 
+def edit_budget(m: int) -> int:
+    """Edits allowed in an item of `m` bytes: a rate, and fewer where the lemma would ask for
+    fewer than `LEAST_SHARED` common q-grams."""
+    return max(0, min(int(EDIT_RATE * m), (m - Q + 1 - LEAST_SHARED) // Q))
+
+
 class Index:
     """The q-grams of some benchmark items."""
 
@@ -109,7 +117,7 @@ class Index:
         is_common = count[which] > MOST_PLACES
         for k, item in enumerate(self.items):
             m, common = len(item[1]), is_common[self.owner == k]
-            budget = min(int(EDIT_RATE * m), (m - Q) // Q)
+            budget = edit_budget(m)
             bound = m - Q + 1 - budget * Q - int(common.sum())
             if bound < 1:  # too much of the item is common: keep all of it
                 is_common[self.owner == k] = False
@@ -199,7 +207,7 @@ def contaminated(
 
     Letters of either case are the same, and any run of characters that are
     neither letters nor digits is one space; in what is left, an item of m bytes
-    may differ by `EDIT_RATE` of m. One row for a document and item: of several
+    may differ by `edit_budget(m)` edits. One row for a document and item: of several
     places that with the fewest edits, then the first. Places are code points.
 
     Items are taken in blocks of about `block_bytes`; each is broadcast and

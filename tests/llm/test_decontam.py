@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from sigillum.llm.decontam import EDIT_RATE, MIN_CHARS, Q, contaminated, decontaminate, normalised
+from sigillum.llm.decontam import MIN_CHARS, contaminated, decontaminate, edit_budget, normalised
 
 DOCS = "doc_id long, text string"
 ITEMS = "item_id long, text string"
@@ -33,7 +33,7 @@ def brute_force(docs, items):
         pattern = plain(item).strip()
         if len(pattern) < MIN_CHARS:
             continue
-        budget = min(int(EDIT_RATE * len(pattern)), (len(pattern) - Q) // Q)
+        budget = edit_budget(len(pattern))
         for doc_id, text in docs:
             edits = least_edits(plain(text), pattern)
             if edits <= budget:
