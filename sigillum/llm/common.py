@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import shared_folder, stash
 
-__all__ = ["held_out", "mix64", "shared_folder", "slices", "stash", "table"]
+__all__ = ["few", "held_out", "mix64", "shared_folder", "slices", "stash", "table"]
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,7 +35,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """`(first, end, bytes, offsets)` of runs of texts, about `most_bytes` long.
 
     Texts are whole; a longer one is a run of its own. NULL counts as empty.
@@ -57,6 +57,12 @@ def slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, i
         first = end
 
 
+def few(column: pa.Array, rows: int = 256) -> Iterator[list]:
+    """The values of a batch, some rows at a time, so that they are not all there twice."""
+    for first in range(0, len(column), rows):
+        yield column.slice(first, rows).to_pylist()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> np.uint64(30))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import few, table
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -234,7 +234,8 @@ def main_text(page: str) -> str:
 @F.arrow_udf(T.StringType())
 def _main_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for pages in batches:
-        yield pa.array([main_text(page) if page else "" for page in pages.to_pylist()], pa.string())
+        done = [pa.array([main_text(page) if page else "" for page in some], pa.string()) for some in few(pages)]
+        yield pa.concat_arrays(done) if done else pa.array([], pa.string())
 
 
 def extracted(page: Column) -> Column:

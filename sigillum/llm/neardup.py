@@ -41,7 +41,8 @@ BANDS = 48
 ROWS = 6
 BINS = BANDS * ROWS
 BLOCK = 256
-COLUMNS = 4096
+COLUMNS = 2048
+RANGE = 1 << 18
 WORDS = 5
 SIMILARITY_PCT = 80
 
@@ -234,21 +235,25 @@ def _compare_blocks(rows: pa.Table) -> pa.Table:
     side = rows.column("is_left").to_numpy(zero_copy_only=False)
     sets = rows.column("shingles").combine_chunks()
     size = sets.value_lengths().to_numpy()
-    owner = np.repeat(np.arange(len(node)), size)
-    _, column, times = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    is_shared = times > 1
-    place = np.cumsum(is_shared) - 1
-    keep = is_shared[column]
-    owner, column = owner[keep], place[column[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
+    owner, values = np.repeat(np.arange(len(node)), size), sets.flatten().to_numpy()
     left, right = np.flatnonzero(side), np.flatnonzero(~side)
     common = np.zeros((len(left), len(right)), np.float32)
-    for start in range(0, int(is_shared.sum()), COLUMNS):
-        a, b = np.searchsorted(column, (start, start + COLUMNS))
-        grid = np.zeros((len(node), COLUMNS), np.float32)
-        grid[owner[a:b], column[a:b] - start] = 1
-        common += grid[left] @ grid[right].T
+    # Hashes are even, so ranges of them bound the memory, however long the texts are.
+    bounds = np.linspace(-(2.0**63), 2.0**63, 2 + len(values) // RANGE)[1:-1].astype(np.int64)
+    part = np.searchsorted(bounds, values, "right") if len(bounds) else np.zeros(len(values), np.int8)
+    for k in range(len(bounds) + 1):
+        inside = np.flatnonzero(part == k)
+        _, column, times = np.unique(values[inside], return_inverse=True, return_counts=True)
+        is_shared = times > 1
+        keep = is_shared[column]
+        who, column = owner[inside][keep], (np.cumsum(is_shared) - 1)[column[keep]]
+        order = np.argsort(column, kind="stable")
+        who, column = who[order], column[order]
+        for start in range(0, int(is_shared.sum()), COLUMNS):
+            a, b = np.searchsorted(column, (start, start + COLUMNS))
+            grid = np.zeros((len(node), COLUMNS), np.float32)
+            grid[who[a:b], column[a:b] - start] = 1
+            common += grid[left] @ grid[right].T
     common = common.astype(np.int64)
     union = size[left][:, None] + size[right][None, :] - common
     linked = (100 * common >= SIMILARITY_PCT * union) & (component[left][:, None] != component[right][None, :])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import few, table
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -119,28 +119,31 @@ def secret_spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         rows = [
             [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scanner.spans(text or "")]
-            for text in texts.to_pylist()
+            for some in few(texts)
+            for text in some
         ]
         yield pa.array(rows, pa.list_(kind))
 
 
+def _marked(scanner: Scanner, text: str | None) -> str | None:
+    spans = scanner.spans(text) if text else ()
+    if not spans:
+        return text
+    parts, at = [], 0
+    for start, _, end in spans:
+        if start >= at:
+            parts += [text[at:start], MARK]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
 @F.arrow_udf(T.StringType())
 def redacted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The texts with a mark in place of each run of overlapping secrets; NULL stays NULL."""
     scanner = Scanner()
     for texts in batches:
-        done = []
-        for text in texts.to_pylist():
-            spans = scanner.spans(text) if text else ()
-            if spans:
-                parts, at = [], 0
-                for start, _, end in spans:
-                    if start >= at:
-                        parts += [text[at:start], MARK]
-                    at = max(at, end)
-                text = "".join([*parts, text[at:]])
-            done.append(text)
-        yield pa.array(done, pa.string())
+        done = [pa.array([_marked(scanner, text) for text in some], pa.string()) for some in few(texts)]
+        yield pa.concat_arrays(done) if done else pa.array([], pa.string())
 
 
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
