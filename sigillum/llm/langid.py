@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, stash, table
+from .common import few, held_out, slices, stash, table
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -185,20 +185,27 @@ def _sample(docs: DataFrame, sample_docs: int) -> DataFrame:
     Documents are taken by the least -ln(u) * n, with u from a hash of the id
     and n the documents of their language.
     """
-    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    known = docs.where(
+        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")
+    )
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     u = (F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     picked = (
-        known.select("doc_id", "lang")
+        known.groupBy("doc_id")  # an id that many rows have counts once
+        .agg(F.min("lang").alias("lang"))
         .join(sizes, "lang")
         .select("doc_id", "lang", (-F.log(u) * F.col("n")).alias("k"))
         .orderBy("k", "doc_id")
         .limit(sample_docs)
         .select("doc_id")
-        .distinct()
     )
     # At most `sample_docs` numbers.
-    chosen = known.join(F.broadcast(picked), "doc_id")
+    chosen = (
+        known.join(F.broadcast(picked), "doc_id")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("lang", "text")).alias("row"))
+        .select("doc_id", "row.lang", "row.text")
+    )
     starts = F.array(*[
         F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.char_length("text") - LENGTH // 2, F.lit(1))) + 1
         for k in range(WINDOWS)
@@ -239,7 +246,7 @@ def languages(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, steps: int = S
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            has_letter = [bool(t and _LETTER.search(t)) for t in batch.column(1).to_pylist()]
+            has_letter = [bool(t and _LETTER.search(t)) for some in few(batch.column(1)) for t in some]
             names, scores = [], []
             for first, end, raw, offsets in slices(batch.column(1)):
                 pooled = network.pooled(raw, offsets) if network and len(raw) else np.zeros((end - first, 1))

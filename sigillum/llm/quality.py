@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, slices, stash, table
+from .common import few, mix64, slices, stash, table
 from .htmltext import STOP_WORDS
 
 # Sent with the task, so executors need no copy of this package.
@@ -75,7 +75,8 @@ def votes(text: str) -> list[int]:
 @F.arrow_udf(T.StringType())
 def _patterns(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        yield pa.array(["".join(map(str, votes(t or ""))) for t in texts.to_pylist()], pa.string())
+        found = ["".join(map(str, votes(t or ""))) for some in few(texts) for t in some]
+        yield pa.array(found, pa.string())
 
 
 class Accuracies:
@@ -196,13 +197,13 @@ def fit(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> tuple[Accuracies,
     # At most 3 ** len(LABELLERS) patterns, whatever the number of documents.
     counted = docs.select(_patterns("text").alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     accuracies = Accuracies({r.pattern: r.n for r in counted.collect()})
-    picked = (
-        docs.where("text IS NOT NULL").select(F.xxhash64("doc_id", F.octet_length("text")).alias("k"))
-        .orderBy("k").limit(sample_rows).distinct()
+    keyed = docs.where("text IS NOT NULL").select(
+        F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)).alias("k"), "text"
     )
-    keyed = docs.where("text IS NOT NULL").withColumn("k", F.xxhash64("doc_id", F.octet_length("text")))
-    # At most `sample_rows` numbers.
-    sample = stash(keyed.join(F.broadcast(picked), "k").select("k", "text", _patterns("text").alias("pattern")))
+    picked = keyed.select("k").distinct().orderBy("k").limit(sample_rows)
+    # At most `sample_rows` numbers; copies of a text count once.
+    once = keyed.join(F.broadcast(picked), "k").groupBy("k").agg(F.min("text").alias("text"))
+    sample = stash(once.select("k", "text", _patterns("text").alias("pattern")))
     trained = _train_in_task(sample, accuracies)
     return accuracies, trained
 

@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, stash, table
+from .common import few, held_out, stash, table
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -224,7 +224,9 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, d
         own = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         picked = own if picked is None else picked.union(own)
     # At most 2 * rows pairs of numbers.
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # An id that many rows have counts once.
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     return stash(sample), {t: max(1.0, n / rows) for t, n in sizes.items()}
 
 
@@ -268,7 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Features(lexicon)
         for texts in batches:
-            yield pa.array(reader.table(texts.to_pylist()).tolist(), pa.list_(pa.float64()))
+            rows = [row for some in few(texts) for row in reader.table(some).tolist()]
+            yield pa.array(rows, pa.list_(pa.float64()))
 
     # 2 * sample_rows rows of a few numbers each.
     rows = sample.select(features("text").alias("x"), "toxic", F.xxhash64("doc_id", "text").alias("k")).collect()
@@ -284,7 +287,8 @@ def with_score(docs: DataFrame, model: Model, name: str = "score", *, text_col:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array(model.scores(texts.to_pylist()), pa.float64())
+            found = [np.zeros(0), *(model.scores(some) for some in few(texts))]
+            yield pa.array(np.concatenate(found), pa.float64())
 
     return docs.withColumn(name, score(F.col(text_col)))
 
