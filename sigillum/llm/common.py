@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import shared_folder, stash
 
-__all__ = ["few", "held_out", "mix64", "shared_folder", "slices", "stash", "table"]
+__all__ = ["few", "held_out", "in_share", "mix64", "shared_folder", "slices", "stash", "table"]
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,6 +35,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def in_share(hashed: Column, rows: int, of: int) -> Column:
+    """True for about three times `rows` of `of` rows, by a hash; for all of a few.
+
+    Before the least `rows` hashes are taken, so that what the tasks send for it
+    does not grow with their number.
+    """
+    share = min(1.0, 3 * rows / max(1, of))
+    return F.pmod(hashed, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+
+
 def slices(column: pa.Array, most_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """`(first, end, bytes, offsets)` of runs of texts, about `most_bytes` long.
 

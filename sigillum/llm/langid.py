@@ -195,6 +195,7 @@ def _sample(docs: DataFrame, sample_docs: int) -> DataFrame:
         .agg(F.min("lang").alias("lang"))
         .join(sizes, "lang")
         .select("doc_id", "lang", (-F.log(u) * F.col("n")).alias("k"))
+        .where(F.col("k") < 3 * sample_docs)  # about so many of each language
         .orderBy("k", "doc_id")
         .limit(sample_docs)
         .select("doc_id")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few, mix64, slices, stash, table
+from .common import few, in_share, mix64, slices, stash, table
 from .htmltext import STOP_WORDS
 
 # Sent with the task, so executors need no copy of this package.
@@ -196,11 +196,13 @@ def fit(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> tuple[Accuracies,
     """Labellers' accuracies over all documents, and a scorer trained on a sample of posteriors."""
     # At most 3 ** len(LABELLERS) patterns, whatever the number of documents.
     counted = docs.select(_patterns("text").alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    accuracies = Accuracies({r.pattern: r.n for r in counted.collect()})
+    patterns = {r.pattern: r.n for r in counted.collect()}
+    accuracies = Accuracies(patterns)
     keyed = docs.where("text IS NOT NULL").select(
         F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)).alias("k"), "text"
     )
-    picked = keyed.select("k").distinct().orderBy("k").limit(sample_rows)
+    some = keyed.where(in_share(F.col("k"), sample_rows, sum(patterns.values())))
+    picked = some.select("k").distinct().orderBy("k").limit(sample_rows)
     # At most `sample_rows` numbers; copies of a text count once.
     once = keyed.join(F.broadcast(picked), "k").groupBy("k").agg(F.min("text").alias("text"))
     sample = stash(once.select("k", "text", _patterns("text").alias("pattern")))

@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, held_out, stash, table
+from .common import few, held_out, in_share, stash, table
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -221,7 +221,9 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, d
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = None
     for toxic in (0, 1):
-        own = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        key = F.xxhash64("doc_id")
+        own = known.where((F.col("toxic") == toxic) & in_share(key, rows, sizes.get(toxic, 0)))
+        own = own.orderBy(key, "doc_id").limit(rows)
         picked = own if picked is None else picked.union(own)
     # At most 2 * rows pairs of numbers.
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
