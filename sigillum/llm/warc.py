@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lookup import lookup
-from .common import shared_folder, stash, table
+from .common import in_share, shared_folder, stash, table
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -219,8 +219,10 @@ def write_archives(
     Further columns are not read.
     """
     spark = pages.sparkSession
+    key = F.xxhash64("page_id")
     sample = (
-        pages.select(F.substring("html", 1, SAMPLE_CHARS).alias("h"), F.xxhash64("page_id").alias("k"))
+        pages.where(in_share(key, SAMPLE_ROWS, pages.count()))
+        .select(F.substring("html", 1, SAMPLE_CHARS).alias("h"), key.alias("k"))
         .where("h <> ''")
         .orderBy("k", "h")
         .limit(SAMPLE_ROWS)
