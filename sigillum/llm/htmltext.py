@@ -40,7 +40,9 @@ STOP_WORDS = frozenset(
     porque se sin sobre su sus también te tiene todo una uno y ya""".split()
 )
 # Elements by what their text is.
-SKIPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title")
+RAW = ("script", "style", "iframe", "title")
+UNSEEN = frozenset("head svg object noscript template script style annotation annotation-xml".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BAD = frozenset(
     "nav footer aside form menu menuitem dialog button select option textarea input label fieldset datalist"
     " audio video canvas map".split()
@@ -52,6 +54,12 @@ BLOCKS = frozenset(
     " form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section select"
     " summary table tbody td textarea tfoot th thead tr ul".split()
 )
+# Of SVG and MathML: what opens them, where HTML goes on within them, and what ends them unless closed before.
+FOREIGN = frozenset(("svg", "math"))
+HTML_WITHIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKS_OUT = BLOCKS | frozenset(
+    "b big code em embed i img listing meta nobr ruby s small span strike strong sub sup tt u var".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": "li", "dt": "dd", "dd": "dd", "tr": "tr", "td": "td", "th": "td", "option": "option"}
 BAD_NAME = re.compile(
@@ -75,13 +83,18 @@ HIGH_STOPS, LOW_STOPS = 0.2, 0.08
 MOST_LINKS = 0.4
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(SKIPPED) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
-    r".*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
+# Where comments and elements of text only end; within noscript it ends them as well.
+_ENDS = {"<!--": "-->"} | {name: rf"</{name}(?=[\s/>])[^>]*>" for name in RAW}
+_END = {
+    (name, within): re.compile(end + (r"|(?=</noscript[\s/>])" if within else "") + r"|\Z", re.IGNORECASE)
+    for name, end in _ENDS.items()
+    for within in (False, True)
+}
 _NAMED = re.compile(r"(?:^|\s)(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -109,6 +122,9 @@ class _Open:
     is_main: bool
     is_link: bool
     is_header: bool = False  # of an article: only its headings belong to it
+    is_unseen: bool = False
+    is_foreign: bool = False
+    is_noscript: bool = False
 
 
 def _opened(name: str, rest: str, above: _Open) -> _Open:
@@ -130,7 +146,10 @@ def _opened(name: str, rest: str, above: _Open) -> _Open:
             is_bad = True
         elif MAIN_NAME.search(names):
             is_main = True
-    return _Open(name, is_bad, is_main, above.is_link or name == "a", is_header)
+    is_foreign = name in FOREIGN or (above.is_foreign and name not in HTML_WITHIN)
+    is_unseen = above.is_unseen or name in UNSEEN
+    is_noscript = above.is_noscript or name == "noscript"
+    return _Open(name, is_bad, is_main, above.is_link or name == "a", is_header, is_unseen, is_foreign, is_noscript)
 
 
 def blocks(page: str) -> list[Block]:
@@ -138,10 +157,28 @@ def blocks(page: str) -> list[Block]:
     stack = [_Open("", False, False, False)]
     found: list[Block] = []
     current: Block | None = None
-    for token in _TOKEN.finditer(page):
+    place = 0
+    while place < len(page):
+        top = stack[-1]
+        if top.is_foreign and page.startswith("<![CDATA[", place):
+            end = page.find("]]>", place)
+            end = len(page) if end < 0 else end
+            if current is not None and not top.is_unseen:
+                current.parts.append(html.escape(page[place + 9 : end]))
+            place = end + 3
+            continue
+        if page.startswith("<!--", place):
+            place = _END["<!--", top.is_noscript].search(page, place + 4).end()
+            continue
+        token = _TOKEN.match(page, place)
+        place = token.end()
         text = token["text"]
         if text is not None:
-            top = stack[-1]
+            if top.name == "head" and not text.isspace():
+                stack.pop()
+                top = stack[-1]
+            if top.is_unseen:
+                continue
             if current is None or current.is_bad != top.is_bad or current.is_main != top.is_main:
                 current = Block(top.is_bad, top.is_main)
                 found.append(current)
@@ -151,17 +188,30 @@ def blocks(page: str) -> list[Block]:
             continue
         name = token["name"] or token["name2"]
         if name is None:
-            if token["raw"]:
-                current = None if token["raw"].lower() in ("head", "title") else current
             continue
         name = name.lower()
-        if name in BLOCKS:
-            current = None
         if token["close"] or token["close2"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
                     del stack[k:]
                     break
+            if (name in BLOCKS or name == "head") and not stack[-1].is_unseen:
+                current = None
+            continue
+        rest = token["rest"] or token["rest2"] or ""
+        if name in BREAKS_OUT:
+            while stack[-1].is_foreign:
+                stack.pop()
+        if name == "body" or (stack[-1].name == "head" and name not in IN_HEAD):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].name == "head":
+                    del stack[k:]
+                    break
+        top = stack[-1]
+        if (name in BLOCKS or name in ("head", "title")) and not (top.is_unseen or top.is_foreign):
+            current = None
+        if name in RAW and not top.is_foreign:
+            place = _END[name, top.is_noscript].search(page, place).end()
             continue
         if name in BLOCKS and name != "br":
             ends = CLOSES.get(name)
@@ -169,9 +219,8 @@ def blocks(page: str) -> list[Block]:
                 if stack[k].name == "p" or (ends and CLOSES.get(stack[k].name) == ends):
                     del stack[k:]
                     break
-                if stack[k].name in BLOCKS:
+                if stack[k].name in BLOCKS or stack[k].name in UNSEEN or stack[k].name in FOREIGN:
                     break
-        rest = token["rest"] or token["rest2"] or ""
         if name not in VOID and not rest.endswith("/"):
             stack.append(_opened(name, rest, stack[-1]))
     for block in found:
@@ -248,7 +297,9 @@ def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
 
     Cases. NULL and empty pages, and pages without an article, give an empty
     text. What a page leaves open (elements, comments, quotes) ends with the
-    page. NULL and repeated ids and urls stay as they are. Further columns are
+    page or with the element around it; a head ends at the first element or text
+    that cannot be in one, SVG and MathML at the first HTML element that cannot
+    be in them. Formulas are text, but for their annotations. NULL and repeated ids and urls stay as they are. Further columns are
     not read. An empty table gives none.
     """
     return pages.select("page_id", "url", extracted(F.col(html_col)).alias("text")).withColumn(

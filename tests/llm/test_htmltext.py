@@ -86,3 +86,37 @@ def test_query_gives_the_article_of_every_page(spark):
         article = re.search("<article>(.*)</article>", page, re.S)[1]
         text = " ".join(html.unescape(re.sub("<[^>]+>", "", re.sub("<(?:p|h1|br|/p|/h1)>", " ", article))).split())
         assert found[page_id].text == text and found[page_id].n_chars == len(text)
+
+
+@pytest.mark.parametrize("before", [
+    "<html><head><meta charset=utf-8><title>No</title><style>p {}</style><body>", "<head><link rel=x><article></article>",
+    "<head><title>No</title><noscript><img src=x></noscript><body>", "<head><noscript><img src=x><body>",
+    "<head><noscript><style>p {}</noscript><script>a < b</script></head><body>",
+    "<body><svg width='1'/>", "<body><svg><path d=''/><title/><style/></svg>", "<body><svg><g><text>No</text><path>",
+    "<body><math/>", "<body><div><noscript><img src=x></div>", "<body><div><template><p>No</div>", "<body><div><object data=x>No</div>",
+    "<body><svg><svg/><text>No</text></svg><svg><style><![CDATA[ a > b </style> ]]></style></svg>",
+    "<body><svg><foreignObject><div>No</div><p>No</foreignObject></svg>",
+])
+def test_elements_left_open_or_closed_by_themselves_do_not_end_the_page(before):
+    assert main_text(f"{before}<article><h1>Title</h1><p>{LONG}</p></article><svg></svg>") == f"Title {LONG}"
+
+
+@pytest.mark.parametrize("inside, text", [
+    ("of <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here", "of x=2 here"),
+    ("of <math><semantics><mi>x</mi><annotation encoding=TeX>no</annotation></semantics></math>", "of x"),
+    ("an ic<svg viewBox='0 0 1 1'/>on", "an icon"), ("an ic<svg><title>no</title><text>no</text></svg>on", "an icon"),
+    ("a pa<svg><foreignObject><p>no</p></foreignObject></svg>rt", "a part"),
+    ("a pa<noscript><p>no</p></noscript>rt", "a part"), ("a pa<template><div>no</div></template>rt", "a part"),
+    ("a pa<object data=x><object><p>no</p></object>no</object>rt", "a part"),
+])
+@pytest.mark.parametrize("around", ["article", "div"])
+def test_formulas_are_text_and_what_is_not_shown_cuts_no_paragraph(inside, text, around):
+    assert main_text(f"<{around}><p>{LONG} {inside}</p></{around}>") == f"{LONG} {text}"
+
+
+def test_long_open_foreign_pages_take_linear_time():
+    main_text("<svg><g>" * 20_000)
+    main_text("<noscript><!--" * 20_000)
+    main_text("<head><noscript><style>" * 20_000)
+    main_text("<noscript><!--<style></noscript>" * 20_000)
+    main_text("<div><!-- --><script></script>" * 20_000)
