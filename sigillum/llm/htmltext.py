@@ -70,6 +70,18 @@ BAD_NAME = re.compile(
     r"(?:$|[\s_-])",
     re.IGNORECASE,
 )
+# Within an article ids are often made of titles: these whole names only are of something else.
+BAD_ID = re.compile(
+    r"(?:[a-z]+[_-])?(?:side-?bar|nav-?bar|breadcrumbs?|footer|masthead|top-?bar|tool-?bar|pagination|pager|newsletter)"
+    r"|(?:top|main|site|page|post|entry|left|right|bottom)?[_-]?(?:nav|menu)|nav[_-]?menu"
+    r"|ads?|ad[_-]?(?:slot|unit|box|banner|container|wrapper)?[_-]?\d*|advert\w*|sponsored|promo"
+    r"|(?:cookies?|gdpr|consent)[_-](?:notice|banner|bar|consent|popup|modal|overlay)"
+    r"|newsletter[_-](?:sign-?up|form|box)|subscribe[_-](?:form|box)|(?:sign-?up|log-?in|search)[_-]?(?:form|box)"
+    r"|(?:share|sharing|social)[_-](?:buttons?|links?|bar|icons?|media[_-]links?|share)"
+    r"|(?:related|recommended|popular|trending|more)[_-](?:posts?|articles?|stories|links|content|news)"
+    r"|comments?(?:[_-](?:list|area|section|form|\d+))?|commentlist|disqus\w*|respond|popup|modal|overlay|widgets?",
+    re.IGNORECASE,
+)
 MAIN_NAME = re.compile(
     r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:[_-]?(?:body|text|content))?(?:$|\s)", re.IGNORECASE
 )
@@ -95,7 +107,7 @@ _END = {
     for name, end in _ENDS.items()
     for within in (False, True)
 }
-_NAMED = re.compile(r"(?:^|\s)(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_NAMED = re.compile(r"(?:^|\s)(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -127,6 +139,19 @@ class _Open:
     is_noscript: bool = False
 
 
+def _is_bad_name(name: str, named: list[tuple[str, str]], is_main: bool) -> bool:
+    """Whether class or id tell that an element is not of the article."""
+    if name in HEADINGS:
+        return False
+    classes = " ".join(value for kind, value in named if kind == "class")
+    ids = [value.strip() for kind, value in named if kind == "id"]
+    if not is_main:
+        return bool(BAD_NAME.search(" ".join((classes, *ids))))
+    # A section's id is its title's.
+    is_section = name == "section" or "section" in classes.lower().split()
+    return bool(BAD_NAME.search(classes)) or (not is_section and any(map(BAD_ID.fullmatch, ids)))
+
+
 def _opened(name: str, rest: str, above: _Open) -> _Open:
     is_bad, is_main = above.is_bad, above.is_main
     if name in MAIN:
@@ -139,9 +164,10 @@ def _opened(name: str, rest: str, above: _Open) -> _Open:
     if name in BAD or name == "header":
         is_bad = True
     if rest:
-        names = " ".join(next(filter(None, m), "") for m in _NAMED.findall(rest))
+        named = [(kind.lower(), next(filter(None, value), "")) for kind, *value in _NAMED.findall(rest)]
+        names = " ".join(value for _, value in named)
         if name not in ("html", "body") and (
-            BAD_NAME.search(names) or HIDDEN.search(rest) or BAD_ROLE.search(rest)
+            _is_bad_name(name, named, is_main) or HIDDEN.search(rest) or BAD_ROLE.search(rest)
         ):
             is_bad = True
         elif MAIN_NAME.search(names):
@@ -299,7 +325,9 @@ def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     text. What a page leaves open (elements, comments, quotes) ends with the
     page or with the element around it; a head ends at the first element or text
     that cannot be in one, SVG and MathML at the first HTML element that cannot
-    be in them. Formulas are text, but for their annotations. NULL and repeated ids and urls stay as they are. Further columns are
+    be in them. Formulas are text, but for their annotations. Names of headings
+    tell nothing; within an article an id tells what is not of it as a whole
+    name only, and that of a section nothing. NULL and repeated ids and urls stay as they are. Further columns are
     not read. An empty table gives none.
     """
     return pages.select("page_id", "url", extracted(F.col(html_col)).alias("text")).withColumn(

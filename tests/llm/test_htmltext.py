@@ -120,3 +120,30 @@ def test_long_open_foreign_pages_take_linear_time():
     main_text("<head><noscript><style>" * 20_000)
     main_text("<noscript><!--<style></noscript>" * 20_000)
     main_text("<div><!-- --><script></script>" * 20_000)
+
+
+@pytest.mark.parametrize("name", [
+    "discussion", "search-algorithms", "related-work", "navigation-rules", "follow-up", "In_popular_culture",
+    "comments", "pagination", "side-effects", "log-in", "Copyright_notices", "menu-costs", "social-history",
+])
+@pytest.mark.parametrize("open_, close", [
+    ("<section id='{}'><h2>Two</h2>", "</section>"), ("<div class='section' id={}><h2>Two</h2>", "</div>"), ('<h2 id="{}">Two</h2>', ""),
+])
+@pytest.mark.parametrize("main", ["article", "main", "div class=post-content"])
+def test_ids_made_of_titles_drop_nothing_of_an_article(name, open_, close, main):
+    page = f"<{main}><h1>One</h1><p>{LONG}</p>{open_.format(name)}<p>{MORE}</p>{close}</{main.split()[0]}>"
+    assert main_text(page) == f"One {LONG} Two {MORE}"
+
+
+@pytest.mark.parametrize("name", ["discussion", "search-algorithms", "related-work", "follow-up", "tags-and-labels"])
+def test_ids_made_of_titles_drop_no_other_element_of_an_article(name):
+    assert main_text(f"<article id={name}><p>{LONG}</p><div id={name}><p id={name}>{MORE}</p></div></article>") == f"{LONG} {MORE}"
+    assert main_text(f"<div><h2 id={name} class={name}>Two</h2><p>{LONG}</p></div>") == f"Two {LONG}"
+
+
+@pytest.mark.parametrize("name", [
+    "sidebar", "left-sidebar", "comments", "comment-12", "disqus_thread", "related-posts", "share-buttons", "cookie-banner",
+    "ad", "ad-slot-3", "newsletter", "main-menu", "breadcrumbs", "search-form", "footer", "pagination",
+])
+def test_ids_of_what_is_around_are_known_within_an_article(name):
+    assert main_text(f"<article><p>{LONG}</p><div id='{name}'><p>{AD}</p></div><p>{MORE}</p></article>") == f"{LONG} {MORE}"
