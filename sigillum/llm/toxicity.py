@@ -218,6 +218,9 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, d
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
+    # Ids only; a label without a document takes no place of the sample.
+    own = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+    known = stash(known.join(own, "doc_id", "left_semi"))
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = None
     for toxic in (0, 1):
@@ -299,7 +302,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_RO
     """`(doc_id, held_out, score, predicted)`, one row for each row of `docs`.
 
     Only the text makes a score. Labels are learnt from rows that are not held
-    out, at most `sample_rows` of each class, taken by a hash of the id.
+    out and have a document, at most `sample_rows` of each class, taken by a
+    hash of the id.
 
     Cases. NULL and empty texts get the score of a text without words. NULL ids
     are not held out. Labels that are NULL, or of a NULL or unknown id, teach

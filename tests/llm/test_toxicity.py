@@ -83,6 +83,14 @@ def test_edge_cases(spark):
     assert toxicity(wide.limit(0), known).collect() == []
 
 
+def test_labels_without_a_document_take_no_place_in_the_sample(spark):
+    docs, labels = planted(400)
+    more = [(k, 1, int(k % 2 == 0)) for k in range(10_000, 14_000)]
+    docs, own, wide = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), spark.createDataFrame(labels + more, LABELS)
+    expected, found = ({r.doc_id: r.score for r in toxicity(docs, x, sample_rows=200).collect()} for x in (own, wide))
+    assert len(set(expected.values())) > 1 and found == expected
+
+
 @pytest.mark.parametrize("labels, score", [([], 0.0), ([(1, 1, 1), (3, 1, 1)], 1.0), ([(1, 1, 0)], 0.0)])
 def test_labels_of_one_class(spark, labels, score):
     df = toxicity(spark.createDataFrame([(1, "a b"), (3, "c")], DOCS), spark.createDataFrame(labels, LABELS))
