@@ -10,6 +10,7 @@ bound cannot hold a passage. The others are aligned within their band.
 from __future__ import annotations
 
 import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,18 +37,55 @@ _FILTER_BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _folded(code: int) -> bytes:
+    """A code point from 0x80 on without its case, in UTF-8; empty if it is of no word."""
+    if code > sys.maxunicode or 0xD800 <= code < 0xE000:
+        return b""
+    char = chr(code)
+    # Marks belong to the letter before them; selectors of a glyph do not.
+    is_mark = unicodedata.category(char)[0] == "M" and not 0xFE00 <= code < 0xFE10
+    return char.casefold().encode() if char.isalnum() or is_mark else b""
+
+
 def normalised(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """`(bytes, offsets, places)`: lower case, one space for each run of other signs."""
-    after_c3 = np.zeros(len(raw), bool)
-    after_c3[1:] = raw[:-1] == 0xC3
-    upper = ((raw >= 0x41) & (raw <= 0x5A)) | (after_c3 & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97))
-    low = np.where(upper, raw + np.uint8(32), raw)
-    is_sign = ((low >= 0x61) & (low <= 0x7A)) | ((low >= 0x30) & (low <= 0x39)) | (low >= 0x80)
+    """`(bytes, offsets, places)`: without case, one space for each run of other signs.
+
+    `places` has for each byte the first one in `raw` of its code point.
+    """
+    starts = offsets[:-1][offsets[:-1] < len(raw)]
+    is_char = (raw & 0xC0) != 0x80
+    is_char[starts] = True
+    at = np.flatnonzero(is_char)
+    low = raw[at]
+    low = np.where((low >= 0x41) & (low <= 0x5A), low + np.uint8(32), low)
+    is_sign = ((low >= 0x61) & (low <= 0x7A)) | ((low >= 0x30) & (low <= 0x39))
+    size = np.ones(len(at), np.int64)
+    wide = np.flatnonzero(low >= 0x80)
+    padded = np.append(raw, np.zeros(3, np.uint8))
+    lead, *more = (padded[at[wide] + k].astype(np.int64) for k in range(4))
+    more = [x & 0x3F for x in more]
+    code = np.select(
+        [lead < 0xC0, lead < 0xE0, lead < 0xF0],
+        [0xD800, (lead & 0x1F) << 6 | more[0], (lead & 0x0F) << 12 | more[0] << 6 | more[1]],
+        (lead & 0x07) << 18 | more[0] << 12 | more[1] << 6 | more[2],
+    )
+    codes, which = np.unique(code, return_inverse=True)
+    folded = [_folded(c) for c in codes.tolist()]
+    sizes = np.array([len(f) for f in folded], np.int64)
+    is_sign[wide] = sizes[which] > 0
+    size[wide] = np.maximum(1, sizes[which])
     keep = is_sign.copy()
     keep[1:] |= is_sign[:-1]
-    keep[offsets[:-1][offsets[:-1] < len(raw)]] = True
-    places = np.flatnonzero(keep)
-    return np.where(is_sign, low, np.uint8(0x20))[places], np.searchsorted(places, offsets), places
+    keep[np.searchsorted(at, starts)] = True
+    first = np.cumsum(np.where(keep, size, 0)) - size
+    text = np.repeat(np.where(is_sign, low, np.uint8(0x20))[keep], size[keep])
+    places = np.repeat(at[keep], size[keep])
+    most = int(sizes.max(initial=0))
+    signs = np.frombuffer(b"".join(f.ljust(most, b" ") for f in folded), np.uint8).reshape(len(folded), most)
+    for k in range(most):
+        there = sizes[which] > k
+        text[first[wide[there]] + k] = signs[which[there], k]
+    return text, np.searchsorted(places, offsets), places
 
 
 def _grams(text: np.ndarray) -> np.ndarray:
@@ -205,9 +243,9 @@ def contaminated(
 ) -> DataFrame:
     """`(doc_id, item_id, edits, start, end)`: documents that hold a whole benchmark text.
 
-    Letters of either case are the same, and any run of characters that are
-    neither letters nor digits is one space; in what is left, an item of m bytes
-    may differ by `edit_budget(m)` edits. One row for a document and item: of several
+    Letters of either case are the same in any script, and any run of characters
+    that are neither letters (with their marks) nor digits is one space; in what
+    is left, in UTF-8, an item of m bytes may differ by `edit_budget(m)` edits. One row for a document and item: of several
     places that with the fewest edits, then the first. Places are code points.
 
     Items are taken in blocks of about `block_bytes`; each is broadcast and

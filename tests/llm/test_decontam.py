@@ -83,6 +83,33 @@ def test_places_are_code_points_of_the_whole_text(spark):
     assert text[row.start : row.end] == item.upper() and row.edits == 0
 
 
+def test_text_is_normalised_by_code_point():
+    texts = ["\u201cDon\u2019t\u201d \u2014 STOP\u2026", "\u0386\u039b\u03a6\u0391\u03a3 \u0416\u0423\u041a \u0141\u00d3D\u0179", "", "Stra\u00dfe \u00d7 \u5b57\U00020000 \U0001f600\ufe0f 9", "\u0915\u093f \u2013"]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0] + [len(r) for r in raw])
+    text, bounds, places = normalised(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    found = [bytes(text[a:b]).decode() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert found == [" don t stop ", "\u03ac\u03bb\u03c6\u03b1\u03c3 \u0436\u0443\u043a \u0142\u00f3d\u017a", "", "strasse \u5b57\U00020000 9", "\u0915\u093f "]
+    assert len(places) == len(text) and (np.diff(places) >= 0).all()
+    broken = np.frombuffer(b"a\x80b\xc3 \xf0\x9f \xff\xe2\x82", np.uint8)
+    assert len(normalised(broken, np.array([0, 3, len(broken)]))[0])
+
+
+def test_typographic_signs_and_other_scripts_cost_no_edits(spark):
+    items = [
+        (1, "\"It's the fox - isn't it?\" she said - \"and it won't go\" - and he didn't say \"no\" to it."),
+        (2, "\u0432\u0441\u0435 \u0441\u0447\u0430\u0441\u0442\u043b\u0438\u0432\u044b\u0435 \u0441\u0435\u043c\u044c\u0438 \u043f\u043e\u0445\u043e\u0436\u0438 \u0434\u0440\u0443\u0433 \u043d\u0430 \u0434\u0440\u0443\u0433\u0430"),
+        (3, "\u03bc\u1fc6\u03bd\u03b9\u03bd \u1f04\u03b5\u03b9\u03b4\u03b5 \u03b8\u03b5\u1f70 \u03c0\u03b7\u03bb\u03b7\u03ca\u03ac\u03b4\u03b5\u03c9 \u1f00\u03c7\u03b9\u03bb\u1fc6\u03bf\u03c2"),
+        (4, "za\u017c\u00f3\u0142\u0107 g\u0119\u015bl\u0105 ja\u017a\u0144 w pi\u0119knej \u0142odzi"),
+    ]
+    typographic = items[0][1].replace("'", "\u2019").replace(" - ", " \u2014 ").replace('"', "\u201d")
+    docs = [(1, f"\u00ab\u2026 {typographic} \u00bb")] + [(k, f"\u2014 {text.upper()}!") for k, text in items[1:]]
+    found = run(spark, docs, items)
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in found) == [(k, k, 0) for k in (1, 2, 3, 4)]
+    texts = dict(docs)
+    assert all(texts[r.doc_id][r.start : r.end].strip("\u201d.") == texts[r.doc_id][2:-1].strip("\u2026 \u201d.") for r in found)
+
+
 def test_edge_cases(spark):
     item = "the quick brown fox jumps over the lazy dog again and again"
     docs = [(1, None), (2, ""), (3, "..."), (4, item), (4, item), (None, item), (5, f"{item} {item}"), (6, "clean text")]
