@@ -153,12 +153,16 @@ def read_archive(stream) -> Iterator[bytes]:
 
 
 def make_dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary of the samples; empty if there are too few to make one."""
+    """A dictionary trained on the samples; the samples themselves if there are too few for that.
+
+    It is never empty, and as text it never begins like a trained one.
+    """
     samples = [s for s in samples if s]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b""
+        form = f"{VERSION}\r\n\r\n{HTTP_STATUS}\r\n\r\n".encode()
+        return form + b"".join(samples)[: DICTIONARY_BYTES - len(form)]
 
 
 def _writer(folder: str, dictionary: bytes, archive_bytes: int) -> Callable:

@@ -109,3 +109,19 @@ def test_query_agrees_with_sql(spark, scale):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '/root/testdata/{scale}/pages.parquet'")
     expected = con.execute(f"SELECT {', '.join(found.columns)} FROM ({warc.OP7_SQL})").fetchall()
     assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+@pytest.mark.parametrize("pages", [[None], [""], ["x"], ["a", "b", None], ["<p>tiny</p>" * 3] * 3, ["é" * 50_000], [f"page {k}" for k in range(300)]])
+def test_few_or_tiny_pages_have_a_dictionary_frame_too(spark, tmp_path, pages):
+    rows = [(k, "u", page) for k, page in enumerate(pages)]
+    archives, found = round_trip(spark, tmp_path / "w", rows)
+    for r in archives.collect():
+        data = Path(r.path).read_bytes()
+        magic, size = struct.unpack("<II", data[:8])
+        assert magic == DICTIONARY_MAGIC and 0 < size <= warc.DICTIONARY_BYTES
+        assert len(list(read_archive(io.BytesIO(data)))) == r.records
+    assert sorted((r.page_id, r.payload_digest) for r in found) == [
+        (k, hashlib.sha1((page or "").encode()).hexdigest()) for k, page in enumerate(pages)
+    ]
+    owned = {r.page_id: bytes(r.payload) for r in found if r.payload is not None}
+    assert owned and all(data == (pages[k] or "").encode() for k, data in owned.items())
