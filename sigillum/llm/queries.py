@@ -13,6 +13,7 @@ from .langid import op10_language
 from .mixing import op8_mixing
 from .neardup import OP3_SQL, op3_minhash
 from .quality import op2_quality
+from .runs import op13_runs
 from .secrets import op5_secrets
 from .toxicity import op6_toxicity
 from .warc import OP7_SQL, op7_warc
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
     "op10_language": op10_language,
+    "op13_runs": op13_runs,
 }
 
 # The others train, sketch, parse or take texts apart in ways SQL has no words for.
