@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_alignment
 from .decontam import op1_decontamination
 from .fingerprints import op9_fingerprints
 from .htmltext import op4_html_text
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
     "op10_language": op10_language,
+    "op12_alignment": op12_alignment,
     "op13_runs": op13_runs,
 }
 
