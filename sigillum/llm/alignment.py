@@ -4,7 +4,8 @@ Both tokenizers cut the same bytes. Where a token of each ends at one offset,
 both texts can be cut; between two such offsets lies a group, whose tokens of
 one side are linked with all of the other. The common offsets come from a
 galloping intersection: the shorter list of ends drives an exponential and then
-a binary search into the longer one, from the place of the last anchor on.
+a binary search into the longer one, from the place of the last anchor on;
+anchors are found likewise, from coarser ones.
 
 Steps, each a Spark job over all documents:
 
@@ -20,8 +21,11 @@ Steps, each a Spark job over all documents:
 from __future__ import annotations
 
 import json
+import re
 import sys
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain, count, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -39,12 +43,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_LINKS = 1 << 20
-MOST_KEPT = 1 << 18  # pieces of text whose tokens a task remembers
-LONG_PIECE = 256  # characters; longer ones are not remembered
+MOST_KEPT, MOST_CHARS = 1 << 19, 1 << 25  # pieces of text whose tokens a task remembers
 SMALL_GROUP = 4096  # links of a group that are taken one by one
-ANCHOR = 64
+ANCHORS = (512, 64, 8, 1)
 
 _SPACE = "▁"
+_SPACE_AFTER_SPACE = re.compile("\\A |[\\s\u180e] ")
+_ENDS_IN_SPACE = re.compile("[\\s\u180e]\\Z")
 
 
 class Cut(NamedTuple):
@@ -109,18 +114,23 @@ class Tokenizers:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.tokens: list[tuple[list[int], list[int], bool]] = []
+        self.known = defaultdict(count().__next__)
+        self.kept = 0
+        self.is_whole = np.zeros(0, bool)
+        self.tokens = {side: (np.zeros(0, np.int32), np.zeros(1, np.int64)) for side in "ab"}
 
     def _pieces(self, text: str) -> list[str]:
         """The pieces of a space and `text`, each without its first space."""
         if not self.has_pieces:
             return [text]
+        plain = text.split(" ")
+        if not _SPACE_AFTER_SPACE.search(text):
+            return plain
         found, open_end = [], None
-        for piece in text.split(" "):
+        for piece in plain:
             if open_end is not None:
                 piece, open_end = open_end + " " + piece, None
-            if not piece or piece[-1].isspace() or piece[-1] == "᠎":
+            if not piece or _ENDS_IN_SPACE.search(piece):
                 open_end = piece
             else:
                 found.append(piece)
@@ -128,50 +138,75 @@ class Tokenizers:
             found.append(open_end)
         return found
 
-    def _encode(self, pieces: list[str]) -> list[tuple[list[int], list[int], bool]]:
-        first = self.first.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)
-        second = self.second.encode(pieces, num_threads=1)
-        found = []
-        for piece, a, b in zip(pieces, first, second, strict=True):
-            a, b = a.ids, b if piece else [self.space]
-            raw = b" " + piece.encode()
-            is_whole = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-            found.append((a, b, is_whole))
-        return found
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes new pieces, which have the next numbers."""
+        found = {"a": [], "b": []}
+        whole = []
+        for start in range(0, len(pieces), 4096):
+            some = pieces[start : start + 4096]
+            first = [e.ids for e in self.first.encode_batch_fast([" " + p for p in some], add_special_tokens=False)]
+            second = self.second.encode(some, num_threads=1)
+            second = [ids if piece else [self.space] for ids, piece in zip(second, some, strict=True)]
+            whole.append(self._give_back(some, first, second))
+            found["a"] += first
+            found["b"] += second
+        self.is_whole = np.concatenate((self.is_whole, *whole))
+        for side, lists in found.items():
+            ids, ends = self.tokens[side]
+            size = np.array([len(x) for x in lists], np.int64)
+            new = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
+            self.tokens[side] = np.concatenate((ids, new)), np.append(ends, ends[-1] + np.cumsum(size))
+
+    def _give_back(self, pieces: list[str], *sides: list[list[int]]) -> np.ndarray:
+        """Whether the tokens of both sides give back each piece and its space."""
+        raw = [b" " + p.encode() for p in pieces]
+        is_whole = np.ones(len(pieces), bool)
+        for lists, names, sizes in zip(sides, (self.a_bytes, self.b_bytes), (self.a_size, self.b_size), strict=True):
+            owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            ids = np.fromiter(chain.from_iterable(lists), np.int64, len(owner))
+            lengths = np.bincount(owner, sizes[ids], len(lists))
+            if b"".join(map(names.__getitem__, ids.tolist())) != b"".join(raw) or (lengths != list(map(len, raw))).any():
+                is_whole &= [b"".join(map(names.__getitem__, x)) == r for x, r in zip(lists, raw, strict=True)]
+        return is_whole
 
     def cut(self, texts: list[str]) -> Cut:
         """The tokens of each text; none of an empty one, or of one they do not give back."""
-        if len(self.tokens) > MOST_KEPT:
+        if len(self.known) > MOST_KEPT or self.kept > MOST_CHARS:
             self._forget()
-        known = self.known
-        split = [self._pieces(text) if text else [] for text in texts]
-        new = list({p: None for pieces in split for p in pieces if p not in known})
-        own: dict[str, int] = {}
-        base = len(self.tokens)
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            self.tokens += self._encode(some)
-        for k, piece in enumerate(new):
-            (known if len(piece) <= LONG_PIECE else own)[piece] = base + k
-        a, b = [], []
-        a_first, b_first = [0], [0]
-        for text, pieces in zip(texts, split, strict=True):
-            found = [self.tokens[known[p] if p in known else own[p]] for p in pieces]
-            if all(is_whole for _, _, is_whole in found) or self._gives_back(text, found):
-                for of_a, of_b, _ in found:
-                    a += of_a
-                    b += of_b
-            a_first.append(len(a))
-            b_first.append(len(b))
-        for place in own.values():
-            self.tokens[place] = ([], [], True)
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return Cut(a, b, np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), np.array(a_first), np.array(b_first))
-
-    def _gives_back(self, text: str, found: list[tuple[list[int], list[int], bool]]) -> bool:
-        raw = b" " + text.encode()
-        a = b"".join(self.a_bytes[k] for of_a, _, _ in found for k in of_a)
-        return a == raw == b"".join(self.b_bytes[k] for _, of_b, _ in found for k in of_b)
+        before = len(self.known)
+        codes: list[int] = []
+        first = [0]
+        for text in texts:
+            if text:
+                codes.extend(map(self.known.__getitem__, self._pieces(text)))
+            first.append(len(codes))
+        new = list(islice(reversed(self.known), len(self.known) - before))[::-1]
+        self.kept += sum(map(len, new))
+        self._learn(new)
+        code = np.array(codes, np.int64)
+        of_text = np.repeat(np.arange(len(texts)), np.diff(first))
+        for k in np.unique(of_text[~self.is_whole[code]]).tolist():
+            own = code[first[k] : first[k + 1]]
+            raw = b" " + texts[k].encode()
+            if any(self._bytes(side, own) != raw for side in "ab"):
+                code[first[k] : first[k + 1]] = -1
+        parts = []
+        for side, sizes in (("a", self.a_size), ("b", self.b_size)):
+            ids, at = self._ids(side, code)
+            parts.append((ids, np.cumsum(sizes[ids]), at[first]))
+        (a, a_ends, a_first), (b, b_ends, b_first) = parts
+        return Cut(a, b, a_ends, b_ends, a_first, b_first)
+
+    def _ids(self, side: str, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, and the place of each piece among them; -1 is a piece without any."""
+        ids, ends = self.tokens[side]
+        size = np.where(code < 0, 0, ends[code + 1] - ends[code])
+        at = np.append(0, np.cumsum(size))
+        return ids[np.repeat(ends[code] - at[:-1], size) + np.arange(at[-1])].astype(np.int64), at
+
+    def _bytes(self, side: str, code: np.ndarray) -> bytes:
+        names = self.a_bytes if side == "a" else self.b_bytes
+        return b"".join(names[k] for k in self._ids(side, code)[0].tolist())
 
 
 def _search(long: np.ndarray, wanted: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -207,9 +242,11 @@ def gallop(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return i, j
     if not len(short):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    anchors = short[::ANCHOR]
-    reached = _search(long, anchors, np.zeros(len(anchors), np.int64))
-    place = _search(long, short, np.repeat(reached, ANCHOR)[: len(short)])
+    place, last = np.zeros(1, np.int64), len(short)
+    for step in ANCHORS:
+        some = short[::step]
+        place = _search(long, some, np.repeat(place, -(-last // step))[: len(some)])
+        last = step
     there = np.flatnonzero(place < len(long))
     there = there[long[place[there]] == short[there]]
     return there, place[there]

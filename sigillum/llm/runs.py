@@ -16,7 +16,9 @@ question gets so far.
 from __future__ import annotations
 
 import sys
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -202,13 +204,13 @@ def _smallest(start: np.ndarray, end: np.ndarray, period: np.ndarray) -> tuple[n
 
 def _found_in(texts: list[list[bytes]]) -> Iterator[tuple[list[dict], bytes]]:
     """The runs of each text and what is left without their repeats."""
-    ids: dict[bytes, int] = {}
+    ids = defaultdict(count(1).__next__)
     total = sum(map(len, texts)) + len(texts) + 1
     seq = np.empty(total, np.int64)
     starts, place = [], 0
     for words in [[], *texts]:
         starts.append(place)
-        seq[place : place + len(words)] = [ids.setdefault(w, len(ids) + 1) for w in words]
+        seq[place : place + len(words)] = list(map(ids.__getitem__, words))
         place += len(words) + 1
     ends = np.append(np.array(starts[1:], np.int64) - 1, total - 1)
     seq[ends] = len(ids) + 1 + np.arange(len(ends))
@@ -273,7 +275,9 @@ def with_repeats(doc_id: Column, text: Column) -> Column:
     """The text; in a tenth of the documents, by their id, a stretch repeats up to the end."""
     hashed = F.crc32(doc_id.cast("string").cast("binary"))
     words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1)
-    return F.when(hashed % 10 == 0, _repeated(words, F.floor(hashed / 10))).otherwise(text)
+    # As the element of an array the words are computed once, not for each place.
+    edited = F.get(F.transform(F.array(words), lambda w: _repeated(w, F.floor(hashed / 10))), 0)
+    return F.when(hashed % 10 == 0, edited).otherwise(text)
 
 
 def _repeated(words: Column, g: Column) -> Column:
