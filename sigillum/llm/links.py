@@ -16,17 +16,18 @@ Every comparison is on full sets.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.lookup import lookup
-from .common import stash
-from .neardup import components
+from .common import mix64, slices, stash
+from .components import components
+from .shingles import Powers, shingle_sets
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,6 +37,9 @@ BLOCK = 512  # sets
 WEIGHT = 1 << 20  # shingles of a group
 COLUMNS = 2048
 RANGE = 1 << 18
+CELLS = 1 << 16
+
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 _LINK = "a long, b long"
 
@@ -179,8 +183,10 @@ def _compared_blocks(rows: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     )
 
 
-def bucket_forest(buckets: DataFrame, sets: DataFrame, pct: int, *, rounds: int = ROUNDS) -> DataFrame:
-    """`(node, component)` of the nodes that links within buckets connect.
+def bucket_forest(
+    buckets: DataFrame, sets: DataFrame, pct: int, *, given: DataFrame | None = None, rounds: int = ROUNDS
+) -> DataFrame:
+    """`(node, component)` of the nodes that links within buckets, and those `given`, connect.
 
     `buckets` has distinct `(bucket, node, centre)`, with one centre for each
     bucket; `sets` has `(node, size, shingles)` of all its nodes. Both are stored
@@ -188,6 +194,7 @@ def bucket_forest(buckets: DataFrame, sets: DataFrame, pct: int, *, rounds: int
     """
     stars = buckets.where("node <> centre").select("centre", F.col("node").alias("member")).distinct()
     links = stash(confirmed_stars(stars, sets, pct))
+    links = links if given is None else links.union(given)
     rows = buckets.where("node <> centre").select("bucket", "node")
     labels = components(links)
     for step in range(rounds + 1):
@@ -221,3 +228,108 @@ def _elected(rows: DataFrame, links: DataFrame, sets: DataFrame, pct: int) -> tu
     rows = stash(lookup(rows, chosen, "bucket").where("node <> centre"))
     pairs = rows.where("label <> own").select("centre", F.col("node").alias("member")).distinct()
     return rows, confirmed_stars(pairs, sets, pct)
+
+
+def set_digest(found: np.ndarray) -> bytes | None:
+    """128 bits that tell a set of hashes; none of an empty one."""
+    if not len(found):
+        return None
+    return np.array([found.sum(), mix64(found ^ _GOLDEN).sum()], np.uint64).tobytes()
+
+
+def _set_reader(words: int) -> Callable:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for _, _, raw, offsets in slices(batch.column(0)):
+                sets = [found.view(np.int64) for found in shingle_sets(raw, offsets, words, powers)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([set_digest(found.view(np.uint64)) for found in sets], pa.binary()),
+                        pa.array([len(found) for found in sets], pa.int64()),
+                        pa.array(sets, pa.list_(pa.int64())),
+                    ],
+                    names=["class", "size", "shingles"],
+                )
+
+    return read
+
+
+def key_buckets(keyed: DataFrame) -> DataFrame:
+    """Distinct `(bucket, node, centre)` of the nodes that share a key of `(node, keys)`.
+
+    A bucket is named by what is in it, so keys of the same nodes are one
+    bucket. Rows are sorted into windows, each of one key. Cells of keys are
+    counted before: those with more rows than an average partition hold a hot
+    key, and take an aggregation, combined before the shuffle, and a join whose
+    hot partitions are split.
+    """
+    spark = keyed.sparkSession
+    rows = keyed.select("node", F.explode("keys").alias("key"))
+    cell = F.pmod(F.col("key"), F.lit(CELLS))
+    cells = stash(rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    # Fewer than there are partitions.
+    hot = F.broadcast(cells.where(F.col("n") > max(1, total // partitions)).select("cell", F.lit(True).alias("is_hot")))
+    named = rows.withColumn("cell", cell).join(hot, "cell", "left").drop("cell")
+
+    def of(over):
+        return [
+            over(F.count(F.lit(1))).alias("n"),
+            over(F.min("node")).alias("centre"),
+            over(F.expr("bit_xor(xxhash64(node))")).alias("content"),
+        ]
+
+    window = Window.partitionBy("key")
+    usual = named.where("is_hot IS NULL").select("key", "node")
+    usual = usual.select("node", *of(lambda c: c.over(window))).where("n > 1")
+    busy = named.where("is_hot").select("key", "node")
+    per = busy.groupBy("key").agg(*of(lambda c: c)).where("n > 1")
+    busy = lookup(busy, per, "key").where("n IS NOT NULL").select("node", "n", "centre", "content")
+    return stash(
+        usual.union(busy).select(F.xxhash64("n", "centre", "content").alias("bucket"), "node", "centre").distinct()
+    )
+
+
+def component_ids(named: DataFrame, signed: DataFrame, words: int, pct: int) -> DataFrame:
+    """`(doc_id, n_shingles, component_id)` for each row of `signed`.
+
+    `named` has `(doc_id, text)`; `signed`, a stored table, has `(doc_id,
+    n_shingles, class, keys)` of the same rows, where any two similar sets share
+    a key. Documents of one set are a class, and only its least document's text
+    is read again. Rows of one id are one document.
+    """
+    usable = signed.where("class IS NOT NULL AND doc_id IS NOT NULL")
+    classes = stash(
+        usable.groupBy("class")
+        .agg(F.min("doc_id").alias("doc_id"))
+        .withColumn("node", F.monotonically_increasing_id())
+    )
+    keyed = usable.join(classes, ["doc_id", "class"]).select("node", "keys")
+    buckets = key_buckets(keyed)
+    nodes = stash(buckets.select("node").distinct().join(classes, "node"))
+    read = (
+        named.join(nodes.select("doc_id").hint("merge"), "doc_id", "left_semi")  # as many as there are near copies
+        .select("text")
+        .mapInArrow(_set_reader(words), "class binary, size long, shingles array<long>")
+    )
+    sets = stash(lookup(read, nodes.select("class", "node"), "class").where("node IS NOT NULL")
+                 .select("node", "size", "shingles"))
+    if sets.count() > nodes.count():  # repeated rows
+        sets = stash(sets.dropDuplicates(["node"]))
+
+    of_docs = lookup(usable.select("doc_id", "class"), classes.select("class", "node"), "class").select("doc_id", "node")
+    per_doc = of_docs.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+    same_id = stash(of_docs.join(per_doc, "doc_id").where("node > a").select("a", F.col("node").alias("b")))
+    labels = bucket_forest(buckets, sets, pct, given=None if same_id.isEmpty() else same_id)
+
+    labelled = stash(
+        lookup(classes, labels, "node").select("class", "doc_id", F.coalesce("component", "node").alias("component"))
+    )
+    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    per_class = lookup(labelled.select("class", "component"), least, "component").select("class", "component_id")
+    component_id = F.coalesce("component_id", "doc_id")  # without words
+    return lookup(signed.select("doc_id", "n_shingles", "class"), per_class, "class").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component_id).alias("component_id")
+    )

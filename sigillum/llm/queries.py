@@ -16,6 +16,7 @@ from .neardup import OP3_SQL, op3_minhash
 from .quality import op2_quality
 from .runs import op13_runs
 from .secrets import op5_secrets
+from .setjoin import OP11_SQL, op11_jaccard
 from .toxicity import op6_toxicity
 from .warc import OP7_SQL, op7_warc
 
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
     "op10_language": op10_language,
+    "op11_jaccard": op11_jaccard,
     "op12_alignment": op12_alignment,
     "op13_runs": op13_runs,
 }
@@ -38,4 +40,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash": OP3_SQL,
     "op7_warc": OP7_SQL,
+    "op11_jaccard": OP11_SQL,
 }
