@@ -8,13 +8,13 @@ Steps, each a Spark job over all documents:
    random order of the bins that is its own (optimal densification), so short
    sets behave like long ones.
 2. Documents of equal sets are one class; only its least document goes on.
-3. `ROWS` bins hash to a bucket. In a bucket of several classes the most central
-   one (with the most neighbours over all its buckets) is linked with each
-   other: a star, so a bucket of n has n - 1 candidate edges, not n^2.
+3. `ROWS` bins hash to a key; documents that share one are a bucket. In a bucket
+   the centre is linked with each other: a star, so a bucket of n has n - 1
+   candidate edges, not n^2. Buckets of the same documents are one.
 4. Candidates are confirmed on full sets, components found by least labels.
 5. A bucket that still holds several components may hide a link between two
-   members that are not its centre. Those buckets alone are compared block by
-   block, on full sets.
+   members that are not its centre. It elects further centres, and what is then
+   open is compared block by block, on full sets (`links`).
 
 A pair of similarity 0.8 shares a bucket with a probability of
 1 - (1 - 0.8^6)^48 > 0.9999995, a more similar one with more.
@@ -31,8 +31,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lookup import lookup
-from .common import mix64, shared_folder, slices, stash, table
+from .common import mix64, slices, stash, table
+from .links import component_ids, set_digest
+from .shingles import PLACE, Powers, shingle_sets
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -40,79 +41,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BANDS = 48
 ROWS = 6
 BINS = BANDS * ROWS
-BLOCK = 256
-COLUMNS = 2048
-RANGE = 1 << 18
 WORDS = 5
 SIMILARITY_PCT = 80
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SEEDED = np.random.Generator(np.random.PCG64(20260112))
-_BYTE = _SEEDED.integers(1, 2**63, 256, dtype=np.uint64)
-_PLACE = _SEEDED.integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDED = np.random.Generator(np.random.PCG64(20260113))
 # _RANK[i, j]: how early bin i, if empty, asks bin j.
 _RANK = np.argsort(np.argsort(_SEEDED.random((BINS, BINS)), axis=1), axis=1).astype(np.uint16)
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 20)
-            for name, base in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 2**64))):
-                factors = np.full(size, base, np.uint64)
-                factors[0] = 1
-                setattr(self, name, np.cumprod(factors, dtype=np.uint64))
-        return self.up[:n], self.down[:n]
-
-
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int, powers: _Powers) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text.
-
-    Words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased.
-    A text of fewer words than a shingle is one shingle; without words it has none.
-    """
-    n = len(raw)
-    if n == 0:
-        for _ in range(len(offsets) - 1):
-            yield np.zeros(0, np.uint64)
-        return
-    in_word = (raw != 0x20) & ((raw < 0x09) | (raw > 0x0D))
-    lower = np.where((raw >= 0x41) & (raw <= 0x5A), raw + np.uint8(32), raw)
-    breaks = np.zeros(n + 1, bool)  # a text ends its last word
-    breaks[offsets] = True
-    starts = in_word.copy()
-    starts[1:] &= ~in_word[:-1] | breaks[1:n]
-    ends = in_word.copy()
-    ends[:-1] &= ~in_word[1:] | breaks[1:n]
-    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = powers.of(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[lower] * up, out=sums[1:])
-    hashed = mix64((sums[ends] - sums[starts]) * down[starts])
-    first = np.searchsorted(starts, offsets)
-    if len(hashed) >= words:
-        rolled = np.zeros(len(hashed) - words + 1, np.uint64)
-        for k in range(words):
-            rolled += hashed[k : len(hashed) - words + 1 + k] * _PLACE[k]
-        rolled = mix64(rolled)
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        if b - a >= words:
-            found = np.sort(rolled[a : b - words + 1])
-            keep = np.empty(len(found), bool)
-            keep[0] = True
-            np.not_equal(found[1:], found[:-1], out=keep[1:])
-            yield found[keep]
-        elif b > a:
-            yield mix64((hashed[a:b] * _PLACE[8 : 8 + b - a]).sum(keepdims=True) + _PLACE[40 + b - a])
-        else:
-            yield np.zeros(0, np.uint64)
-
-
 def signature(found: np.ndarray) -> np.ndarray:
     """One value for each bin. `found` is sorted, so bins are runs and least values come first."""
     bins = ((found >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
@@ -131,8 +68,8 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 def _sketcher(words: int) -> Callable:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _Powers()
-        places = _PLACE[:ROWS]
+        powers = Powers()
+        places = PLACE[:ROWS]
         salts = _SEEDED_BANDS
         for batch in batches:
             ids = batch.column(0)
@@ -140,12 +77,10 @@ def _sketcher(words: int) -> Callable:
                 sizes, classes, bands = [], [], []
                 for found in shingle_sets(raw, offsets, words, powers):
                     sizes.append(len(found))
+                    classes.append(set_digest(found))
                     if not len(found):
-                        classes.append(None)
                         bands.append(None)
                         continue
-                    both = np.array([found.sum(), mix64(found ^ _BASE).sum()], np.uint64)
-                    classes.append(both.tobytes())
                     values = signature(found)
                     keys = mix64((values.reshape(BANDS, ROWS) * places).sum(axis=1) + salts)
                     bands.append(keys.view(np.int64))
@@ -156,7 +91,7 @@ def _sketcher(words: int) -> Callable:
                         pa.array(classes, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "class", "bands"],
+                    names=["doc_id", "n_shingles", "class", "keys"],
                 )
 
     return sketch
@@ -165,152 +100,6 @@ def _sketcher(words: int) -> Callable:
 _SEEDED_BANDS = mix64(np.arange(1, BANDS + 1, dtype=np.uint64) * _BASE)
 
 
-def _set_reader(words: int) -> Callable:
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _Powers()
-        for batch in batches:
-            ids = batch.column(0)
-            for first, end, raw, offsets in slices(batch.column(1)):
-                sets = [found.view(np.int64) for found in shingle_sets(raw, offsets, words, powers)]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, end - first), pa.array(sets, pa.list_(pa.int64()))],
-                    names=["node", "shingles"],
-                )
-
-    return read
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """`(node, component)`: the least node that `(a, b)` edges reach.
-
-    Each round takes the least label of the neighbours and then the label of
-    that label, so chains shorten by more than half. A hub's edges are combined
-    before the shuffle. Every round is cut off by a checkpoint.
-    """
-    shared_folder(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    both = stash(both)
-    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-                   .select("node", F.least("node", "m").alias("component")))
-    while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        lowered = labels.join(near, "node").select(
-            "node", F.least("component", "near").alias("low"), F.col("component").alias("was")
-        )
-        far = labels.select(F.col("node").alias("low"), F.col("component").alias("far"))
-        moved = stash(
-            lookup(lowered, far, "low").select(
-                "node", F.least("low", "far").alias("component"), "was"
-            )
-        )
-        labels = moved.select("node", "component")
-        if moved.where("component <> was").isEmpty():
-            return labels
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The `(a, b)` pairs that are similar enough, by their full sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    both = pairs.join(right, "b").join(left, "a")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return (
-        both.select("a", "b", common.alias("c"), (F.size("of_a") + F.size("of_b")).alias("n"))
-        .where(f"100L * c >= {pct}L * (n - c)")
-        .select("a", "b")
-    )
-
-
-def _compare_blocks(rows: pa.Table) -> pa.Table:
-    """Links between the left and the right rows of a group, by their full sets.
-
-    One link of a left row with each component on the right is enough.
-    """
-    node = rows.column("node").to_numpy()
-    component = rows.column("component").to_numpy()
-    side = rows.column("is_left").to_numpy(zero_copy_only=False)
-    sets = rows.column("shingles").combine_chunks()
-    size = sets.value_lengths().to_numpy()
-    owner, values = np.repeat(np.arange(len(node)), size), sets.flatten().to_numpy()
-    left, right = np.flatnonzero(side), np.flatnonzero(~side)
-    common = np.zeros((len(left), len(right)), np.float32)
-    # Hashes are even, so ranges of them bound the memory, however long the texts are.
-    bounds = np.linspace(-(2.0**63), 2.0**63, 2 + len(values) // RANGE)[1:-1].astype(np.int64)
-    part = np.searchsorted(bounds, values, "right") if len(bounds) else np.zeros(len(values), np.int8)
-    for k in range(len(bounds) + 1):
-        inside = np.flatnonzero(part == k)
-        _, column, times = np.unique(values[inside], return_inverse=True, return_counts=True)
-        is_shared = times > 1
-        keep = is_shared[column]
-        who, column = owner[inside][keep], (np.cumsum(is_shared) - 1)[column[keep]]
-        order = np.argsort(column, kind="stable")
-        who, column = who[order], column[order]
-        for start in range(0, int(is_shared.sum()), COLUMNS):
-            a, b = np.searchsorted(column, (start, start + COLUMNS))
-            grid = np.zeros((len(node), COLUMNS), np.float32)
-            grid[who[a:b], column[a:b] - start] = 1
-            common += grid[left] @ grid[right].T
-    common = common.astype(np.int64)
-    union = size[left][:, None] + size[right][None, :] - common
-    linked = (100 * common >= SIMILARITY_PCT * union) & (component[left][:, None] != component[right][None, :])
-    i, j = np.nonzero(linked)
-    _, first = np.unique(np.stack([i, component[right][j]]), axis=1, return_index=True)
-    a, b = node[left][i[first]], node[right][j[first]]
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-
-def _hidden_links(starred: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links within a bucket that its star could not show, one for each pair of components.
-
-    A bucket is open if it holds several components besides its centre. There
-    the members outside the largest one, on the left, meet all, on the right.
-    Both sides are dealt into blocks, and a group is one pair of blocks, so no
-    group has more than some hundred sets whatever the bucket holds.
-    """
-    rest = lookup(
-        starred.where("rep <> centre").select("key", F.col("rep").alias("node")), labels, "node"
-    ).withColumn("component", F.coalesce("component", "node"))
-    largest = (
-        rest.groupBy("key", "component")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("key")
-        .agg(
-            F.max(F.struct("n", "component")).alias("main"),
-            F.sum("n").alias("n"),
-            F.count(F.lit(1)).alias("parts"),
-        )
-        .where("parts > 1")
-        .selectExpr(
-            "key",
-            "main.component AS main",
-            f"CAST(ceil((n - main.n) / {BLOCK}) AS INT) AS lefts",
-            f"CAST(ceil(n / {BLOCK}) AS INT) AS rights",
-        )
-    )
-    seats = """explode(concat(
-        transform(sequence(0, lefts - 1), b -> struct(
-            b AS left_block, CAST(pmod(xxhash64(node), rights) AS INT) AS right_block, false AS is_left)),
-        CASE WHEN component = main THEN array() ELSE
-            transform(sequence(0, rights - 1), b -> struct(
-                CAST(pmod(xxhash64(node), lefts) AS INT) AS left_block, b AS right_block, true AS is_left)) END
-    ))"""
-    seated = (
-        rest.join(largest, "key")
-        .select("key", "node", "component", F.expr(seats).alias("seat"))
-        .select("key", "node", "component", "seat.*")
-    )
-    return (
-        seated.join(sets, "node")
-        .groupBy("key", "left_block", "right_block")
-        .applyInArrow(_compare_blocks, "a long, b long")
-        .distinct()
-    )
-
-
 def near_duplicates(
     docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -329,64 +118,11 @@ def near_duplicates(
     sketched = stash(
         named.mapInArrow(
             _sketcher(words),
-            "doc_id long, n_shingles long, class binary, bands array<long>",
+            "doc_id long, n_shingles long, class binary, keys array<long>",
         )
     )
-    usable = sketched.where("class IS NOT NULL AND doc_id IS NOT NULL")
-    classes = usable.groupBy("class").agg(F.min("doc_id").alias("rep"))
-    member_of = stash(
-        lookup(usable.select("doc_id", "class"), classes, "class").select("doc_id", "rep").distinct()
-    )
-    reps = (
-        usable.join(member_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-        .select("doc_id", "bands")
-    )
-    banded = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    bucketed = stash(banded.join(shared, "key").select("key", "rep", "size"))
-
-    centrality = bucketed.groupBy("rep").agg(F.sum("size").alias("weight"))
-    centres = (
-        lookup(bucketed.select("key", "rep"), centrality, "rep")
-        .groupBy("key")
-        .agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("most"))
-        .select("key", (-F.col("most.minus")).alias("centre"))
-    )
-    starred = stash(lookup(bucketed.select("key", "rep"), centres, "key"))
-    stars = stash(
-        starred.where("rep <> centre")
-        .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-        .distinct()
-    )
-    nodes = stars.select("a").union(stars.select("b")).distinct().withColumnRenamed("a", "node")
-    sets = stash(
-        named.withColumnRenamed("doc_id", "node")
-        .join(nodes.hint("merge"), "node", "left_semi")  # as many as the corpus has near copies
-        .select("node", "text")
-        .mapInArrow(_set_reader(words), "node long, shingles array<long>")
-    )
-    links = stash(_confirmed(stars, sets, SIMILARITY_PCT))
-    labels = components(links)
-    hidden = stash(_hidden_links(starred, labels, sets))
-    if not hidden.isEmpty():
-        labels = components(links.union(hidden))
-
-    found = lookup(
-        lookup(
-            sketched.select("doc_id", "n_shingles"),
-            member_of.groupBy("doc_id").agg(F.min("rep").alias("rep")),
-            "doc_id",
-        ),
-        labels.select(F.col("node").alias("rep"), "component"),
-        "rep",
-    )
-    component = F.coalesce("component", "rep", "doc_id")
-    return found.select(
-        "doc_id",
-        "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-    )
+    found = component_ids(named, sketched, words, SIMILARITY_PCT)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, *, words: int = WORDS) -> DataFrame:

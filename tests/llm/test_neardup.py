@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from sigillum.llm import neardup
+from sigillum.llm import links, neardup
 from sigillum.llm.neardup import drop_near_duplicates, near_duplicates
 
 SCHEMA = "doc_id long, text string"
@@ -69,7 +69,7 @@ def test_agrees_with_all_pairs(spark):
 
 def test_links_that_no_star_shows(spark, monkeypatch):
     """One large family around the limit; blocks of four make many pairs of blocks."""
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(links, "BLOCK", 4)
     rows = families(2, 2, 90, 0.05, (120, 130))
     expected = brute_force(rows, 4)
     assert len({c for _, _, c, _ in expected}) > 2
