@@ -62,13 +62,28 @@ BREAKS_OUT = BLOCKS | frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": "li", "dt": "dd", "dd": "dd", "tr": "tr", "td": "td", "th": "td", "option": "option"}
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|nav\w*|menus?|breadcrumbs?|foot(?:er)?"
-    r"|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|sign-?up"
-    r"|log-?in|search|share|sharing|social|follow|related|recommend\w*|trending|popular|more-?stories|comments?"
-    r"|commentlist|disqus\w*|repl(?:y|ies)|discussion|responses|widgets?|tags|pagination|pager|copyright|disclaimer)"
-    r"(?:$|[\s_-])",
-    re.IGNORECASE,
+# Words that class and id names of page furniture are made of.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies response responses respond".split())
+FURNITURE = frozenset(
+    "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav nav"
+    " navbar navigation menu submenu breadcrumb breadcrumbs footer masthead topbar toolbar pagination pager cookie cookies"
+    " gdpr consent newsletter notice notices alert popup paywall skip-link tagcloud".split()
+)
+# Titles of sections may be these: within an article they count only where there is no prose.
+DOUBTFUL = frozenset(
+    "discussion search related popular trending recommended recommendation recommendations social share sharing shares"
+    " follow tags side copyright disclaimer subscribe subscription login signin signup widget widgets overlay modal"
+    " more-stories header foot top".split()
+)
+# What such words say something about: `related-posts`, `share-buttons`, `cookie-bar`.
+OBJECTS = frozenset(
+    "post posts article articles story stories link links content news button buttons icon icons bar box banner form list"
+    " item items notice popup modal overlay area section wrapper wrap container inner slot unit block panel media thread"
+    " body text title row column widget widgets toggle menu nav top bottom left right main wide primary secondary".split()
+)
+# What is said by them is about the layout or the subject of an article: `has-sidebar`, `tag-popular`.
+SAYS_OF = frozenset(
+    "has no not with without hide show is in category cat tag topic type status format author term taxonomy section".split()
 )
 # Within an article ids are often made of titles: these whole names only are of something else.
 BAD_ID = re.compile(
@@ -83,140 +98,253 @@ BAD_ID = re.compile(
     re.IGNORECASE,
 )
 MAIN_NAME = re.compile(
-    r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:[_-]?(?:body|text|content))?(?:$|\s)", re.IGNORECASE
+    r"(?:^|.*[_-])(?:article|post|entry|story|main|content)(?:[_-]?(?:body|text|content))?", re.IGNORECASE | re.DOTALL
 )
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
-BAD_ROLE = re.compile(
-    r"role\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu)", re.IGNORECASE
+BAD_ROLES = frozenset(
+    "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
 )
+_NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_PARTS = re.compile(r"[_-]+")
 
 LONG, SHORT = 120, 40  # characters
 HIGH_STOPS, LOW_STOPS = 0.2, 0.08
 MOST_LINKS = 0.4
+LONG_SIGNS = 40  # of scripts that write words or syllables
+WRAPS, WRAPS_FORM = 0.8, 0.5  # shares of a page's prose
 
-_TOKEN = re.compile(
-    r"<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)(?:>|\Z)"
-    r"|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
-    re.DOTALL | re.IGNORECASE,
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(
+    r"[\s/]*+(?:(?P<end>>)|(?P<name>[^\s/>][^\s/>=]*+)"
+    r"(?:\s*+=\s*+(?:\"(?P<double>[^\"]*+)\"|'(?P<single>[^']*+)'|(?P<open>[\"'])|(?P<bare>[^\s>]*+)))?)"
 )
-# Where comments and elements of text only end; within noscript it ends them as well.
-_ENDS = {"<!--": "-->"} | {name: rf"</{name}(?=[\s/>])[^>]*>" for name in RAW}
+_READ = frozenset(("class", "id", "role", "style", "hidden", "aria-hidden"))
+# Where elements of text only end; within noscript its end ends them as well.
 _END = {
-    (name, within): re.compile(end + (r"|(?=</noscript[\s/>])" if within else "") + r"|\Z", re.IGNORECASE)
-    for name, end in _ENDS.items()
+    (name, within): re.compile(rf"</{name}(?=[\s/>])[^>]*>" + (r"|(?=</noscript[\s/>])" if within else "") + r"|\Z", re.I)
+    for name in RAW
     for within in (False, True)
 }
-_NAMED = re.compile(r"(?:^|\s)(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_COMMENT_END = {
+    False: re.compile(r"--!?>|\Z"),
+    True: re.compile(r"--!?>|(?=</noscript[\s/>])|\Z", re.IGNORECASE),
+}
 _WORD = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile(r"[A-Za-z\u00aa\u00ba\u00c0-\u02af\u1e00-\u1eff]")
+_SIGN = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\ua000-\ua4cf\uac00-\ud7af\uf900-\ufaff]")
+_SENTENCE = re.compile(r"[.!?\u2026](?=\s|[\"')\u00bb\u201d\u2019]|\Z)|[\u0964\u3002\uff01\uff1f\u061f\u06d4]")
 
+_COMMENT, _STRONG, _WEAK, _HARD = "comment", "strong", "weak", "hard"
 
-@dataclass(slots=True)
-class Block:
-    is_bad: bool  # by its place
-    is_main: bool
-    parts: list[str] = field(default_factory=list)
-    links: list[str] = field(default_factory=list)
-    text: str = ""
 
-    def link_share(self) -> float:
-        return len(" ".join("".join(self.links).split())) / max(1, len(self.text))
+def attributes(page: str, place: int) -> tuple[dict[str, str], bool, int]:
+    """`(values by name, whether the tag closes itself, where it ends)`, from behind a tag's name.
 
-    def stop_share(self) -> float:
-        words = _WORD.findall(self.text.lower())
-        return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    A quote opens a value only after an equals sign. A tag whose value is never
+    closed ends at its first `>`, one without any `>` at the page's end.
+    """
+    if page.startswith(">", place):
+        return {}, False, place + 1
+    found: dict[str, str] = {}
+    at = place
+    while True:
+        match = _ATTRIBUTE.match(page, at)
+        if match is None:
+            return found, False, len(page)
+        if match["open"]:
+            end = page.find(">", place)
+            return found, False, len(page) if end < 0 else end + 1
+        if match["end"]:
+            is_closed = page[match.start("end") - 1] == "/" and match.start("end") - 1 >= at
+            return found, is_closed, match.end()
+        name = match["name"].lower()
+        if name in _READ and name not in found:
+            value = match["double"] or match["single"] or match["bare"] or ""
+            found[name] = html.unescape(value) if "&" in value else value
+        at = match.end()
+
+
+def name_kind(name: str) -> str | None:
+    """What a class or id says of its element, as a whole: of comments, of furniture, or in doubt."""
+    parts = [p for p in _PARTS.split(_CAMEL.sub("-", name).lower()) if p]
+    while len(parts) > 1 and parts[-1].isdigit():
+        parts.pop()
+    if not parts or (len(parts) > 1 and parts[0] in SAYS_OF):
+        return None
+    whole, last = "-".join(parts), parts[-1]
+    if whole in COMMENT_NAMES:
+        return _COMMENT
+    if whole in FURNITURE:
+        return _STRONG
+    if whole in DOUBTFUL:
+        return _WEAK
+    if len(parts) == 1:
+        return None
+    others = parts[1:]
+    if parts[0] in COMMENT_NAMES and all(p in OBJECTS or p in COMMENT_NAMES or p == "author" for p in others):
+        return _COMMENT
+    if last in ("comments", "commentlist", "replies"):
+        return _COMMENT
+    if last in FURNITURE or (parts[0] in FURNITURE and all(p in OBJECTS for p in others)):
+        return _STRONG
+    if parts[0] in DOUBTFUL and all(p in OBJECTS or p in FURNITURE for p in others):
+        return _WEAK if parts[0] in ("header", "top", "side") else _STRONG
+    return None
 
 
-@dataclass(slots=True)
-class _Open:
+@dataclass(slots=True, eq=False)
+class Node:
+    """An element, and what its place and its content say of it."""
+
     name: str
-    is_bad: bool
-    is_main: bool
-    is_link: bool
-    is_header: bool = False  # of an article: only its headings belong to it
+    parent: Node | None
+    kind: str | None = None
+    is_main: bool = False  # in an article
+    opens_main: bool = False
+    is_link: bool = False
     is_unseen: bool = False
     is_foreign: bool = False
     is_noscript: bool = False
+    mark: Node | None = None  # the nearest element that may decide
+    mains: int = 0  # articles within
+    prose: int = 0
+    length: int = 0
+    is_bad: bool = False
+    is_header: bool = False  # of an article: only its headings belong to it
 
 
-def _is_bad_name(name: str, named: list[tuple[str, str]], is_main: bool) -> bool:
-    """Whether class or id tell that an element is not of the article."""
-    if name in HEADINGS:
-        return False
-    classes = " ".join(value for kind, value in named if kind == "class")
-    ids = [value.strip() for kind, value in named if kind == "id"]
-    if not is_main:
-        return bool(BAD_NAME.search(" ".join((classes, *ids))))
-    # A section's id is its title's.
-    is_section = name == "section" or "section" in classes.lower().split()
-    return bool(BAD_NAME.search(classes)) or (not is_section and any(map(BAD_ID.fullmatch, ids)))
+@dataclass(slots=True, eq=False)
+class Block:
+    node: Node
+    is_joined: bool  # no element of its own starts here
+    parts: list[str] = field(default_factory=list)
+    links: list[str] = field(default_factory=list)
+    text: str = ""
+    is_bad: bool = False
+    is_main: bool = False
+
+    def settle(self) -> None:
+        self.text = " ".join(html.unescape("".join(self.parts)).split())
+
+    def link_share(self) -> float:
+        return len(" ".join("".join(self.links).split())) / max(1, len(self.text)) if self.links else 0.0
 
+    def stop_share(self) -> float:
+        words = _WORD.findall(self.text.lower())
+        return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
-def _opened(name: str, rest: str, above: _Open) -> _Open:
-    is_bad, is_main = above.is_bad, above.is_main
+    def is_long(self) -> bool:
+        n = len(self.text)
+        return n >= LONG or (n >= LONG_SIGNS and len(_SIGN.findall(self.text)) * 2 >= n)
+
+    def is_listed(self) -> bool:
+        """Whether a list of stop words may know its script."""
+        letters = sum(map(len, _WORD.findall(self.text)))
+        return len(_LATIN.findall(self.text)) * 2 >= letters
+
+
+def _kind(name: str, read: dict[str, str], above: Node) -> tuple[str | None, bool]:
+    """What class, id, role and style say, and whether they name an article."""
+    if not read or name in ("html", "body"):
+        return None, False
+    classes = read.get("class", "").split()
+    own_id = read.get("id", "").strip()
+    is_section = name == "section" or "section" in map(str.lower, classes)
+    kinds = [] if name in HEADINGS else [name_kind(c) for c in classes]
+    if own_id and name not in HEADINGS:
+        if not above.is_main:
+            kinds.append(name_kind(own_id))
+        elif not is_section and BAD_ID.fullmatch(own_id):  # a section's id is its title's
+            kinds.append(_COMMENT if own_id.lower().startswith(("comment", "disqus", "respond")) else _STRONG)
+    is_article = any(MAIN_NAME.fullmatch(c) and not name_kind(c) for c in [*classes, own_id] if c)
     if name in MAIN:
-        is_main = True
-    is_header = above.is_header
-    if name == "header" and above.is_main and not is_bad:
-        is_header = is_bad = True
-    elif is_header and name in HEADINGS:
-        is_header = is_bad = False
-    if name in BAD or name == "header":
-        is_bad = True
-    if rest:
-        named = [(kind.lower(), next(filter(None, value), "")) for kind, *value in _NAMED.findall(rest)]
-        names = " ".join(value for _, value in named)
-        if name not in ("html", "body") and (
-            _is_bad_name(name, named, is_main) or HIDDEN.search(rest) or BAD_ROLE.search(rest)
-        ):
-            is_bad = True
-        elif MAIN_NAME.search(names):
-            is_main = True
-    is_foreign = name in FOREIGN or (above.is_foreign and name not in HTML_WITHIN)
-    is_unseen = above.is_unseen or name in UNSEEN
-    is_noscript = above.is_noscript or name == "noscript"
-    return _Open(name, is_bad, is_main, above.is_link or name == "a", is_header, is_unseen, is_foreign, is_noscript)
+        kinds = [k for k in kinds if k == _COMMENT]
+    elif is_article:
+        kinds = [k for k in kinds if k != _WEAK]
+    is_hidden = (
+        "hidden" in read and read["hidden"].lower() != "until-found"
+        or read.get("aria-hidden", "").strip().lower() == "true"
+        or _NONE.search(read.get("style", ""))
+    )
+    if is_hidden or any(r in BAD_ROLES for r in read.get("role", "").lower().split()):
+        return _HARD, is_article
+    for kind in (_COMMENT, _STRONG, _WEAK):
+        if kind in kinds:
+            return kind, is_article and kind == _WEAK
+    return None, is_article
+
+
+def _opened(name: str, read: dict[str, str], above: Node) -> Node:
+    kind, is_article = _kind(name, read, above)
+    opens_main = (name in MAIN and kind != _COMMENT) or is_article
+    node = Node(
+        name,
+        above,
+        kind,
+        is_main=above.is_main or name in MAIN or is_article,
+        opens_main=opens_main,
+        is_link=above.is_link or name == "a",
+        is_unseen=above.is_unseen or name in UNSEEN,
+        is_foreign=name in FOREIGN or (above.is_foreign and name not in HTML_WITHIN),
+        is_noscript=above.is_noscript or name == "noscript",
+    )
+    decides = kind or name in BAD or name == "header" or node.is_main != above.is_main or name in HEADINGS
+    node.mark = node if decides else above.mark
+    return node
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks with text, in page order, each with its place."""
-    stack = [_Open("", False, False, False)]
+def _parsed(page: str) -> tuple[list[Node], list[Block]]:
+    """The elements, parents first, and the blocks with text, in page order."""
+    root = Node("", None)
+    root.mark = root
+    nodes, stack = [root], [root]
     found: list[Block] = []
     current: Block | None = None
-    place = 0
-    while place < len(page):
+    is_joined = False
+    place, size = 0, len(page)
+    while place < size:
         top = stack[-1]
-        if top.is_foreign and page.startswith("<![CDATA[", place):
+        if page[place] != "<":
+            end = page.find("<", place)
+            text, place = page[place : size if end < 0 else end], size if end < 0 else end
+        elif tag := _TAG.match(page, place):
+            text = None
+        elif top.is_foreign and page.startswith("<![CDATA[", place):
             end = page.find("]]>", place)
-            end = len(page) if end < 0 else end
+            end = size if end < 0 else end
             if current is not None and not top.is_unseen:
                 current.parts.append(html.escape(page[place + 9 : end]))
             place = end + 3
             continue
-        if page.startswith("<!--", place):
-            place = _END["<!--", top.is_noscript].search(page, place + 4).end()
+        elif page.startswith("<!--", place):
+            if page.startswith((">", "->"), place + 4):
+                place = page.index(">", place) + 1
+            else:
+                place = _COMMENT_END[top.is_noscript].search(page, place + 4).end()
+            continue
+        elif page.startswith(("<!", "<?", "</"), place):
+            end = page.find(">", place)
+            place = size if end < 0 else end + 1
             continue
-        token = _TOKEN.match(page, place)
-        place = token.end()
-        text = token["text"]
+        else:
+            text, place = "<", place + 1
         if text is not None:
             if top.name == "head" and not text.isspace():
                 stack.pop()
                 top = stack[-1]
             if top.is_unseen:
                 continue
-            if current is None or current.is_bad != top.is_bad or current.is_main != top.is_main:
-                current = Block(top.is_bad, top.is_main)
+            if current is None or current.node.mark is not top.mark:
+                current = Block(top, is_joined and current is not None)
                 found.append(current)
+                is_joined = True
             current.parts.append(text)
             if top.is_link:
                 current.links.append(text)
             continue
-        name = token["name"] or token["name2"]
-        if name is None:
-            continue
-        name = name.lower()
-        if token["close"] or token["close2"]:
+        is_end, name = tag[1], tag[2].lower()
+        read, is_closed, place = attributes(page, tag.end())
+        if is_end:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
                     del stack[k:]
@@ -224,7 +352,6 @@ def blocks(page: str) -> list[Block]:
             if (name in BLOCKS or name == "head") and not stack[-1].is_unseen:
                 current = None
             continue
-        rest = token["rest"] or token["rest2"] or ""
         if name in BREAKS_OUT:
             while stack[-1].is_foreign:
                 stack.pop()
@@ -247,19 +374,87 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k].name in BLOCKS or stack[k].name in UNSEEN or stack[k].name in FOREIGN:
                     break
-        if name not in VOID and not rest.endswith("/"):
-            stack.append(_opened(name, rest, stack[-1]))
+        if name not in VOID and not is_closed:
+            node = _opened(name, read, stack[-1])
+            stack.append(node)
+            nodes.append(node)
+    for block in found:
+        block.settle()
+    return nodes, found
+
+
+def _judge(nodes: list[Node], found: list[Block]) -> None:
+    """Decides for each element whether it is of the article, by names and by what it holds.
+
+    An element that holds all articles of the page is none of its furniture, nor
+    is a form or a layout that holds most of its prose.
+    """
     for block in found:
-        block.text = " ".join(html.unescape("".join(block.parts)).split())
-    return [block for block in found if block.text]
+        n = len(block.text)
+        block.node.length += n
+        if n >= SHORT and block.link_share() <= MOST_LINKS and (
+            block.stop_share() >= (LOW_STOPS if n >= LONG else HIGH_STOPS) or (block.is_long() and not block.is_listed())
+        ):
+            block.node.prose += n
+    for node in reversed(nodes):
+        node.mains += node.opens_main
+        if node.parent is not None:
+            node.parent.mains += node.mains
+            node.parent.prose += node.prose
+            node.parent.length += node.length
+    mains, prose = nodes[0].mains, nodes[0].prose
+    for node in nodes[1:]:
+        above, name = node.parent, node.name
+        is_bad, is_header = above.is_bad, above.is_header
+        holds_all = mains > 0 and node.mains == mains
+        if name == "header" and above.is_main and not is_bad:
+            is_header = is_bad = True
+        elif is_header and name in HEADINGS:
+            is_header = is_bad = False
+        if name == "form":
+            is_bad = is_bad or not (holds_all or (prose > 0 and node.prose > WRAPS_FORM * prose))
+        elif name in BAD or name == "header":
+            is_bad = True
+        if node.kind == _WEAK:
+            is_bad = is_bad or not (holds_all or (above.is_main and 0 < node.length <= 2 * node.prose))
+        elif node.kind == _STRONG:
+            is_bad = is_bad or not (holds_all or (mains == 0 and node.prose > WRAPS * prose))
+        elif node.kind:
+            is_bad = is_bad or not holds_all
+        node.is_bad, node.is_header = is_bad, is_header
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks with text, in page order, each with its place."""
+    nodes, found = _parsed(page)
+    _judge(nodes, found)
+    joined: list[Block] = []
+    for block in found:
+        block.is_bad, block.is_main = block.node.is_bad, block.node.is_main
+        last = joined[-1] if joined else None
+        if block.is_joined and last and (last.is_bad, last.is_main) == (block.is_bad, block.is_main):
+            last.parts += block.parts
+            last.links += block.links
+            last.settle()
+        else:
+            joined.append(block)
+    return [block for block in joined if block.text]
+
+
+def _is_known_language(found: list[Block]) -> bool:
+    """Whether the stop words of the lists occur in the page's prose at all."""
+    long = [b for b in found if not b.is_bad and len(b.text) >= LONG and b.is_listed() and b.link_share() <= MOST_LINKS]
+    return not long or sum(b.stop_share() * len(b.text) for b in long) >= LOW_STOPS * sum(len(b.text) for b in long)
 
 
-def _first_pass(block: Block, has_main: bool) -> bool | None:
+def _first_pass(block: Block, has_main: bool, is_known: bool) -> bool | None:
     """Good, bad, or None for undecided."""
     if block.is_bad or (has_main and not block.is_main):
         return False
     if block.link_share() > MOST_LINKS:
-        return None if block.is_main and len(block.text) < LONG else False
+        return None if block.is_main and not block.is_long() else False
+    if not block.is_listed() or not is_known:
+        return True if block.is_long() and _SENTENCE.search(block.text) else None
     stops = block.stop_share()
     if len(block.text) >= LONG and stops >= LOW_STOPS:
         return True
@@ -274,7 +469,8 @@ def main_text(page: str) -> str:
     """The article's text: its blocks joined by one space, empty if there is none."""
     found = blocks(page)
     has_main = any(b.is_main and not b.is_bad for b in found)
-    first = [_first_pass(b, has_main) for b in found]
+    is_known = _is_known_language(found)
+    first = [_first_pass(b, has_main, is_known) for b in found]
     # A decided block outside the article says nothing about one inside it.
     says = [c if c or not (has_main and (b.is_bad or not b.is_main)) else None
             for b, c in zip(found, first, strict=True)]
@@ -325,10 +521,16 @@ def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     text. What a page leaves open (elements, comments, quotes) ends with the
     page or with the element around it; a head ends at the first element or text
     that cannot be in one, SVG and MathML at the first HTML element that cannot
-    be in them. Formulas are text, but for their annotations. Names of headings
-    tell nothing; within an article an id tells what is not of it as a whole
-    name only, and that of a section nothing. NULL and repeated ids and urls stay as they are. Further columns are
-    not read. An empty table gives none.
+    be in them. Formulas are text, but for their annotations. A very long page is
+    read whole, in time that follows its length. Names of headings tell nothing;
+    within an article an id tells what is not of it as a whole name only, and that
+    of a section nothing. Classes and ids are compared as whole names; no class
+    of an `article` or of what holds all articles makes it furniture, nor does a
+    form or a layout that holds most of the prose. Prose of scripts and languages
+    that the lists of stop words do not know is told by its length, its links and
+    the ends of its sentences. Equal pages have equal texts; NULL and repeated
+    ids and urls stay as they are. Further columns, whatever their names, are not
+    read. An empty table gives none.
     """
     return pages.select("page_id", "url", extracted(F.col(html_col)).alias("text")).withColumn(
         "n_chars", F.char_length("text").cast("long")

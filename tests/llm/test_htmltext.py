@@ -147,3 +147,79 @@ def test_ids_made_of_titles_drop_no_other_element_of_an_article(name):
 ])
 def test_ids_of_what_is_around_are_known_within_an_article(name):
     assert main_text(f"<article><p>{LONG}</p><div id='{name}'><p>{AD}</p></div><p>{MORE}</p></article>") == f"{LONG} {MORE}"
+
+
+RUSSIAN = ("Утром над рекой поднялся туман, и рыбаки долго ждали, пока он рассеется. Потом они спустили лодки на воду и "
+           "поплыли к дальнему берегу, где всегда хорошо ловилась рыба.")
+CHINESE = "清晨的河面上升起了薄雾，渔夫们等了很久才等到雾气散去。然后他们把船推下水，向对岸划去，那里的鱼总是很多，也很容易捕到。"
+POLISH = ("Rano nad rzeką wstała mgła, więc rybacy długo czekali, aż się rozwieje. Potem zepchnęli łodzie na wodę, popłynęli "
+          "ku dalekiemu brzegowi, gdzie zawsze dobrze brały ryby.")
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='site has-sidebar'><article>{}</article></div>",
+    "<div class='no-sidebar'>{}</div>",
+    "<main class='page with-nav'>{}</main>",
+    "<article class='post category-search'>{}</article>",
+    "<article class='post-12 tag-popular'>{}</article>",
+    "<article class='sidebar ad'>{}</article>",
+    "<div class='sidebar-left'><div class='post-content'>{}</div></div>",
+    "<div id='search' role='main'><article>{}</article></div>",
+    "<div class='right-sidebar'><main>{}</main><div class='sidebar'><p>" + AD + "</p></div></div>",
+    "<div class='tag-list-page section-comments'>{}</div>",
+    "<form id=aspnetForm><div class=top><a href='/'>Home</a></div><article>{}</article></form>",
+    "<form action='/'><input type=hidden name=x>{}</form>",
+    "<div class='headerless'>{}</div>", "<div class='adapted shadow loading'>{}</div>",
+    "<div id=wrapper class='footer-below'>{}<footer>" + AD + "</footer></div>",
+])
+def test_layout_and_subject_names_drop_no_article(page):
+    inside = f"<h1>Title</h1><p>{LONG}</p><p>{MORE}</p>"
+    assert main_text(f"<html><body>{page.format(inside)}</body></html>") == f"Title {LONG} {MORE}"
+
+
+@pytest.mark.parametrize("inside, text", [
+    (f"<section class='discussion'><h2>Two</h2><p>{MORE}</p></section>", f"Two {MORE}"),
+    (f"<div class='related'><p>{MORE}</p></div>", MORE),
+    (f"<div class='search popular'>{MORE}</div>", MORE),
+    ("<p title='a hidden gem'>A gem</p>", "A gem"),
+    ("<p data-role='formatted'>A form</p>", "A form"),
+    ("<p data-hidden=hidden data-x='display:none'>Shown</p>", "Shown"),
+    ("<p title=Bob's>A</p><p title=Ann's>B</p>", "A B"),
+    ("<p title=5\">A</p><p title = 'x>y' class=\"z\">B</p>", "A B"),
+    ("<p a='1'b=\"2\"c>A</p><p =x>B</p>", "A B"),
+    ("<!-- x --!>A", "A"), ("<!-->A", "A"), ("<!--->A", "A"), ("<!-- > -- ->-->A", "A"), ("<!--x--><!----->A", "A"),
+    ("<p class=a class=sidebar>first counts</p>", "first counts"),
+    ("<p CLASS='Side-Effects'>A</p>", "A"),
+    ("<div class=share>Share this</div>", ""), ("<div class=shareButtons>Tell your friends of it</div>", ""),
+    ("<div class='related-posts'><p>" + AD + "</p></div>", ""), ("<ul class=tags><li>one<li>two</ul>", ""),
+    ("<div class='comment-list'><p>" + AD + "</p></div>", ""), ("<div class='site_footer'><p>" + AD + "</p></div>", ""),
+    ("<div class='cookie-banner'><p>" + AD + "</p></div>", ""), ("<div class=ad-300x250></div>", ""),
+    ("<p>a<span class=has-ad>b</span>c</p>", "abc"), ("<p>a<span class=related>b</span>c</p>", "a c"),
+    ("<p hidden>" + AD + "</p>", ""), ("<p aria-hidden=' TRUE '>" + AD + "</p>", ""), ("<p style='DISPLAY : none'>" + AD, ""),
+])
+def test_attributes_are_read_by_name_and_value(inside, text):
+    assert main_text(f"<article><p>{LONG}</p>{inside}</article>") == f"{LONG} {text}".strip()
+
+
+@pytest.mark.parametrize("prose", [RUSSIAN, CHINESE, POLISH])
+@pytest.mark.parametrize("around", [
+    "<nav><a href=/>Home</a></nav>", f"<div class=sidebar><p>{AD}</p></div>", "<ul><li><a href=/a>Eins</a><li><a href=/b>Zwei</a></ul>",
+    f"<div class=comments><p>{AD}</p></div>",
+])
+def test_prose_of_other_languages_is_found_without_stop_words(prose, around):
+    page = f"<body>{around}<div><h1>?</h1><p>{prose}</p><p>{prose}</p></div>{around}</body>"
+    assert main_text(page).removeprefix("? ") == f"{prose} {prose}"
+
+
+def test_comments_that_are_articles_are_no_article():
+    comment = f"<article class='comment'><p>{LONG}</p></article>"
+    assert main_text(f"<div><p>{MORE}</p></div><div>{comment * 9}</div>") == MORE
+    assert main_text(f"<article><p>{MORE}</p></article><section class=comments><article><p>{LONG}</p></article></section>") == MORE
+
+
+def test_deep_pages_and_many_names_take_linear_time():
+    main_text("<div class='a-b-c has-d'>" * 20_000 + "<p>x" * 20_000)
+    main_text("<p a='x' \"" * 20_000)
+    main_text("<p class=\"" * 20_000)
+    main_text("<p =\"" * 20_001 + ">" + "<p x='")
+    main_text("<!-" * 20_000 + "<!--" * 20_000)
