@@ -21,6 +21,7 @@ Steps, each a Spark job over all documents:
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 from collections import defaultdict
@@ -42,8 +43,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_LINKS = 1 << 20
-MOST_KEPT, MOST_CHARS = 1 << 19, 1 << 25  # pieces of text whose tokens a task remembers
+BLOCK_LINKS = 1 << 19
+MOST_KEPT, MOST_CHARS = 1 << 18, 1 << 23  # pieces of text whose tokens a task remembers
 SMALL_GROUP = 4096  # links of a group that are taken one by one
 ANCHORS = (512, 64, 8, 1)
 
@@ -51,6 +52,11 @@ _SPACE = "▁"
 _SPACE_AFTER_SPACE = re.compile("\\A |[\\s\u180e] ")
 _ENDS_IN_SPACE = re.compile("[\\s\u180e]\\Z")
 
+# How byte-level vocabularies take texts apart, and signs that every
+# version of Unicode takes for the same kind of sign.
+_WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u203a\u20ac]*")
+
 
 class Cut(NamedTuple):
     """The tokens of some texts: ids and ends in bytes, and whether they give back their text."""
@@ -81,6 +87,8 @@ class Tokenizers:
     """
 
     def __init__(self, byte_bpe: str, piece_bpe: str) -> None:
+        # A task has one core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -109,8 +117,10 @@ class Tokenizers:
             and not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
             and self.second.encode("a  b \n c") == self.second.encode("a") + self.second.encode(" b \n c")
         )
+        self.a_names, self.b_names = pa.array(self.a_bytes, pa.binary()), pa.array(self.b_bytes, pa.binary())
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.quick = self._quick(spec) if self.has_pieces else None
         self._forget()
 
     def _forget(self) -> None:
@@ -140,34 +150,70 @@ class Tokenizers:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes new pieces, which have the next numbers."""
-        found = {"a": [], "b": []}
-        whole = []
-        for start in range(0, len(pieces), 4096):
-            some = pieces[start : start + 4096]
-            first = [e.ids for e in self.first.encode_batch_fast([" " + p for p in some], add_special_tokens=False)]
+        for start in range(0, len(pieces), 1 << 14):
+            some = pieces[start : start + (1 << 14)]
+            first = self._first_ids([" " + p for p in some])
             second = self.second.encode(some, num_threads=1)
             second = [ids if piece else [self.space] for ids, piece in zip(second, some, strict=True)]
-            whole.append(self._give_back(some, first, second))
-            found["a"] += first
-            found["b"] += second
-        self.is_whole = np.concatenate((self.is_whole, *whole))
-        for side, lists in found.items():
-            ids, ends = self.tokens[side]
-            size = np.array([len(x) for x in lists], np.int64)
-            new = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
-            self.tokens[side] = np.concatenate((ids, new)), np.append(ends, ends[-1] + np.cumsum(size))
-
-    def _give_back(self, pieces: list[str], *sides: list[list[int]]) -> np.ndarray:
-        """Whether the tokens of both sides give back each piece and its space."""
-        raw = [b" " + p.encode() for p in pieces]
-        is_whole = np.ones(len(pieces), bool)
-        for lists, names, sizes in zip(sides, (self.a_bytes, self.b_bytes), (self.a_size, self.b_size), strict=True):
-            owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            ids = np.fromiter(chain.from_iterable(lists), np.int64, len(owner))
-            lengths = np.bincount(owner, sizes[ids], len(lists))
-            if b"".join(map(names.__getitem__, ids.tolist())) != b"".join(raw) or (lengths != list(map(len, raw))).any():
-                is_whole &= [b"".join(map(names.__getitem__, x)) == r for x, r in zip(lists, raw, strict=True)]
-        return is_whole
+            raw = [b" " + p.encode() for p in some]
+            length = np.array(list(map(len, raw)), np.int64)
+            is_whole = np.ones(len(some), bool)
+            for side, lists in (("a", first), ("b", second)):
+                names, sizes = (self.a_names, self.a_size) if side == "a" else (self.b_names, self.b_size)
+                count = np.array(list(map(len, lists)), np.int64)
+                own = np.fromiter(chain.from_iterable(lists), np.int64, int(count.sum()))
+                lengths = np.bincount(np.repeat(np.arange(len(lists)), count), sizes[own], len(lists))
+                is_whole &= lengths == length
+                if self._joined(names, own) != b"".join(raw):
+                    is_whole &= [self._joined(names, np.array(x)) == r for x, r in zip(lists, raw, strict=True)]
+                ids, ends = self.tokens[side]
+                self.tokens[side] = np.concatenate((ids, own.astype(np.int32))), np.append(ends, ends[-1] + np.cumsum(count))
+            self.is_whole = np.append(self.is_whole, is_whole)
+
+    def _first_ids(self, pieces: list[str]) -> list[list[int]]:
+        if self.quick is None:
+            return [e.ids for e in self.first.encode_batch_fast(pieces, add_special_tokens=False)]
+        found = [self.quick.encode_ordinary(p) if _PLAIN.fullmatch(p) else None for p in pieces]
+        others = [k for k, ids in enumerate(found) if ids is None]
+        encoded = self.first.encode_batch_fast([pieces[k] for k in others], add_special_tokens=False)
+        for k, own in zip(others, encoded, strict=True):
+            found[k] = own.ids
+        return found
+
+    def _quick(self, spec: dict) -> object | None:
+        """A faster encoder of the same vocabulary, if it is sure to do the same.
+
+        It joins what is next in the vocabulary instead of what is next in the
+        list of merges. As long as every token comes out of its own bytes, and
+        merges are in the order of their tokens, no other pair can be there when
+        a token is made: without joints to what is around, its bytes go the same
+        way as alone, and that ends with its own merge.
+        """
+        import tiktoken
+
+        model = spec["model"]
+        special = {t["content"] for t in spec.get("added_tokens", ())}
+        vocab = {name: k for name, k in model["vocab"].items() if name not in special}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        made = [vocab.get(x + y, -1) for x, y in merges]
+        signs = _byte_signs()
+        if (
+            model.get("type") != "BPE"
+            or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+            or made != sorted(set(made))
+            or sorted([vocab[s] for s in signs if s in vocab] + made) != sorted(vocab.values())
+            or min(made, default=0) < len(signs)
+            or any([t.id for t in self.first.model.tokenize(name)] != [k] for name, k in vocab.items())
+        ):
+            return None
+        ranks = {bytes(signs[c] for c in name): k for name, k in vocab.items()}
+        return tiktoken.Encoding("quick", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    @staticmethod
+    def _joined(names: pa.Array, ids: np.ndarray) -> bytes:
+        """The bytes of tokens, one behind the other."""
+        data = names.take(pa.array(ids, pa.int64())).buffers()[2]
+        return data.to_pybytes() if data is not None else b""
 
     def cut(self, texts: list[str]) -> Cut:
         """The tokens of each text; none of an empty one, or of one they do not give back."""
@@ -188,7 +234,8 @@ class Tokenizers:
         for k in np.unique(of_text[~self.is_whole[code]]).tolist():
             own = code[first[k] : first[k + 1]]
             raw = b" " + texts[k].encode()
-            if any(self._bytes(side, own) != raw for side in "ab"):
+            if any(self._joined(names, self._ids(side, own)[0]) != raw
+                   for side, names in (("a", self.a_names), ("b", self.b_names))):
                 code[first[k] : first[k + 1]] = -1
         parts = []
         for side, sizes in (("a", self.a_size), ("b", self.b_size)):
@@ -204,10 +251,6 @@ class Tokenizers:
         at = np.append(0, np.cumsum(size))
         return ids[np.repeat(ends[code] - at[:-1], size) + np.arange(at[-1])].astype(np.int64), at
 
-    def _bytes(self, side: str, code: np.ndarray) -> bytes:
-        names = self.a_bytes if side == "a" else self.b_bytes
-        return b"".join(names[k] for k in self._ids(side, code)[0].tolist())
-
 
 def _search(long: np.ndarray, wanted: np.ndarray, low: np.ndarray) -> np.ndarray:
     """For each wanted value the first place from `low` on whose value is not less.
@@ -338,14 +381,12 @@ def _aligner(byte_bpe: str, piece_bpe: str, block_links: int) -> Callable:
         tokenizers = Tokenizers(byte_bpe, piece_bpe)
         aligner = Aligner(tokenizers)
         block = TaskContext.get().partitionId() << 32
-        held: list[tuple[pa.Array, Cut, Linked]] = []
+        held: list[_Part] = []
         for batch in batches:
             for first, end, _, _ in slices(batch.column(1)):
                 texts = [t or "" for t in batch.column(1).slice(first, end - first).to_pylist()]
-                cut = tokenizers.cut(texts)
-                linked = aligner.link(cut)
-                held.append((batch.column(0).slice(first, end - first), cut, linked))
-                if sum(len(l.link) for _, _, l in held) >= block_links:
+                held.append(_part(batch.column(0).slice(first, end - first), tokenizers.cut(texts), aligner))
+                if sum(len(part.link) for part in held) >= block_links:
                     yield from _block(block, held)
                     block, held = block + 1, []
         if held:
@@ -354,23 +395,38 @@ def _aligner(byte_bpe: str, piece_bpe: str, block_links: int) -> Callable:
     return align
 
 
-def _block(block: int, held: list) -> Iterator[pa.RecordBatch]:
+class _Part(NamedTuple):
+    """Some documents of a block, and their distinct links."""
+
+    columns: list[pa.Array]
+    bounds: np.ndarray
+    link: np.ndarray
+    times: np.ndarray
+
+
+def _part(ids: pa.Array, cut: Cut, aligner: Aligner) -> _Part:
+    linked = aligner.link(cut)
+    numbers = (np.diff(cut.a_first), np.diff(cut.b_first), linked.n_groups, linked.n_links)
+    # A batch's slice would keep the whole batch.
+    ids = pa.array(ids.to_pylist(), pa.int64())
+    columns = [ids, *(pa.array(x, pa.int64()) for x in numbers), pa.array(linked.groups, pa.string())]
+    return _Part(columns, np.searchsorted(linked.owner, np.arange(len(ids) + 1)).astype(np.int32), linked.link, linked.times)
+
+
+def _block(block: int, held: list[_Part]) -> Iterator[pa.RecordBatch]:
     """The rows of a block's documents, and one of its links."""
-    links, which = np.unique(np.concatenate([l.link for _, _, l in held]), return_inverse=True)
+    links, which = np.unique(np.concatenate([part.link for part in held]), return_inverse=True)
     docs = np.bincount(which, minlength=len(links))
     place = 0
-    for ids, cut, linked in held:
-        n = len(ids)
-        bounds = np.searchsorted(linked.owner, np.arange(n + 1)).astype(np.int32)
-        own = which[place : place + len(linked.link)].astype(np.int32)
-        place += len(linked.link)
+    for columns, bounds, link, times in held:
+        n = len(columns[0])
+        own = which[place : place + len(link)].astype(np.int32)
+        place += len(link)
+        none = pa.nulls(n, pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.full(n, block)), ids,
-                pa.array(np.diff(cut.a_first)), pa.array(np.diff(cut.b_first)),
-                pa.array(linked.n_groups), pa.array(linked.n_links), pa.array(linked.groups, pa.string()),
-                pa.ListArray.from_arrays(bounds, own), pa.ListArray.from_arrays(bounds, linked.times),
-                pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64())),
+                pa.array(np.full(n, block)), *columns,
+                pa.ListArray.from_arrays(bounds, own), pa.ListArray.from_arrays(bounds, times), none, none,
             ],
             schema=_ARROW,
         )

@@ -37,7 +37,7 @@ BLOCK = 512  # sets
 WEIGHT = 1 << 20  # shingles of a group
 COLUMNS = 2048
 RANGE = 1 << 18
-CELLS = 1 << 16
+CELLS = 1 << 12
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,10 +85,10 @@ def confirmed_stars(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
         f"100L * least(m, c) >= {pct}L * greatest(m, c)"
     )
     sized = stash(sized.select("centre", "member", "m"))
-    chunks = sized.groupBy("centre").agg(F.ceil(F.sum("m") / WEIGHT).cast("int").alias("chunks"))
-    dealt = lookup(sized, chunks, "centre").select(
+    chunks = stash(sized.groupBy("centre").agg(F.ceil(F.sum("m") / WEIGHT).cast("int").alias("chunks")))
+    dealt = stash(lookup(sized, chunks, "centre").select(
         "centre", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int").alias("chunk"), F.col("member").alias("node")
-    )
+    ))
     members = dealt.join(sets, "node").select("centre", "chunk", "node", F.lit(False).alias("is_centre"), "shingles")
     centres = (
         chunks.withColumn("node", F.col("centre"))
@@ -188,14 +188,14 @@ def bucket_forest(
 ) -> DataFrame:
     """`(node, component)` of the nodes that links within buckets, and those `given`, connect.
 
-    `buckets` has distinct `(bucket, node, centre)`, with one centre for each
-    bucket; `sets` has `(node, size, shingles)` of all its nodes. Both are stored
+    `buckets` has distinct `(bucket, node, centre)` of all nodes but the centre,
+    which is one for each bucket; `sets` has `(node, size, shingles)` of all its nodes. Both are stored
     tables. Links are pairs with 100 * intersection >= `pct` * union.
     """
-    stars = buckets.where("node <> centre").select("centre", F.col("node").alias("member")).distinct()
+    stars = buckets.select("centre", F.col("node").alias("member")).distinct()
     links = stash(confirmed_stars(stars, sets, pct))
     links = links if given is None else links.union(given)
-    rows = buckets.where("node <> centre").select("bucket", "node")
+    rows = buckets.select("bucket", "node")
     labels = components(links)
     for step in range(rounds + 1):
         named = lookup(rows, labels, "node").select("bucket", "node", F.coalesce("component", "node").alias("label"))
@@ -241,15 +241,17 @@ def _set_reader(words: int) -> Callable:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for _, _, raw, offsets in slices(batch.column(0)):
-                sets = [found.view(np.int64) for found in shingle_sets(raw, offsets, words, powers)]
+            for first, end, raw, offsets in slices(batch.column(1)):
+                sets = list(shingle_sets(raw, offsets, words, powers))
+                wanted = batch.column(2).slice(first, end - first).to_pylist()
+                right = [k for k, found in enumerate(sets) if set_digest(found) == wanted[k]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([set_digest(found.view(np.uint64)) for found in sets], pa.binary()),
-                        pa.array([len(found) for found in sets], pa.int64()),
-                        pa.array(sets, pa.list_(pa.int64())),
+                        batch.column(0).slice(first, end - first).take(pa.array(right, pa.int64())),
+                        pa.array([len(sets[k]) for k in right], pa.int64()),
+                        pa.array([sets[k].view(np.int64) for k in right], pa.list_(pa.int64())),
                     ],
-                    names=["class", "size", "shingles"],
+                    names=["node", "size", "shingles"],
                 )
 
     return read
@@ -258,7 +260,7 @@ def _set_reader(words: int) -> Callable:
 def key_buckets(keyed: DataFrame) -> DataFrame:
     """Distinct `(bucket, node, centre)` of the nodes that share a key of `(node, keys)`.
 
-    A bucket is named by what is in it, so keys of the same nodes are one
+    The centre is the least node; it has no row of its own. A bucket is named by what is in it, so keys of the same nodes are one
     bucket. Rows are sorted into windows, each of one key. Cells of keys are
     counted before: those with more rows than an average partition hold a hot
     key, and take an aggregation, combined before the shuffle, and a join whose
@@ -266,9 +268,9 @@ def key_buckets(keyed: DataFrame) -> DataFrame:
     """
     spark = keyed.sparkSession
     rows = keyed.select("node", F.explode("keys").alias("key"))
-    cell = F.pmod(F.col("key"), F.lit(CELLS))
-    cells = stash(rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cell = F.pmod(F.col("key"), F.lit(max(CELLS, 16 * partitions)))
+    cells = stash(rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")))
     total = cells.agg(F.sum("n")).first()[0] or 0
     # Fewer than there are partitions.
     hot = F.broadcast(cells.where(F.col("n") > max(1, total // partitions)).select("cell", F.lit(True).alias("is_hot")))
@@ -288,46 +290,61 @@ def key_buckets(keyed: DataFrame) -> DataFrame:
     per = busy.groupBy("key").agg(*of(lambda c: c)).where("n > 1")
     busy = lookup(busy, per, "key").where("n IS NOT NULL").select("node", "n", "centre", "content")
     return stash(
-        usual.union(busy).select(F.xxhash64("n", "centre", "content").alias("bucket"), "node", "centre").distinct()
+        usual.union(busy)
+        .where("node <> centre")
+        .select(F.xxhash64("n", "centre", "content").alias("bucket"), "node", "centre")
+        .distinct()
     )
 
 
+def sign(named: DataFrame, signer: Callable) -> DataFrame:
+    """`(doc_id, text_hash, n_shingles, class, keys, row)`, a stored table, of `(doc_id, text)`.
+
+    `signer` gets batches of ids, texts and hashes, and returns the other columns but `row`.
+    """
+    hashed = named.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    schema = "doc_id long, text_hash long, n_shingles long, class binary, keys array<long>"
+    return stash(hashed.mapInArrow(signer, schema).withColumn("row", F.monotonically_increasing_id()))
+
+
 def component_ids(named: DataFrame, signed: DataFrame, words: int, pct: int) -> DataFrame:
-    """`(doc_id, n_shingles, component_id)` for each row of `signed`.
+    """`(doc_id, n_shingles, component_id)` for each row of `named`, which has `(doc_id, text)`.
 
-    `named` has `(doc_id, text)`; `signed`, a stored table, has `(doc_id,
-    n_shingles, class, keys)` of the same rows, where any two similar sets share
-    a key. Documents of one set are a class, and only its least document's text
-    is read again. Rows of one id are one document.
+    `signed` is its result of `sign`, where any two similar sets share a key.
+    Rows of one set are a class, and only its first row goes on; its text is
+    read again where it shares a key with another. Rows of one id are one document.
     """
     usable = signed.where("class IS NOT NULL AND doc_id IS NOT NULL")
     classes = stash(
         usable.groupBy("class")
-        .agg(F.min("doc_id").alias("doc_id"))
-        .withColumn("node", F.monotonically_increasing_id())
+        .agg(F.min(F.struct("row", "doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("least"))
+        .select("class", "least", F.col("first.row").alias("node"), "first.doc_id", "first.text_hash")
     )
-    keyed = usable.join(classes, ["doc_id", "class"]).select("node", "keys")
+    members = lookup(usable.select("row", "doc_id", "class"), classes.select("class", "node"), "class")
+    members = stash(members.select("row", "doc_id", "node"))
+    # Stored, so that its size decides whether it is broadcast.
+    others = stash(members.where("row <> node").select("row"))
+    keyed = usable.select("row", "keys").join(others, "row", "left_anti").withColumnRenamed("row", "node")
     buckets = key_buckets(keyed)
-    nodes = stash(buckets.select("node").distinct().join(classes, "node"))
-    read = (
-        named.join(nodes.select("doc_id").hint("merge"), "doc_id", "left_semi")  # as many as there are near copies
-        .select("text")
-        .mapInArrow(_set_reader(words), "class binary, size long, shingles array<long>")
+    nodes = buckets.select(F.explode(F.array("node", "centre")).alias("node")).distinct()
+    nodes = stash(lookup(nodes, classes.select("node", "doc_id", "text_hash", "class"), "node"))
+    sets = stash(
+        named.withColumn("text_hash", F.xxhash64("text"))
+        .join(nodes, ["doc_id", "text_hash"])
+        .select("node", "text", "class")
+        .mapInArrow(_set_reader(words), "node long, size long, shingles array<long>")
     )
-    sets = stash(lookup(read, nodes.select("class", "node"), "class").where("node IS NOT NULL")
-                 .select("node", "size", "shingles"))
     if sets.count() > nodes.count():  # repeated rows
         sets = stash(sets.dropDuplicates(["node"]))
 
-    of_docs = lookup(usable.select("doc_id", "class"), classes.select("class", "node"), "class").select("doc_id", "node")
-    per_doc = of_docs.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
-    same_id = stash(of_docs.join(per_doc, "doc_id").where("node > a").select("a", F.col("node").alias("b")))
+    per_doc = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+    same_id = stash(lookup(members, per_doc, "doc_id").where("node > a").select("a", F.col("node").alias("b")).distinct())
     labels = bucket_forest(buckets, sets, pct, given=None if same_id.isEmpty() else same_id)
 
     labelled = stash(
-        lookup(classes, labels, "node").select("class", "doc_id", F.coalesce("component", "node").alias("component"))
+        lookup(classes, labels, "node").select("class", "least", F.coalesce("component", "node").alias("component"))
     )
-    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     per_class = lookup(labelled.select("class", "component"), least, "component").select("class", "component_id")
     component_id = F.coalesce("component_id", "doc_id")  # without words
     return lookup(signed.select("doc_id", "n_shingles", "class"), per_class, "class").select(

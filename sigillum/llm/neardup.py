@@ -31,8 +31,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, stash, table
-from .links import component_ids, set_digest
+from .common import mix64, slices, table
+from .links import component_ids, set_digest, sign
 from .shingles import PLACE, Powers, shingle_sets
 
 # Sent with the task, so executors need no copy of this package.
@@ -87,11 +87,12 @@ def _sketcher(words: int) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, end - first),
+                        batch.column(2).slice(first, end - first),
                         pa.array(sizes, pa.int64()),
                         pa.array(classes, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "class", "keys"],
+                    names=["doc_id", "text_hash", "n_shingles", "class", "keys"],
                 )
 
     return sketch
@@ -115,13 +116,7 @@ def near_duplicates(
     texts. Further columns of `docs` are not read. An empty table gives none.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = stash(
-        named.mapInArrow(
-            _sketcher(words),
-            "doc_id long, n_shingles long, class binary, keys array<long>",
-        )
-    )
-    found = component_ids(named, sketched, words, SIMILARITY_PCT)
+    found = component_ids(named, sign(named, _sketcher(words)), words, SIMILARITY_PCT)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -93,6 +93,20 @@ def test_pieces_give_the_tokens_of_the_whole_text(text):
 
 
 
+def test_the_quick_encoder_does_the_same_for_every_plain_sign():
+    assert TOKENIZERS.quick is not None
+    signs = [chr(k) for k in range(0x2100) if alignment._PLAIN.fullmatch(chr(k))]
+    assert len(signs) > 500
+    texts = [t for c in signs for t in (f" {c}", f" a{c}b", f" {c}{c} x", f" 1{c}2", f" .{c}'s{c}", f" {c}\n{c}\n\n{c}")]
+    assert TOKENIZERS._first_ids(texts) == [e.ids for e in FIRST.encode_batch(texts, add_special_tokens=False)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("abcdefghinorstuéßñ'-.,0123ABCeeeeaaa\n"), max_size=40))
+def test_the_quick_encoder_makes_the_same_tokens(text):
+    assert TOKENIZERS._first_ids([" " + text]) == [FIRST.encode(" " + text, add_special_tokens=False).ids]
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_gallop_finds_what_both_lists_have(seed):
     rng = np.random.default_rng(seed)
