@@ -1,10 +1,19 @@
 """Benchmark passages in documents: q-gram lemma in diagonal bands, then alignment.
 
-A passage of m characters with at most k edits shares m - q + 1 - k * q of its
-q-grams with the benchmark text, on diagonals (place in the document less place
-in the item) that differ by k at most. So hits are counted in overlapping
-diagonal bands of twice k + 1, each hit in two; a band with fewer hits than the
-bound cannot hold a passage. The others are aligned within their band.
+What is looked for are patterns: each whole item, and overlapping windows of
+`WINDOW` bytes of the longer ones, so that a part of an item is found as well.
+A pattern of m bytes with at most k edits shares m - q + 1 - k * q of its q-grams
+with a text, on diagonals (place in the text less place in the pattern) that
+differ by k at most. So hits are counted in overlapping diagonal bands of twice
+k + 1, each hit in two; a band with fewer hits than the bound cannot hold a
+passage. The others are aligned within their band, and windows that follow one
+another in item and text are one region. Items too short for the lemma are
+looked for as whole words.
+
+Jobs, whatever the size of the benchmark: its q-grams become a table and, in a
+bounded number of bits, a filter. One scan of the documents takes the q-grams
+that pass the filter where enough of them are near; these few are joined with the
+table and counted. A second scan reads the texts that have candidates.
 """
 
 from __future__ import annotations
@@ -19,6 +28,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.keys import quoted
+from ..operators.lookup import lookup
 from .common import mix64, slices, stash, table
 
 # Sent with the task, so executors need no copy of this package.
@@ -32,8 +43,10 @@ LEAST_SHARED = 8
 # of each item lowered by its places, so that no passage is lost by it.
 MOST_PLACES = 4
 MIN_CHARS = 24
-BLOCK_BYTES = 1 << 20
-_FILTER_BITS = 22
+WINDOW, STEP = 64, 16
+# A shorter exact match ("yes") tells nothing: reported, but no reason to drop a document.
+TELLING_CHARS = 12
+LEAST_BITS, MOST_BITS = 20, 28
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,149 +144,389 @@ def edit_budget(m: int) -> int:
     return max(0, min(int(EDIT_RATE * m), (m - Q + 1 - LEAST_SHARED) // Q))
 
 
-class Index:
-    """The q-grams of some benchmark items."""
+def pattern_bytes(text: str | None) -> bytes:
+    """An item as it is looked for."""
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    return normalised(raw, np.array([0, len(raw)]))[0].tobytes().strip() if len(raw) else b""
+
+
+def parts_of(m: int) -> list[tuple[int, int]]:
+    """`(offset, length)` of the patterns of an item of `m` bytes: the whole, and windows of a longer one."""
+    if m == 0:
+        return []
+    windows = [] if m <= WINDOW else [*range(0, m - WINDOW, STEP), m - WINDOW]
+    return [(0, m), *((at, WINDOW) for at in windows)]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`(item_id, m, offset, pattern)` of the items."""
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        for k, text in enumerate(batch.column(1).to_pylist()):
+            pattern = pattern_bytes(text)
+            parts = parts_of(len(pattern))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([ids[k]] * len(parts), pa.int64()),
+                    pa.array([len(pattern)] * len(parts), pa.int64()),
+                    pa.array([at for at, _ in parts], pa.int64()),
+                    pa.array([pattern[at : at + n] for at, n in parts], pa.binary()),
+                ],
+                names=["item_id", "m", "offset", "pattern"],
+            )
+
+
+def _pattern_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`(gram, part, place, m)` of `(part, pattern)`."""
+    for batch in batches:
+        for part, pattern in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = _grams(np.frombuffer(pattern, np.uint8)).view(np.int64)
+            n = len(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found), pa.array(np.full(n, part)), pa.array(np.arange(n)), pa.array(np.full(n, len(pattern)))],
+                names=["gram", "part", "place", "m"],
+            )
+
+
+def _filter(grams: DataFrame, words: DataFrame) -> np.ndarray:
+    """Bits of all q-grams and short items, at two places each; 32 MiB at the most.
+
+    Where the benchmark has more than that serves, more passes, and the joins sort it out.
+    """
+    hashes = grams.select("gram").union(words.select("gram")).distinct()
+    n = hashes.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length()))
+    found = (
+        hashes.mapInArrow(_placer(bits), "place long")
+        .groupBy(F.shiftright("place", 6).alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, CAST(place % 64 AS INT)))").alias("bits"))
+        .toArrow()
+    )
+    result = np.zeros(1 << (bits - 6), np.int64)
+    result[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return result
+
+
+def _word_hashes(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of `length` bytes from each start."""
+    rolled = np.full(len(starts), length, np.uint64)
+    for k in range(length):
+        rolled = rolled * _BASE + (text[starts + k].astype(np.uint64) + np.uint64(1))
+    return mix64(rolled)
+
+
+def _scanner(bits: object, least: int, span: int, lengths: list[int]) -> Callable:
+    """The first scan: q-grams that may be of the benchmark where `least` of them are within
+    `span` bytes, and the first place of each short item."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = bits.value
+        bits_of = (64 * len(seen)).bit_length() - 1
+
+        def may_be(hashes: np.ndarray) -> np.ndarray:
+            place = (hashes >> np.uint64(64 - bits_of)).astype(np.int64)
+            found = np.flatnonzero(seen[place >> 6] >> (place & 63) & 1)
+            place = _places(hashes[found], bits_of)[1]
+            return found[(seen[place >> 6] >> (place & 63) & 1) == 1]
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.items = []
-        grams, owners, places = [], [], []
-        for item_id, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            pattern = normalised(raw, np.array([0, len(raw)]))[0] if len(raw) else raw
-            pattern = np.frombuffer(pattern.tobytes().strip(), np.uint8)
-            if len(pattern) < MIN_CHARS:
-                continue
-            found = _grams(pattern)
-            grams.append(found)
-            owners.append(np.full(len(found), len(self.items)))
-            places.append(np.arange(len(found)))
-            self.items.append([item_id, pattern, 0, 0])
-        self.gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owners) if grams else np.zeros(0, np.int64)
-        self.place = np.concatenate(places) if grams else np.zeros(0, np.int64)
-        _, which, count = np.unique(self.gram, return_inverse=True, return_counts=True)
-        is_common = count[which] > MOST_PLACES
-        for k, item in enumerate(self.items):
-            m, common = len(item[1]), is_common[self.owner == k]
-            budget = edit_budget(m)
-            bound = m - Q + 1 - budget * Q - int(common.sum())
-            if bound < 1:  # too much of the item is common: keep all of it
-                is_common[self.owner == k] = False
-                bound = m - Q + 1 - budget * Q
-            item[2:] = [budget, bound]
-        order = np.argsort(self.gram[~is_common], kind="stable")
-        self.gram, self.owner, self.place = (x[~is_common][order] for x in (self.gram, self.owner, self.place))
-        self.bounds = np.array([item[3] for item in self.items], np.int64)
-        self.step = np.array([item[2] + 1 for item in self.items], np.int64)
-        self.seen = np.zeros(1 << _FILTER_BITS, bool)
-        self.seen[self.gram >> np.uint64(64 - _FILTER_BITS)] = True
-
-    def hits(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """`(text, item, edits, start, end)`: the best match of each item in each text; bytes."""
-        if not len(raw) or not len(self.gram):
-            return
-        text, bounds, at = normalised(raw, offsets)
-        grams = _grams(text)
-        maybe = np.flatnonzero(self.seen[grams >> np.uint64(64 - _FILTER_BITS)])
-        first = np.searchsorted(self.gram, grams[maybe], "left")
-        count = np.searchsorted(self.gram, grams[maybe], "right") - first
-        maybe, first, count = maybe[count > 0], first[count > 0], count[count > 0]
-        if not len(maybe):
-            return
-        pos = np.repeat(maybe, count)
-        entry = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        doc = np.searchsorted(bounds, pos, "right") - 1
-        whole = pos + Q <= bounds[doc + 1]
-        pos, entry, doc = pos[whole], entry[whole], doc[whole]
-        item = self.owner[entry]
-        band = (pos - self.place[entry]) // self.step[item]
-        key = (doc * len(self.items) + item) * np.int64(1 << 30) + band + np.int64(1 << 29)
-        keys, n = np.unique(np.concatenate((key, key - 1)), return_counts=True)
-        which = keys >> np.int64(30)
-        keep = n >= self.bounds[which % len(self.items)]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for pair, band in zip(which[keep].tolist(), ((keys[keep] & ((1 << 30) - 1)) - (1 << 29)).tolist(), strict=True):
-            d, i = divmod(pair, len(self.items))
-            _, pattern, budget, _ = self.items[i]
-            step = budget + 1
-            low, high = band * step - budget, (band + 2) * step + budget
-            start = max(int(bounds[d]), low)
-            region = text[start : min(int(bounds[d + 1]), high + len(pattern))]
-            exact = region.tobytes().find(pattern.tobytes())
-            if exact >= 0:
-                found = (0, start + exact, start + exact + len(pattern))
-            else:
-                there = align(region, pattern, low - start, high - start, budget)
-                if there is None:
-                    continue
-                edits, end = there
-                back = align(region[:end][::-1], pattern[::-1], -budget, budget, budget, anchored=True)
-                found = (edits, start + end - back[1] if back else start, start + end)
-            best[d, i] = min(best.get((d, i), found), found)
-        for (d, i), (edits, start, end) in sorted(best.items()):
-            base = int(offsets[d])
-            yield d, i, edits, int(at[start]) - base, int(at[end - 1]) + 1 - base
-
-
-def _matcher(items: list[tuple[int, str]]) -> Callable:
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for first, _, raw, offsets in slices(batch.column(1)):
-                rows = []
-                for d, i, edits, start, end in index.hits(raw, offsets):
-                    own = raw[offsets[d] : offsets[d + 1]]
-                    is_start = (own & 0xC0) != 0x80  # of a code point
-                    rows.append(
-                        (ids[first + d], index.items[i][0], edits,
-                         int(is_start[:start].sum()), int(is_start[:end].sum()))
-                    )
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)],
-                        names=["doc_id", "item_id", "edits", "start", "end"],
+            for first, end, raw, offsets in slices(batch.column(1)):
+                if not len(raw):
+                    continue
+                text, bounds, at = normalised(raw, offsets)
+                grams = _grams(text)
+                pos = may_be(grams)
+                doc = np.searchsorted(bounds, pos, "right") - 1
+                whole = pos + Q <= bounds[doc + 1]
+                pos, doc = pos[whole], doc[whole]
+                near = np.zeros(len(pos), bool)
+                if len(pos) >= least:
+                    # A hit counts if it is within a stretch that has enough.
+                    ends = np.arange(least - 1, len(pos))
+                    good = np.flatnonzero(
+                        (pos[ends] - pos[ends - least + 1] <= span) & (doc[ends] == doc[ends - least + 1])
                     )
+                    edge = np.zeros(len(pos) + 1, np.int64)
+                    np.add.at(edge, good, 1)
+                    np.add.at(edge, good + least, -1)
+                    near = np.cumsum(edge[:-1]) > 0
+                pos, doc = pos[near], doc[near]
+                n = len(pos)
+                shorts = list(_short_hits(text, bounds, lengths, may_be))
+                owner = np.array([d for d, _, _ in shorts], np.int64)
+                rows = np.concatenate((doc, owner)) + first
+                found = [*([None] * n), *(text[s : s + k].tobytes() for _, s, k in shorts)]
+                places = [_code_points(raw, offsets, at, d, s, s + k) for d, s, k in shorts]
+                none = pa.nulls(len(shorts), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(k).take(pa.array(rows, pa.int64())) for k in (0, 2, 3)),
+                        pa.concat_arrays([pa.array(grams[pos].view(np.int64)), none]),
+                        pa.concat_arrays([pa.array(pos - bounds[doc], pa.int64()), none]),
+                        pa.array(found, pa.binary()),
+                        *(pa.array([None] * n + [p[k] for p in places], pa.int64()) for k in (0, 1)),
+                    ],
+                    names=["doc_id", "text_hash", "text_check", "gram", "pos", "pattern", "start", "end"],
+                )
+
+    return scan
+
+
+def _short_hits(text, bounds, lengths, may_be) -> Iterator[tuple[int, int, int]]:
+    """`(text, start, length)` of the first of each short item, as whole words."""
+    is_word = text != 0x20
+    breaks = np.zeros(len(text) + 1, bool)
+    breaks[bounds] = True
+    starts = np.flatnonzero(is_word & (np.append(True, ~is_word[:-1]) | breaks[:-1]))
+    is_end = np.append(~is_word, True) | breaks
+    doc = np.searchsorted(bounds, starts, "right") - 1
+    for k in lengths:
+        inside = np.flatnonzero(starts + k <= bounds[doc + 1])
+        inside = inside[is_end[starts[inside] + k]]
+        hashes = _word_hashes(text, starts[inside], k)
+        some = may_be(hashes)
+        _, first = np.unique(np.stack((doc[inside[some]].astype(np.uint64), hashes[some])), axis=1, return_index=True)
+        for i in inside[some[np.sort(first)]].tolist():
+            yield int(doc[i]), int(starts[i]), k
+
+
+def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of a hash in a filter."""
+    shift = np.uint64(64 - bits)
+    return (hashes >> shift).astype(np.int64), (mix64(hashes ^ _BASE) >> shift).astype(np.int64)
+
+
+def _placer(bits: int) -> Callable:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.concatenate(_places(batch.column(0).to_numpy().view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(both)], names=["place"])
+
+    return place
+
+
+def _code_points(raw, offsets, at, d: int, start: int, end: int) -> tuple[int, int]:
+    """Places in the text `d`, in code points, of a stretch of what `normalised` made of it."""
+    base = int(offsets[d])
+    own = raw[base : int(at[end - 1]) + 1]
+    is_start = (own & 0xC0) != 0x80
+    first = int(is_start[: int(at[start]) - base].sum())
+    return first, int(is_start.sum())
+
+
+def _best(text: np.ndarray, pattern: bytes, budget: int, bands: list[int]) -> tuple[int, int, int] | None:
+    """`(edits, start, end)` of the best match of the pattern in the bands; bytes."""
+    best = None
+    goal = np.frombuffer(pattern, np.uint8)
+    step = budget + 1
+    for band in sorted(bands):
+        low, high = band * step - budget, (band + 2) * step + budget
+        start = max(0, low)
+        region = text[start : min(len(text), high + len(goal))]
+        exact = region.tobytes().find(pattern)
+        if exact >= 0:
+            found = (0, start + exact, start + exact + len(goal))
+        elif best is not None and best[0] == 0:
+            continue
+        else:
+            there = align(region, goal, low - start, high - start, budget)
+            if there is None:
+                continue
+            edits, end = there
+            back = align(region[:end][::-1], goal[::-1], -budget, budget, budget, anchored=True)
+            found = (edits, start + end - back[1] if back else start, start + end)
+        best = found if best is None else min(best, found)
+    return best
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The second scan: candidates of each text, aligned."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            raw = np.frombuffer((batch.column(3)[k].as_py() or "").encode(), np.uint8)
+            offsets = np.array([0, len(raw)])
+            text, _, at = normalised(raw, offsets)
+            rows = []
+            for c in batch.column(4)[k].as_py():
+                found = _best(text, c["pattern"], edit_budget(len(c["pattern"])), c["bands"])
+                if found:
+                    rows.append((c["part"], *found, *_code_points(raw, offsets, at, 0, found[1], found[2])))
+            n = len(rows)
+            own = [batch.column(j).slice(k, 1).take(pa.array([0] * n, pa.int64())) for j in range(3)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays(
+                [*own, *(pa.array(list(c), pa.int64()) for c in columns)],
+                names=["doc_id", "text_hash", "text_check", "part", "edits", "from", "to", "start", "end"],
+            )
+
+
+def _regions(rows: pa.Table) -> pa.Table:
+    """The matches of one item in one text: the whole item, or else regions of windows in sequence."""
+    rows = rows.sort_by([("offset", "ascending")]).to_pylist()
+    whole = [r for r in rows if r["length"] == r["m"]]
+    regions: list[list[dict]] = []
+    for row in whole or rows:
+        last = regions[-1][-1] if regions else None
+        slack = edit_budget(WINDOW)
+        follows = last and 0 < row["offset"] - last["offset"] <= STEP and (
+            abs(row["from"] - last["from"] - row["offset"] + last["offset"]) <= 2 * slack
+        )
+        if follows:
+            regions[-1].append(row)
+        else:
+            regions.append([row])
+    result = []
+    for region in regions:
+        first, last = region[0], region[-1]
+        covered = last["offset"] + last["length"] - first["offset"]
+        result.append({
+            "doc_id": first["doc_id"], "item_id": first["item_id"], "edits": max(r["edits"] for r in region),
+            "start": min(r["start"] for r in region), "end": max(r["end"] for r in region),
+            "share": covered / first["m"], "text_hash": first["text_hash"], "text_check": first["text_check"],
+        })
+    return pa.Table.from_pylist(result, schema=_FOUND)
+
+
+_FOUND = pa.schema(
+    [(n, pa.int64()) for n in ("doc_id", "item_id", "edits", "start", "end")]
+    + [("share", pa.float64()), ("text_hash", pa.int64()), ("text_check", pa.int64())]
+)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `contaminated`, with two hashes of the document's text."""
+    spark = docs.sparkSession
+    named = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"),
+        F.hash("text").cast("long").alias("text_check"),
+    ).where("text IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
+    uses = stash(items.mapInArrow(_cut, "item_id long, m long, offset long, pattern binary"))
+    parts = stash(
+        uses.groupBy("pattern").agg(F.max(F.length("pattern")).alias("length"))
+        .withColumn("part", F.monotonically_increasing_id())
+    )
+    short = parts.where(F.col("length") < MIN_CHARS)
+    words = stash(short.select("pattern", "length").mapInArrow(_short_hashes, "gram long, pattern binary"))
+    grams = _counted_grams(parts.where(F.col("length") >= MIN_CHARS))
+    limits = grams.agg(F.min("bound").alias("least"), F.max(F.col("m") + 2 * F.col("budget")).alias("span")).first()
+    lengths = sorted(r.length for r in short.select("length").distinct().collect())  # fewer than MIN_CHARS
+    bits = spark.sparkContext.broadcast(_filter(grams, words))
+    scanned = stash(
+        named.mapInArrow(
+            _scanner(bits, limits.least or 1, limits.span or 0, lengths),
+            "doc_id long, text_hash long, text_check long, gram long, pos long, pattern binary, start long, end long",
+        )
+    )
+
+    hits = scanned.where("gram IS NOT NULL").select("text_hash", "text_check", "gram", "pos").distinct()
+    band = F.expr("(pos - place - pmod(pos - place, budget + 1)) DIV (budget + 1)")
+    counted = (
+        hits.join(grams, "gram")
+        .select("text_hash", "text_check", "part", "bound", F.explode(F.array(band, band - 1)).alias("band"))
+        .groupBy("text_hash", "text_check", "part", "band")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("bound").alias("bound"))
+        .where("n >= bound")
+        .groupBy("text_hash", "text_check", "part")
+        .agg(F.collect_list("band").alias("bands"))
+    )
+    candidates = stash(
+        lookup(counted, parts.select("part", "pattern"), "part")
+        .groupBy("text_hash", "text_check")
+        .agg(F.collect_list(F.struct("part", "pattern", "bands")).alias("candidates"))
+    )
+    verified = stash(
+        named.join(candidates, ["text_hash", "text_check"])
+        .select("doc_id", "text_hash", "text_check", "text", "candidates")
+        .mapInArrow(
+            _verify,
+            "doc_id long, text_hash long, text_check long, part long, edits long, `from` long, `to` long,"
+            " start long, end long",
+        )
+    )
+    used = lookup(uses, parts, "pattern").select("item_id", "m", "offset", "length", "part")
+    schema = "doc_id long, item_id long, edits long, start long, end long, share double, text_hash long, text_check long"
+    # Rows of one id and text find the same, so one of them stands for all.
+    once = verified.distinct()
+    long = (
+        once.join(used, "part")
+        .groupBy("text_hash", "text_check", "doc_id", "item_id")
+        .applyInArrow(_regions, schema)
+    )
+    exact = lookup(scanned.where("pattern IS NOT NULL").drop("gram", "pos"), parts.select("pattern", "part"), "pattern")
+    exact = exact.where("part IS NOT NULL").join(used, "part").select(
+        "doc_id", "item_id", F.lit(0).cast("long").alias("edits"), "start", "end", F.lit(1.0).alias("share"),
+        "text_hash", "text_check",
+    )
+    return long.union(exact.distinct())
+
+
+def _short_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        patterns = batch.column(0).to_pylist()
+        start = np.zeros(1, np.int64)
+        hashes = [int(_word_hashes(np.frombuffer(p, np.uint8), start, len(p)).view(np.int64)[0]) for p in patterns]
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), batch.column(0)], names=["gram", "pattern"])
 
-    return match
 
+def _counted_grams(parts: DataFrame) -> DataFrame:
+    """`(gram, part, place, m, budget, bound)`, a stored table.
 
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, *, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """`(doc_id, item_id, edits, start, end)`: documents that hold a whole benchmark text.
+    A q-gram at more than `MOST_PLACES` places is left out, and the bound of each
+    pattern lowered by its own places of it; where too much of a pattern is such,
+    all of it is kept.
+    """
+    grams = stash(parts.select("part", "pattern").mapInArrow(_pattern_grams, "gram long, part long, place long, m long"))
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("places")).where(f"places > {MOST_PLACES * WINDOW // STEP}")
+    marked = lookup(grams, often, "gram").withColumn("is_common", F.col("places").isNotNull()).drop("places")
+    budget = f"greatest(0, least(CAST(floor({EDIT_RATE} * m) AS BIGINT), (m - {Q - 1 + LEAST_SHARED}) DIV {Q}))"
+    of_part = marked.groupBy("part").agg(F.sum(F.col("is_common").cast("long")).alias("common"), F.max("m").alias("m"))
+    bounds = of_part.withColumn("budget", F.expr(budget)).withColumn("full", F.expr(f"m - {Q - 1} - budget * {Q}"))
+    bounds = bounds.withColumn("keeps_all", F.col("full") - F.col("common") < 1).select(
+        "part", "budget", "keeps_all", F.expr("IF(keeps_all, full, full - common)").alias("bound")
+    )
+    return stash(lookup(marked, bounds, "part").where("keeps_all OR NOT is_common").drop("is_common", "keeps_all"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """`(doc_id, item_id, edits, start, end, share)`: documents that hold a benchmark text or a part of it.
 
     Letters of either case are the same in any script, and any run of characters
     that are neither letters (with their marks) nor digits is one space; in what
-    is left, in UTF-8, an item of m bytes may differ by `edit_budget(m)` edits. One row for a document and item: of several
-    places that with the fewest edits, then the first. Places are code points.
+    is left, in UTF-8, an item of m bytes may differ by `edit_budget(m)` edits. If
+    the whole item is found, that is the one row of document and item: the place
+    with the fewest edits, then the first, and a `share` of 1. Otherwise each
+    region is a row: windows of `WINDOW` bytes, `STEP` bytes apart in the item,
+    that are each found within their budget, one behind the other; `share` is the
+    region's part of the item and `edits` the most that one window has. So a copy
+    of `WINDOW + STEP - 1` bytes on end is always found. Items under `MIN_CHARS`
+    bytes are found as whole words, without edits, at their first place. Places
+    are code points.
+
+    Cases. NULL and empty texts hold nothing. NULL and empty items, and those
+    without letters and digits, match nothing. A very long text is searched
+    whole; each of its candidates reads a stretch of it only. Equal items are each
+    reported; several rows of one id and text are reported as one. NULL ids are
+    reported as NULL. Further columns, whatever their names, are not read. Empty
+    tables give none.
+    """
+    return _found(docs, benchmark).drop("text_hash", "text_check")
+
 
-    Items are taken in blocks of about `block_bytes`; each is broadcast and
-    meets every document once, so neither a task nor the driver ever has more
-    than one block, and the number of blocks follows the benchmark.
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """`docs` without the rows whose text holds a benchmark text or a region of one.
 
-    Cases. NULL and empty texts hold nothing. Items under `MIN_CHARS` characters
-    are too short to tell anything and match nothing. Equal items are each
-    reported. NULL ids are reported as NULL. Further columns are not read.
+    Each row goes by its own text, whatever its id and those of others. Matches
+    under `TELLING_CHARS` characters, as short items have, are no reason.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    blocks = 1 + size // block_bytes
-    schema = "doc_id long, item_id long, edits long, start long, end long"
-    found = None
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        hits = texts.mapInArrow(_matcher([(r.item_id, r.text) for r in own.collect()]), schema)
-        hits = hits if blocks == 1 else stash(hits)
-        found = hits if found is None else found.union(hits)
-    return found
+    leaks = _found(docs.select("doc_id", "text"), benchmark).where(F.col("end") - F.col("start") >= TELLING_CHARS)
+    leaks = stash(leaks.select("text_hash", "text_check").distinct().withColumnsRenamed(
+        {"text_hash": _HASH, "text_check": _CHECK}))
+    hashed = docs.withColumns({_HASH: F.xxhash64("text"), _CHECK: F.hash("text").cast("long")})
+    return hashed.join(leaks, [_HASH, _CHECK], "left_anti").select(*map(quoted, docs.columns))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without those that hold a benchmark text; rows without an id stay."""
-    leaks = stash(contaminated(docs, benchmark).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+_HASH, _CHECK = "__sigillum_text_hash", "__sigillum_text_check"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

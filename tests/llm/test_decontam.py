@@ -4,7 +4,10 @@ import random
 
 import numpy as np
 
-from sigillum.llm.decontam import MIN_CHARS, contaminated, decontaminate, edit_budget, normalised
+import pytest
+
+from sigillum.llm import decontam
+from sigillum.llm.decontam import MIN_CHARS, STEP, WINDOW, contaminated, decontaminate, edit_budget, normalised, parts_of
 
 DOCS = "doc_id long, text string"
 ITEMS = "item_id long, text string"
@@ -28,17 +31,24 @@ def least_edits(text, pattern):
 
 
 def brute_force(docs, items):
-    found = set()
+    """`(doc, item, edits)` of whole items, and `(doc, item, offset)` of windows where there is none."""
+    whole, windows = set(), set()
     for item_id, item in items:
         pattern = plain(item).strip()
-        if len(pattern) < MIN_CHARS:
-            continue
-        budget = edit_budget(len(pattern))
         for doc_id, text in docs:
-            edits = least_edits(plain(text), pattern)
-            if edits <= budget:
-                found.add((doc_id, item_id, edits))
-    return found
+            text = plain(text)
+            if len(pattern) < MIN_CHARS:
+                if pattern and b" " + pattern + b" " in b" " + text + b" ":
+                    whole.add((doc_id, item_id, 0))
+                continue
+            edits = least_edits(text, pattern)
+            if edits <= edit_budget(len(pattern)):
+                whole.add((doc_id, item_id, edits))
+                continue
+            for at, n in parts_of(len(pattern))[1:]:
+                if least_edits(text, pattern[at : at + n]) <= edit_budget(n):
+                    windows.add((doc_id, item_id, at))
+    return whole, windows
 
 
 def sentence(rng, n):
@@ -55,7 +65,7 @@ def edited(rng, text, edits):
 
 def run(spark, docs, items, **options):
     df = contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), **options)
-    assert df.columns == ["doc_id", "item_id", "edits", "start", "end"]
+    assert df.columns == ["doc_id", "item_id", "edits", "start", "end", "share"]
     return df.collect()
 
 
@@ -69,11 +79,67 @@ def test_agrees_with_edit_distances_around_the_budget(spark):
         if k % 3 == 0:
             middle = middle.upper().replace(" ", rng.choice([", ", "\n\n", " - ", "... "]))
         docs.append((k, f"{sentence(rng, rng.randint(0, 30))} {middle} {sentence(rng, rng.randint(0, 30))}"))
-    expected = brute_force(docs, items)
+    expected, windows = brute_force(docs, items)
     assert 40 < len({d for d, _, _ in expected}) < 150
-    assert len({e for _, _, e in expected}) > 3
-    for options in ({}, {"block_bytes": 300}):
-        assert {(r.doc_id, r.item_id, r.edits) for r in run(spark, docs, items, **options)} == expected
+    assert len({e for _, _, e in expected}) > 3 and windows
+    found = run(spark, docs, items)
+    assert {(r.doc_id, r.item_id, r.edits) for r in found if r.share == 1} == expected
+    assert {(r.doc_id, r.item_id) for r in found if r.share < 1} == {(d, i) for d, i, _ in windows}
+
+
+def test_parts_of_items_are_regions(spark):
+    """Copies of 30 to 100% of an item, with and without edits."""
+    rng = random.Random(8)
+    items = [(k, sentence(rng, rng.randint(25, 60))) for k in range(8)]
+    docs, cuts = [], {}
+    for k in range(90):
+        item = rng.choice(items)[1]
+        n = int(len(item) * rng.uniform(0.3, 1))
+        at = rng.randint(0, len(item) - n)
+        part = item[at : at + n]
+        cuts[k] = (len(part), k % 2)
+        part = edited(rng, part, int(len(part) * rng.uniform(0, 0.1))) if k % 2 else part
+        docs.append((k, f"{sentence(rng, rng.randint(0, 20))} {part} {sentence(rng, rng.randint(0, 20))}"))
+    whole, windows = brute_force(docs, items)
+    found = run(spark, docs, items)
+    assert {(r.doc_id, r.item_id, r.edits) for r in found if r.share == 1} == whole
+    partial = [r for r in found if r.share < 1]
+    assert {(r.doc_id, r.item_id) for r in partial} == {(d, i) for d, i, _ in windows}
+    texts, sizes = dict(docs), {i: len(plain(text).strip()) for i, text in items}
+    for r in partial:
+        assert WINDOW <= r.share * sizes[r.item_id] + 1e-6
+        assert abs((r.end - r.start) - r.share * sizes[r.item_id]) <= 2 * edit_budget(WINDOW)
+        assert len(texts[r.doc_id]) >= r.end
+    hit = {r.doc_id for r in found}
+    assert all(k in hit for k, (n, is_edited) in cuts.items() if n >= WINDOW + STEP + 2 and not is_edited)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_short_items_are_whole_words(spark, seed):
+    rng = random.Random(seed)
+    items = [(k, "".join(rng.choice("ab é7") for _ in range(k))) for k in range(1, 31) for _ in range(3)]
+    docs = [(k, "".join(rng.choice("ab é7,") for _ in range(rng.randint(0, 60)))) for k in range(60)]
+    docs += [(100 + k, f"{rng.choice('a, ')}{rng.choice(items)[1].upper()}{rng.choice('b. ')}") for k in range(60)]
+    docs.append((999, "What is 7 times 8? Nobody knows."))
+    items.append((77, "What is 7 times 8?"))
+    whole, _ = brute_force(docs, items)
+    assert {(r.doc_id, r.item_id, r.edits) for r in run(spark, docs, items)} == whole and (999, 77, 0) in whole
+
+
+def test_many_items_and_common_passages_take_one_scan(spark, monkeypatch):
+    """A small filter and a phrase in all items change nothing but the work."""
+    rng = random.Random(3)
+    phrase = "answer the following question and explain your answer in a few words please"
+    items = [(k, f"{phrase} {sentence(rng, 12)}") for k in range(60)]
+    docs = [(k, f"{sentence(rng, 5)} {rng.choice(items)[1]} {sentence(rng, 5)}") for k in range(30)]
+    docs += [(50 + k, f"{sentence(rng, 9)} {phrase} {sentence(rng, 9)}") for k in range(3)]
+    first = sorted(map(tuple, run(spark, docs, items)))
+    monkeypatch.setattr(decontam, "MOST_BITS", 10)
+    monkeypatch.setattr(decontam, "LEAST_BITS", 10)
+    assert sorted(map(tuple, run(spark, docs, items))) == first
+    whole, windows = brute_force(docs, items)
+    assert {(d, i, e) for d, i, e, _, _, share in first if share == 1} == whole
+    assert {(d, i) for d, i, _, _, _, share in first if share < 1} == {(d, i) for d, i, _ in windows}
 
 
 def test_places_are_code_points_of_the_whole_text(spark):
@@ -116,12 +182,18 @@ def test_edge_cases(spark):
     items = [(1, item), (2, item), (3, None), (4, ""), (None, item)]
     found = run(spark, docs, items)
     pairs = sorted(((r.doc_id, r.item_id, r.start) for r in found), key=repr)
-    assert pairs == sorted([(d, i, 0) for d in (4, 4, None, 5) for i in (1, 2, None)], key=repr)
+    assert pairs == sorted([(d, i, 0) for d in (4, None, 5) for i in (1, 2, None)], key=repr)
     assert run(spark, [], items) == [] and run(spark, docs, []) == []
-    wide = spark.createDataFrame([(*d, "x", 1) for d in docs], DOCS + ", item_id string, edits int")
-    kept = decontaminate(wide, spark.createDataFrame(items, ITEMS))
+
+
+def test_rows_go_by_their_own_text(spark):
+    item = "the quick brown fox jumps over the lazy dog again and again"
+    docs = [(1, None), (2, ""), (4, item), (4, "a clean text"), (None, item), (None, "clean too"), (5, f"{item} {item}"), (6, "yes")]
+    wide = spark.createDataFrame([(*d, "x", 1) for d in docs], DOCS + ", `item_id.part` string, `ed``its` int")
+    kept = decontaminate(wide, spark.createDataFrame([(1, item), (2, "yes")], ITEMS))
     assert kept.columns == wide.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 2, 3, 6, None]
+    assert sorted((tuple(r)[:2] for r in kept.collect()), key=repr) == sorted(
+        [(1, None), (2, ""), (4, "a clean text"), (None, "clean too"), (6, "yes")], key=repr)
 
 
 def test_query_finds_every_exact_passage(spark):
