@@ -1,14 +1,15 @@
-"""Exact links between sets that share buckets, as forests instead of all pairs.
+"""Exact links between sets that share keys, as forests instead of all pairs.
 
-A bucket holds sets of which two may be alike. All links within a bucket are
-found, but only as many are returned as connect what is connected:
+Sets with a common key are a bucket, named by its centre, the least of them;
+buckets of one centre are one. All links within a bucket are found, but only as
+many are returned as connect what is connected:
 
-1. One member is the centre and is compared with all others (a star).
-2. A bucket whose other members are in several components is open. It elects a
-   new centre, the member with most links so far, which is compared with those
-   that are still apart from it; and so on for some rounds.
-3. What is open then is compared block by block, and a group of two blocks
-   returns a spanning forest of what it finds.
+1. The centre is compared with all others (a star).
+2. Where the others are in several components, the bucket is open. One that fits
+   into a group is compared there, and returns a spanning forest.
+3. A larger one elects a new centre, the member with most links so far, which
+   is compared with those that are still apart from it; and so on for some rounds.
+   What is open then is compared block by block; a group is two blocks.
 
 Every comparison is on full sets.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,7 @@ CELLS = 1 << 12
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 _LINK = "a long, b long"
+_RIGHT, _LEFT, _BOTH = range(3)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
@@ -122,9 +125,9 @@ def _blocks(pct: int) -> Callable[[pa.Table], pa.Table]:
     def compare(rows: pa.Table) -> pa.Table:
         node, size, values = _flat(rows)
         label = rows.column("label").to_numpy()
-        side = rows.column("is_left").to_numpy(zero_copy_only=False)
+        side = rows.column("side").to_numpy()
         owner = np.repeat(np.arange(len(node)), size)
-        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        left, right = np.flatnonzero(side != _RIGHT), np.flatnonzero(side != _LEFT)
         common = np.zeros((len(left), len(right)), np.float32)
         # Hashes are even, so ranges of them bound the memory, however long the texts are.
         bounds = np.linspace(-(2.0**63), 2.0**63, 2 + len(values) // RANGE)[1:-1].astype(np.int64)
@@ -152,13 +155,13 @@ def _blocks(pct: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def _compared_blocks(rows: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """A forest of the links between members of a bucket with different labels.
+    """A forest of the links between nodes of a bucket with different labels.
 
-    Members outside the label that most have are on the left and meet all, on
-    the right; both sides are dealt into blocks, and a group is two blocks.
+    `rows` has `(bucket, node, label, size)`. Nodes outside the label that most
+    have are on the left and meet all, on the right; both sides are dealt into
+    blocks, and a group is two blocks. A bucket of one block is one group.
     """
-    weighed = lookup(rows, sets.select("node", "size"), "node")
-    by_label = weighed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
+    by_label = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
     seats = by_label.groupBy("bucket").agg(
         F.max(F.struct("n", "w", "label")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w")
     ).selectExpr(
@@ -167,35 +170,51 @@ def _compared_blocks(rows: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
         f"CAST(ceil(greatest((n - main.n) / {BLOCK}, (w - main.w) / {WEIGHT})) AS INT) AS lefts",
         f"CAST(ceil(greatest(n / {BLOCK}, w / {WEIGHT})) AS INT) AS rights",
     )
-    places = """explode(concat(
-        transform(sequence(0, lefts - 1), b -> struct(
-            b AS left_block, CAST(pmod(xxhash64(node), rights) AS INT) AS right_block, false AS is_left)),
-        CASE WHEN label = main THEN array() ELSE
-            transform(sequence(0, rights - 1), b -> struct(
-                CAST(pmod(xxhash64(node), lefts) AS INT) AS left_block, b AS right_block, true AS is_left)) END
-    ))"""
+    seat = "struct({} AS left_block, {} AS right_block, {} AS side)"
+    dealt = "CAST(pmod(xxhash64(node), {}) AS INT)"
+    on_right = f"transform(sequence(0, lefts - 1), b -> {seat.format('b', dealt.format('rights'), _RIGHT)})"
+    on_left = f"transform(sequence(0, rights - 1), b -> {seat.format(dealt.format('lefts'), 'b', _LEFT)})"
+    one = f"array({seat.format('0', '0', f'IF(label = main, {_RIGHT}, {_BOTH})')})"
+    places = f"explode(CASE WHEN rights = 1 THEN {one} WHEN label = main THEN {on_right} ELSE concat({on_right}, {on_left}) END)"
     seated = lookup(rows, seats, "bucket").select("bucket", "node", "label", F.expr(places).alias("seat"))
+    # Stored, so that its size decides whether it is broadcast.
+    seated = stash(seated.select("bucket", "node", "label", "seat.*"))
     return (
-        seated.select("bucket", "node", "label", "seat.*")
-        .join(sets.select("node", "shingles"), "node")
+        seated.join(sets.select("node", "shingles"), "node")
         .groupBy("bucket", "left_block", "right_block")
         .applyInArrow(_blocks(pct), _LINK)
     )
 
 
 def bucket_forest(
-    buckets: DataFrame, sets: DataFrame, pct: int, *, given: DataFrame | None = None, rounds: int = ROUNDS
+    buckets: DataFrame,
+    sets: DataFrame,
+    pct: int,
+    *,
+    given: DataFrame | None = None,
+    has_stars: bool = True,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """`(node, component)` of the nodes that links within buckets, and those `given`, connect.
 
-    `buckets` has distinct `(bucket, node, centre)` of all nodes but the centre,
-    which is one for each bucket; `sets` has `(node, size, shingles)` of all its nodes. Both are stored
-    tables. Links are pairs with 100 * intersection >= `pct` * union.
+    `buckets` has distinct `(centre, node)`; `sets` has `(node, size, shingles)`
+    of all. Both are stored tables. Links are pairs with 100 * intersection >=
+    `pct` * union. Without stars, a bucket that fits into a group is compared at once.
     """
-    stars = buckets.select("centre", F.col("node").alias("member")).distinct()
-    links = stash(confirmed_stars(stars, sets, pct))
+    centres = buckets.select("centre").distinct()
+    rows = buckets.select(F.col("centre").alias("bucket"), "node")
+    whole = rows.union(centres.select(F.col("centre").alias("bucket"), F.col("centre").alias("node")))
+    parts = []
+    if has_stars:
+        stars = buckets.select("centre", F.col("node").alias("member"))
+    else:
+        small, large = _by_size(whole.withColumn("label", F.col("node")), sets)
+        parts.append(_compared_blocks(small, sets, pct))
+        rows = large.where("node <> bucket").select("bucket", "node")
+        stars = rows.select(F.col("bucket").alias("centre"), F.col("node").alias("member"))
+    parts.append(confirmed_stars(stars, sets, pct))
+    links = stash(reduce(DataFrame.union, parts))
     links = links if given is None else links.union(given)
-    rows = buckets.select("bucket", "node")
     labels = components(links)
     for step in range(rounds + 1):
         named = lookup(rows, labels, "node").select("bucket", "node", F.coalesce("component", "node").alias("label"))
@@ -204,10 +223,15 @@ def bucket_forest(
                      .select("bucket", "node", "label"))
         if rows.isEmpty():
             return labels
-        if step < rounds:
-            rows, found = _elected(rows, links, sets, pct)
+        small, large = _by_size(rows, sets)
+        if step == rounds:
+            small, large = small.union(large), large.limit(0)
+        found = _compared_blocks(small, sets, pct)
+        if not large.isEmpty():
+            rows, more = _elected(large, links, sets, pct)
+            found = found.union(more)
         else:
-            found = _compared_blocks(rows, sets, pct)
+            rows = large
         found = stash(found)
         if not found.isEmpty():
             links = links.union(found)
@@ -216,16 +240,25 @@ def bucket_forest(
     return labels
 
 
+def _by_size(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`(bucket, node, label, size)` of the buckets that fit into a group, and of the others."""
+    sized = lookup(rows.select("bucket", "node", "label"), sets.select("node", "size"), "node")
+    of_bucket = sized.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
+    fits = of_bucket.select("bucket", ((F.col("n") <= BLOCK) & (F.col("w") <= WEIGHT)).alias("fits"))
+    both = stash(lookup(sized, fits, "bucket"))
+    return both.where("fits").drop("fits"), both.where("NOT fits").drop("fits")
+
+
 def _elected(rows: DataFrame, links: DataFrame, sets: DataFrame, pct: int) -> tuple[DataFrame, DataFrame]:
     """What is left to compare after a new centre of each bucket, and the links it has."""
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     chosen = (
-        lookup(rows, degree, "node")
+        lookup(rows.select("bucket", "node", "label"), degree, "node")
         .groupBy("bucket")
         .agg(F.max(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.col("node")).alias("minus"), "label")).alias("c"))
         .select("bucket", (-F.col("c.minus")).alias("centre"), F.col("c.label").alias("own"))
     )
-    rows = stash(lookup(rows, chosen, "bucket").where("node <> centre"))
+    rows = stash(lookup(rows.select("bucket", "node", "label"), chosen, "bucket").where("node <> centre"))
     pairs = rows.where("label <> own").select("centre", F.col("node").alias("member")).distinct()
     return rows, confirmed_stars(pairs, sets, pct)
 
@@ -258,13 +291,13 @@ def _set_reader(words: int) -> Callable:
 
 
 def key_buckets(keyed: DataFrame) -> DataFrame:
-    """Distinct `(bucket, node, centre)` of the nodes that share a key of `(node, keys)`.
+    """Distinct `(centre, node)` of the nodes that share a key of `(node, keys)`.
 
-    The centre is the least node; it has no row of its own. A bucket is named by what is in it, so keys of the same nodes are one
-    bucket. Rows are sorted into windows, each of one key. Cells of keys are
-    counted before: those with more rows than an average partition hold a hot
-    key, and take an aggregation, combined before the shuffle, and a join whose
-    hot partitions are split.
+    The centre is the least node of a key; it has no row of its own. Rows are
+    sorted into windows, each of one key. Cells of keys are counted before: those
+    with more rows than an average partition hold a hot key, and take an
+    aggregation, combined before the shuffle, and a join whose hot partitions
+    are split.
     """
     spark = keyed.sparkSession
     rows = keyed.select("node", F.explode("keys").alias("key"))
@@ -276,25 +309,11 @@ def key_buckets(keyed: DataFrame) -> DataFrame:
     hot = F.broadcast(cells.where(F.col("n") > max(1, total // partitions)).select("cell", F.lit(True).alias("is_hot")))
     named = rows.withColumn("cell", cell).join(hot, "cell", "left").drop("cell")
 
-    def of(over):
-        return [
-            over(F.count(F.lit(1))).alias("n"),
-            over(F.min("node")).alias("centre"),
-            over(F.expr("bit_xor(xxhash64(node))")).alias("content"),
-        ]
-
     window = Window.partitionBy("key")
-    usual = named.where("is_hot IS NULL").select("key", "node")
-    usual = usual.select("node", *of(lambda c: c.over(window))).where("n > 1")
+    usual = named.where("is_hot IS NULL").select("node", F.min("node").over(window).alias("centre"))
     busy = named.where("is_hot").select("key", "node")
-    per = busy.groupBy("key").agg(*of(lambda c: c)).where("n > 1")
-    busy = lookup(busy, per, "key").where("n IS NOT NULL").select("node", "n", "centre", "content")
-    return stash(
-        usual.union(busy)
-        .where("node <> centre")
-        .select(F.xxhash64("n", "centre", "content").alias("bucket"), "node", "centre")
-        .distinct()
-    )
+    busy = lookup(busy, busy.groupBy("key").agg(F.min("node").alias("centre")), "key").select("node", "centre")
+    return stash(usual.union(busy).where("node <> centre").select("centre", "node").distinct())
 
 
 def sign(named: DataFrame, signer: Callable) -> DataFrame:
@@ -307,7 +326,9 @@ def sign(named: DataFrame, signer: Callable) -> DataFrame:
     return stash(hashed.mapInArrow(signer, schema).withColumn("row", F.monotonically_increasing_id()))
 
 
-def component_ids(named: DataFrame, signed: DataFrame, words: int, pct: int) -> DataFrame:
+def component_ids(
+    named: DataFrame, signed: DataFrame, words: int, pct: int, *, has_stars: bool = True
+) -> DataFrame:
     """`(doc_id, n_shingles, component_id)` for each row of `named`, which has `(doc_id, text)`.
 
     `signed` is its result of `sign`, where any two similar sets share a key.
@@ -339,7 +360,9 @@ def component_ids(named: DataFrame, signed: DataFrame, words: int, pct: int) ->
 
     per_doc = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     same_id = stash(lookup(members, per_doc, "doc_id").where("node > a").select("a", F.col("node").alias("b")).distinct())
-    labels = bucket_forest(buckets, sets, pct, given=None if same_id.isEmpty() else same_id)
+    labels = bucket_forest(
+        buckets, sets, pct, given=None if same_id.isEmpty() else same_id, has_stars=has_stars
+    )
 
     labelled = stash(
         lookup(classes, labels, "node").select("class", "least", F.coalesce("component", "node").alias("component"))
