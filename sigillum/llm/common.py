@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import shared_folder, stash
 
-__all__ = ["few", "held_out", "in_share", "mix64", "shared_folder", "slices", "stash", "table"]
+__all__ = ["few", "free_name", "held_out", "in_share", "mix64", "shared_folder", "slices", "stash", "table"]
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,6 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """`name`, with as many underscores behind it as make it differ from all others in any letter case."""
+    others = {t.lower() for t in taken}
+    while name.lower() in others:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """True for documents that no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

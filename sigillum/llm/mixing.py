@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stash, table
+from ..operators.keys import quoted
+from .common import free_name, slices, stash, table
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -114,11 +115,8 @@ def _uniform(*parts) -> F.Column:
 
 
 def _added(docs: DataFrame) -> list[str]:
-    names = ["copy", "tokens", "weight", "block", "order_key"]
-    clash = [c for c in docs.columns if c in names]
-    if clash:
-        raise ValueError(f"columns of these names would clash with the schedule's: {clash}")
-    return names
+    """The names of the schedule's columns."""
+    return [free_name(name, docs.columns) for name in ("copy", "tokens", "weight", "block", "order_key")]
 
 
 def mix(
@@ -143,16 +141,18 @@ def mix(
     Cases. NULL is a source of its own. A document without tokens takes nothing
     of a budget; a source without any has no weight, and its documents are
     scheduled once, unless a budget is given. Rows with equal ids are scheduled
-    alike. Columns of `docs` stay; one named as an added column is refused by
-    name. An empty table gives an empty schedule.
+    alike, NULL ids too; repeated rows each have their own. A very long text
+    counts with all its tokens, in one task. Columns of `docs` stay, whatever
+    their names; an added column whose name is taken, in any letter case, gets
+    underscores behind it. An empty table gives an empty schedule.
     """
     added = _added(docs)
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own = [quoted(c) for c in docs.columns]
     read = docs.select(
         F.struct(*own).alias("row"),
         F.to_json(F.struct(F.col("source").cast("string").alias("s"))).alias("mix_source"),
-        F.coalesce(F.col(tokens_col) if tokens_col else token_count("text"), F.lit(0)).alias("n_tokens"),
-        F.col(id_col).cast("string").alias("mix_id"),
+        F.coalesce(quoted(tokens_col) if tokens_col else token_count("text"), F.lit(0)).alias("n_tokens"),
+        quoted(id_col).cast("string").alias("mix_id"),
     )
     counts = {
         r.mix_source: (r.n, r.docs)
@@ -201,14 +201,27 @@ def mix(
     spent = spent.select("mix_source", "block", "before", (F.col("before") + F.col("n") > F.col("left_tokens")).alias("is_cut"))
     # At most `blocks` rows for each source.
     open_blocks = last.join(F.broadcast(spent), ["mix_source", "block"])
-    within = Window.partitionBy("mix_source").orderBy(
-        _uniform(F.lit("within"), "mix_id", "copy"), "mix_id", F.xxhash64("row")
-    ).rowsBetween(Window.unboundedPreceding, -1)
-    cut = (
-        open_blocks.where("is_cut")
-        .withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-        .where("before + inner < left_tokens")
-        .drop("inner", "before", "is_cut")
+    # The cut block has a second level: parts of it in its own order, of which one is cut.
+    place_within = _uniform(F.lit("within"), "mix_id", "copy")
+    inner = open_blocks.where("is_cut").withColumn(
+        "part", F.least(F.floor(place_within * blocks), F.lit(blocks - 1)).cast("int")
+    )
+    by_part = inner.groupBy("mix_source", "part", "before", "left_tokens").agg(F.sum("n_tokens").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("mix_source").orderBy("part")) - F.col("n")
+    by_part = (
+        by_part.withColumn("ahead", F.col("before") + so_far)
+        .where("ahead < left_tokens")
+        .select("mix_source", "part", "ahead", (F.col("ahead") + F.col("n") >= F.col("left_tokens")).alias("ends"))
+    )
+    # At most `blocks` rows for each source.
+    inner = inner.join(F.broadcast(by_part), ["mix_source", "part"])
+    within = Window.partitionBy("mix_source").orderBy(place_within, "mix_id", F.xxhash64("row")).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    # A part is 1 / blocks^2 of a source.
+    last_part = inner.where("ends").withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+    cut = inner.where("NOT ends").drop("part", "ahead", "ends", "before", "is_cut").unionByName(
+        last_part.where("ahead + inner < left_tokens").drop("inner", "part", "ahead", "ends", "before", "is_cut")
     )
     full = open_blocks.where("NOT is_cut").drop("before", "is_cut")
     scheduled = whole.unionByName(full.select(*whole.columns)).unionByName(cut.select(*whole.columns))
@@ -218,11 +231,11 @@ def mix(
     ) / (blocks + 1)
     return scheduled.select(
         *[F.col("row").getField(c).alias(c) for c in docs.columns],
-        F.col("copy"),
+        F.col("copy").alias(added[0]),
         F.col("n_tokens").alias(added[1]),
-        F.col("weight"),
-        F.col("block"),
-        F.least((F.col("copy") - 1 + place) / F.col("rounds"), F.lit(1.0)).alias("order_key"),
+        F.col("weight").alias(added[2]),
+        F.col("block").alias(added[3]),
+        F.least((F.col("copy") - 1 + place) / F.col("rounds"), F.lit(1.0)).alias(added[4]),
     )
 
 

@@ -1,12 +1,16 @@
 """Mixing against plain arithmetic over all documents."""
 
+import json
 import math
 import random
+import struct
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+from sigillum.llm import mixing
 from sigillum.llm.mixing import mix, temperature
 
 SCHEMA = "doc_id long, source string, text string"
@@ -100,8 +104,65 @@ def test_edge_cases(spark):
     assert Counter((r.doc_id, r.source, r.copy) for r in out if r.copy == 1) == Counter((a, b, 1) for a, b, _ in rows)
     assert {r.source: r.weight for r in out}["s"] == 0
     assert mix(spark.createDataFrame([], SCHEMA)).collect() == []
-    with pytest.raises(ValueError, match="copy"):
-        mix(spark.createDataFrame(rows, SCHEMA).withColumn("copy", F.lit(1)))
+
+
+def test_names_of_any_kind_stay(spark):
+    rows = [(1, "s", "a b", 1, 2, 3, 4)]
+    names = ["Copy", "to`kens", "we.ight", "tokens"]
+    docs = spark.createDataFrame(rows, SCHEMA + ", k0 int, k1 int, k2 int, k3 int").toDF("doc_id", "source", "text", *names)
+    out = mix(docs)
+    assert out.columns == [*docs.columns, "copy_", "tokens_", "weight", "block", "order_key"]
+    (row,) = out.collect()
+    assert tuple(row)[:9] == (1, "s", "a b", 1, 2, 3, 4, 1, 2)
+
+
+def uniform(*parts):
+    """Spark's chained xxhash64 as a number in (0, 1]."""
+    found = 42
+    for part in (mixing.SEED, *parts):
+        data = part.encode() if isinstance(part, str) else struct.pack("<i", part)
+        found = xxhash.xxh64(data, seed=found).intdigest()
+    return ((found >> 11) + 1) / 2**53
+
+
+def schedule(rows, max_repeats, budget, blocks):
+    """`(doc_id, copy, block)` of every scheduled row, by plain arithmetic."""
+    of_source = defaultdict(list)
+    for doc_id, source, text in rows:
+        of_source[source].append((str(doc_id), len(text.split())))
+    tokens = {json.dumps({"s": s}, separators=(",", ":")): sum(n for _, n in docs) for s, docs in of_source.items()}
+    _, weights = temperature(tokens, max_repeats=max_repeats)
+    whole = budget if budget is not None else max(tokens[s] / w for s, w in weights.items())
+    found = set()
+    for source, docs in of_source.items():
+        name = json.dumps({"s": source}, separators=(",", ":"))
+        quota = weights[name] * whole
+        epochs = int(quota / tokens[name] * (1 + 1e-12))
+        left = max(0, round(quota - epochs * tokens[name]))
+        left = left if left > tokens[name] * 1e-9 else 0
+
+        def block_of(doc_id, epoch):
+            return min(int(uniform("block", doc_id, epoch) * blocks), blocks - 1)
+
+        for epoch in range(1, epochs + 1):
+            found |= {(int(d), epoch, block_of(d, epoch)) for d, _ in docs}
+        epoch, before = epochs + 1, 0
+        order = [(uniform("rank", name, epoch, block_of(d, epoch)), block_of(d, epoch), uniform("within", d, epoch), d, n)
+                 for d, n in docs]
+        for _, block, _, d, n in sorted(order):
+            if before < left:
+                found.add((int(d), epoch, block))
+            before += n
+    return found
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 16, 1024])
+@pytest.mark.parametrize("budget", [None, 700, 3000, 9001])
+def test_the_whole_schedule_equals_plain_arithmetic(spark, blocks, budget):
+    rows = corpus(blocks)
+    out = mix(spark.createDataFrame(rows, SCHEMA), max_repeats=3.0, budget_tokens=budget, blocks=blocks).collect()
+    assert len(out) == len({(r.doc_id, r.copy) for r in out})
+    assert {(r.doc_id, r.copy, r.block) for r in out} == schedule(rows, 3.0, budget, blocks)
 
 
 def test_query_takes_the_whole_table(spark):
