@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import sys
 import uuid
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lookup import lookup
-from .common import in_share, shared_folder, stash, table
+from .common import few, in_share, shared_folder, stash, table
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -62,17 +63,23 @@ def _clean(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, owner: int | None) -> bytes:
-    """A response record, or a revisit of `owner`'s if there is one."""
+# The page's id, the payload's digest, and of a revisit its place.
+_URN = re.compile(r"<urn:page:(-?\d*):[0-9a-f]{40}[^<>]*>")
+
+
+def record(
+    page_id: int | None, url: str | None, payload: bytes, sha1: bytes, owner: int | None, place: str = ""
+) -> bytes:
+    """A response record, or a revisit of `owner`'s if there is one; `place` tells revisits apart."""
     http = f"{HTTP_STATUS}\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if owner is not None else http + payload
     lines = [
         VERSION,
         f"WARC-Type: {'response' if owner is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}:{sha1.hex()}{'' if owner is None else place}>",
         f"WARC-Date: {WRITTEN}",
         *([] if url is None else [f"WARC-Target-URI: {_clean(url)}"]),
-        *([] if owner is None else [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{owner}>"]),
+        *([] if owner is None else [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{owner}:{sha1.hex()}>"]),
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}",
         f"Content-Length: {len(block)}",
@@ -112,7 +119,9 @@ def parse(data: bytes) -> tuple[int | None, str | None, int, str, str, int | Non
         raise WarcError(f"unknown digest: {algorithm}")
     sha1 = base64.b32decode(digest)
     kind = headers["WARC-Type"]
-    number = lambda value: int(value[10:-1]) if value[10:-1] else None  # noqa: E731  <urn:page:7>
+    if not (own := _URN.fullmatch(headers["WARC-Record-ID"])):
+        raise WarcError(f"unknown record id: {headers['WARC-Record-ID']}")
+    page = int(own[1]) if own[1] else None
     if kind == "response":
         if len(payload) != size or hashlib.sha1(payload).digest() != sha1:
             raise WarcError("the payload is not the one of its headers")
@@ -120,10 +129,11 @@ def parse(data: bytes) -> tuple[int | None, str | None, int, str, str, int | Non
     elif kind == "revisit":
         if payload:
             raise WarcError("a revisit with a payload")
-        owner, payload = number(headers["WARC-Refers-To"]), None
+        if not (other := _URN.fullmatch(headers.get("WARC-Refers-To", ""))) or not other[1]:
+            raise WarcError("a revisit of nothing known")
+        owner, payload = int(other[1]), None
     else:
         raise WarcError(f"unknown type: {kind}")
-    page = number(headers["WARC-Record-ID"])
     return page, headers.get("WARC-Target-URI"), size, sha1.hex(), kind, owner, payload
 
 
@@ -180,14 +190,16 @@ def _writer(folder: str, dictionary: bytes, archive_bytes: int) -> Callable:
             done.append((path.removeprefix(root), records))
 
         for batch in batches:
-            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            some_rows = zip(*(few(column) for column in batch.columns), strict=True)
+            for row in (row for some in some_rows for row in zip(*some, strict=True)):
                 page_id, url, payload, sha1, owner = row
                 if stream is None:
                     path, size, records = f"{stem}-{len(done):05d}.warc.zst", 0, 0
                     stream = store.open_output_stream(path, compression=None)
                     if dictionary:
                         stream.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
-                frame = compressor.compress(record(page_id, url, payload, sha1, owner))
+                place = f":{path.removeprefix(root)}:{records}"
+                frame = compressor.compress(record(page_id, url, payload, sha1, owner, place))
                 stream.write(frame)
                 size, records = size + len(frame), records + 1
                 if size >= archive_bytes:
@@ -212,14 +224,17 @@ def write_archives(
     A record's payload is the `html` in UTF-8. Of equal payloads of at least
     `LEAST_REVISIT_BYTES` that with the largest `page_id` is a response and the
     others revisit it; shorter ones are all responses. Equality is by SHA-1.
-    Pages stay in the tasks that read them unless a table of repeated digests is
-    too large to broadcast; a digest however frequent is split by adaptive
-    execution.
+    The table of repeated digests is written first. While Spark broadcasts one of
+    its size, pages stay in the tasks that read them and only digests are
+    shuffled; beyond, payloads are shuffled once, and a digest however frequent
+    is split by adaptive execution.
 
     Cases. NULL html is an empty payload; NULL urls have no header, and control
     characters in one are escaped. A NULL `page_id` stays NULL, and is a
     response only if no row of that payload has an id. Rows of the same id and
-    payload are all responses or all revisits. Empty tables write no archive.
+    payload are all responses or all revisits, and such responses share their
+    record's id; revisits each have one of their own. A very long page is one
+    record, held whole by the task that writes it. Empty tables write no archive.
     Further columns are not read.
     """
     spark = pages.sparkSession
@@ -236,7 +251,8 @@ def write_archives(
     read = pages.select(
         F.col("page_id").cast("long"), "url", payload.alias("payload"), F.sha1(payload).alias("digest")
     )
-    repeated = (
+    # Stored, so that its size is known before the join is planned.
+    repeated = stash(
         read.where(F.octet_length("payload") >= LEAST_REVISIT_BYTES)
         .groupBy("digest")
         .agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n"))

@@ -102,6 +102,25 @@ def test_damaged_archives_stop_the_job(spark, tmp_path):
         read_archives(archives.withColumn("records", F.col("records") + 1)).collect()
 
 
+def test_payloads_are_not_shuffled_while_repeated_digests_are_few(spark, tmp_path, monkeypatch):
+    plans = []
+    stored = warc.stash
+    monkeypatch.setattr(warc, "stash", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    page = "<html>" + "page " * 400
+    archives, found = round_trip(spark, tmp_path / "w", [(k, "u", page + str(k % 40)) for k in range(80)])
+    assert sorted(r.refers_to or 0 for r in found) == [0] * 40 + list(range(40, 80))
+    assert "BroadcastHashJoin" in plans[-1] and "hashpartitioning" not in plans[-1]
+
+
+def test_records_of_one_id_have_ids_of_their_own():
+    digests = [hashlib.sha1(x).digest() for x in (b"a", b"b")]
+    records = [record(None, None, b"a", digests[0], None), record(None, None, b"b", digests[1], None),
+               record(7, None, b"a", digests[0], 9, ":f:1"), record(7, None, b"a", digests[0], 9, ":f:2")]
+    names = [line for r in records for line in r.split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(set(names)) == 4
+    assert [parse(r)[0] for r in records] == [None, None, 7, 7] and parse(records[3])[5] == 9
+
+
 @pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
 def test_query_agrees_with_sql(spark, scale):
     found = warc.op7_warc(spark, f"/root/testdata/{scale}")
