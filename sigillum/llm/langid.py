@@ -8,7 +8,6 @@ a bounded sample of windows of documents whose language is known.
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator
 
@@ -32,7 +31,6 @@ STEPS, BATCH, RATE = 400, 128, 0.02
 UNKNOWN = "und"
 LANES = 4096
 
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -238,16 +236,17 @@ def languages(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, steps: int = S
     predicted language over all bytes. Languages are learnt from rows that are
     not held out, at most `sample_docs` of them.
 
-    Cases. NULL and empty texts, and those without a letter, are `und` with
-    score 0, and so is every text if no language can be learnt. With one known
+    Cases. NULL and empty texts, and those without a letter (digits, marks and
+    number signs are none), are `und` with score 0, and so is every text if no language can be learnt. With one known
     language all others are that. Of equal probabilities the first by name is
-    taken. NULL ids are not held out. Further columns are not read.
+    taken. A very long text is read whole, segment by segment. Repeated rows are
+    predicted alike and keep a row each; an empty table gives none. NULL ids are not held out. Further columns are not read.
     """
     network = fit(docs, sample_docs=sample_docs, steps=steps)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            has_letter = [bool(t and _LETTER.search(t)) for some in few(batch.column(1)) for t in some]
+            has_letter = [bool(t) and any(map(str.isalpha, t)) for some in few(batch.column(1)) for t in some]
             names, scores = [], []
             for first, end, raw, offsets in slices(batch.column(1)):
                 pooled = network.pooled(raw, offsets) if network and len(raw) else np.zeros((end - first, 1))

@@ -50,14 +50,14 @@ def planted(n):
 
 def test_edge_cases(spark):
     rows = planted(200)
-    more = [(1000, None, "xx"), (1001, "", None), (1002, "123 !!", "yy"), (1003, "nicht wasser " * 50_000, None), (None, "der stein und wasser", None), (3, *rows[3][1:])]
+    more = [(1000, None, "xx"), (1001, "", None), (1002, "123 !!", "yy"), (1004, "\u00b2 \u00bd \u2460 \u2167 \u0301 _", None), (1003, "nicht wasser " * 50_000, None), (None, "der stein und wasser", None), (3, *rows[3][1:])]
     wide = spark.createDataFrame(rows + more, SCHEMA).withColumn("held_out", F.lit("x")).withColumn("k", F.lit(1))
     df = languages(wide, steps=200)
     assert df.columns == ["doc_id", "held_out", "lang_pred", "score"]
     found = df.collect()
     assert len(found) == len(rows) + len(more)
     by_id = {r.doc_id: r for r in found}
-    assert [(by_id[k].lang_pred, by_id[k].score) for k in (1000, 1001, 1002)] == [("und", 0)] * 3
+    assert [(by_id[k].lang_pred, by_id[k].score) for k in (1000, 1001, 1002, 1004)] == [("und", 0)] * 4
     assert by_id[1003].lang_pred == by_id[None].lang_pred == "yy" and not by_id[None].held_out
     assert all(0 <= r.score <= 1 for r in found)
     assert np.mean([by_id[k].lang_pred == lang for k, _, lang in rows if by_id[k].held_out]) > 0.95
