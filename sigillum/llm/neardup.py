@@ -31,7 +31,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, table
+from ..operators.keys import quoted
+from ..operators.lookup import lookup
+from .common import free_name, mix64, slices, stash, table
 from .links import component_ids, set_digest, sign
 from .shingles import PLACE, Powers, shingle_sets
 
@@ -111,7 +113,8 @@ def near_duplicates(
     reachable over links, `kept` marks it.
 
     Cases. NULL and empty texts, and texts of white space, have no shingles and
-    are linked with nothing. A row without an id is linked with nothing and
+    are linked with nothing. A very long text is one set like any other, compared
+    in ranges. A row without an id is linked with nothing and
     kept; its component is NULL. Repeated ids are one document of several
     texts. Further columns of `docs` are not read. An empty table gives none.
     """
@@ -121,9 +124,27 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
-    """`docs` without the documents whose component keeps another one."""
-    dropped = near_duplicates(docs, words=words).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of near-duplicates in `docs`.
+
+    Each row is a document of its own, by its own text: rows with the same id,
+    or none, are linked like any others, and of repeated rows one stays. It is
+    the one with the least id, NULL last. Rows without words stay, NULL and empty
+    texts among them; a very long text is a set like any other. Columns stay,
+    whatever their names. An empty table stays empty.
+    """
+    row = free_name("row_number", docs.columns)
+    # Numbers of rows hold only once they are written.
+    numbered = stash(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = stash(near_duplicates(numbered, words=words, id_col=row).select("doc_id", "component_id"))
+    ids = numbered.select(F.col(row).alias("doc_id"), F.col("doc_id").cast("long").alias("own"))
+    # Groups of one row need no choice.
+    groups = found.where("doc_id <> component_id").select("component_id").distinct()
+    several = lookup(found, groups.withColumn("is_group", F.lit(True)), "component_id").where("is_group").drop("is_group")
+    choice = F.min(F.struct(F.col("own").isNull().alias("last"), "own", "doc_id")).alias("first")
+    kept = several.join(ids, "doc_id").groupBy("component_id").agg(choice).select("component_id", "first.doc_id")
+    kept = kept.withColumnRenamed("doc_id", "kept")
+    dropped = stash(lookup(several, kept, "component_id").where("doc_id <> kept").select(F.col("doc_id").alias(row)))
+    return numbered.join(dropped, row, "left_anti").select(*map(quoted, docs.columns))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

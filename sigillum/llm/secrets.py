@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.keys import quoted
 from .common import few, table
 
 # Sent with the task, so executors need no copy of this package.
@@ -153,18 +154,23 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     fails its length is dropped, though it has used up its characters. `github`
     and `npm` tokens must end in the checksum of their body.
 
-    Cases. NULL and empty texts have no span. NULL and repeated ids stay as
-    they are. Further columns are not read. An empty table gives none.
+    Cases. NULL and empty texts have no span; a very long text is read whole. NULL
+    and repeated ids and repeated rows stay as they are. Further columns are not read. An empty table gives none.
     """
     return docs.select(F.col(id_col).alias("doc_id"), secret_spans(F.col(text_col)).alias("secrets"))
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """`docs` with each secret in `text` replaced by a mark, and `n_chars` of the new text."""
+    """`docs` with each secret in `text` replaced by a mark, and `n_chars` of the new text.
+
+    Every row stays, repeated rows and NULL ids too; NULL and empty texts stay as
+    they are, and a very long text is read whole. Other columns stay, whatever
+    their names. An empty table stays empty.
+    """
     clean = docs.withColumn("text", redacted("text"))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars"))
-    return clean.select(*docs.columns)
+    return clean.select(*map(quoted, docs.columns))
 
 
 def _joined(spans: Column) -> Column:

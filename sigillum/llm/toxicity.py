@@ -22,7 +22,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, held_out, in_share, stash, table
+from ..operators.keys import quoted
+from .common import few, free_name, held_out, in_share, stash, table
 
 # Sent with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -305,8 +306,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_RO
     out and have a document, at most `sample_rows` of each class, taken by a
     hash of the id.
 
-    Cases. NULL and empty texts get the score of a text without words. NULL ids
-    are not held out. Labels that are NULL, or of a NULL or unknown id, teach
+    Cases. NULL and empty texts get the score of a text without words. A very long
+    text is scored whole. Repeated rows are scored alike, and each keeps its row;
+    an empty table gives none. NULL ids are not held out. Labels that are NULL, or of a NULL or unknown id, teach
     nothing; of several for one id the greatest counts. Without labels of both
     classes all scores are the class there is, or 0. Further columns are not read.
     """
@@ -321,12 +323,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_RO
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """`docs` without those predicted to be toxic."""
-    name = "toxicity_score"
-    while name in docs.columns:
-        name += "_"
+    """`docs` without the rows whose text is predicted to be toxic.
+
+    Each row goes by its own text, however long, whatever its id: rows of one id
+    and NULL ids too. NULL and empty texts have the score of a text without
+    words. Columns stay, whatever their names. An empty table stays empty.
+    """
+    name = free_name("toxicity_score", docs.columns)
     scored = with_score(docs, fit(docs, labels, sample_rows=sample_rows), name)
-    return scored.where(F.col(name) < THRESHOLD).select(*docs.columns)
+    return scored.where(F.col(name) < THRESHOLD).select(*map(quoted, docs.columns))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sigillum.llm.common import stash, table
-from sigillum.llm.decontam import contaminated
+from sigillum.llm.decontam import TELLING_CHARS, contaminated
 from sigillum.llm.neardup import near_duplicates
 from sigillum.llm.secrets import BASE_KINDS, MARK, Scanner
 from sigillum.llm.toxicity import toxicity
@@ -44,7 +44,8 @@ def test_one_of_each_group_stays(stages):
 
 
 def test_contaminated_documents_go(spark, stages):
-    leaks = ids(contaminated(stages["near_dedup"], table(spark, SF_DIR, "benchmark")))
+    found = contaminated(stages["near_dedup"], table(spark, SF_DIR, "benchmark"))
+    leaks = ids(found.where(F.col("end") - F.col("start") >= TELLING_CHARS))
     assert leaks and ids(stages["decontamination"]) == ids(stages["near_dedup"]) - leaks
 
 
@@ -72,6 +73,29 @@ def test_run_gives_the_last_stage(spark, stages):
     assert sorted(corpus_pipeline.run(spark, SF_DIR).collect()) == sorted(stages["mixing"].collect())
 
 
+def test_stages_decide_by_row_and_take_any_column_name(spark):
+    """NULL and repeated ids go by their own text; one of repeated rows stays; names with signs stay."""
+    item = table(spark, SF_DIR, "benchmark").where("length(text) > 80").first().text
+    text = "a quiet harbour town where the boats come home before the evening bells begin to ring again"
+    other = "the second document of this id has nothing in common with any other one that is given here"
+    rows = [
+        (None, text, "en", "s", 1), (None, text, "en", "s", 1), (1, text, "en", "s", 1), (2, other, "en", "s", 1),
+        (2, f"{other} {item}", "en", "t", 1), (None, f"before it {item} behind it", "en", "t", 1), (3, "password: hunter2hunter2", None, None, 1),
+        (4, None, None, None, None), (4, None, None, None, None),
+    ]
+    docs = spark.createDataFrame(rows, table(spark, SF_DIR, "documents").schema)
+    names = ["a.b", "c`d", "Copy", "Row_Number", "toxicity_SCORE"]
+    docs = stash(docs.select("*", *(F.lit(k).alias(name) for k, name in enumerate(names))))
+    given = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        given = stash(stage(spark, given, SF_DIR))
+        assert given.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in given.collect()), key=repr) == sorted(
+        [(1, text), (2, other), (3, MARK), (4, None), (4, None)], key=repr)
+    last = corpus_pipeline.STAGES[-1][1](spark, given, SF_DIR)
+    assert last.columns[: len(docs.columns)] == docs.columns and last.where("copy_ = 1").count() == 5
+
+
 def test_rows_with_nulls_and_an_empty_table(spark):
     docs = spark.createDataFrame(
         [(None, None, None, None, None), (1, None, "en", None, None), (None, "words of a text", None, "s", 3), (2, "", None, "s", 0)],
