@@ -10,10 +10,8 @@ passage. The others are aligned within their band, and windows that follow one
 another in item and text are one region. Items too short for the lemma are
 looked for as whole words.
 
-Jobs, whatever the size of the benchmark: its q-grams become a table and, in a
-bounded number of bits, a filter. One scan of the documents takes the q-grams
-that pass the filter where enough of them are near; these few are joined with the
-table and counted. A second scan reads the texts that have candidates.
+A task has an index of some MiB of the benchmark and takes its documents once,
+whole; a larger benchmark is taken in as many blocks as it has such pieces.
 """
 
 from __future__ import annotations
@@ -21,6 +19,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keys import quoted
-from ..operators.lookup import lookup
 from .common import mix64, slices, stash, table
 
 # Sent with the task, so executors need no copy of this package.
@@ -46,7 +44,10 @@ MIN_CHARS = 24
 WINDOW, STEP = 64, 16
 # A shorter exact match ("yes") tells nothing: reported, but no reason to drop a document.
 TELLING_CHARS = 12
-LEAST_BITS, MOST_BITS = 20, 28
+# Bounds that common q-grams may leave.
+LEAST_KEPT = 4
+BLOCK_BYTES = 1 << 22
+_FILTER_BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -158,53 +159,131 @@ def parts_of(m: int) -> list[tuple[int, int]]:
     return [(0, m), *((at, WINDOW) for at in windows)]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`(item_id, m, offset, pattern)` of the items."""
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        for k, text in enumerate(batch.column(1).to_pylist()):
+class Index:
+    """The q-grams of some benchmark items, and the short ones as words."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        self.items: list[tuple[int, bytes]] = []
+        self.words: dict[bytes, list[int]] = {}
+        for item_id, text in items:
             pattern = pattern_bytes(text)
-            parts = parts_of(len(pattern))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[k]] * len(parts), pa.int64()),
-                    pa.array([len(pattern)] * len(parts), pa.int64()),
-                    pa.array([at for at, _ in parts], pa.int64()),
-                    pa.array([pattern[at : at + n] for at, n in parts], pa.binary()),
-                ],
-                names=["item_id", "m", "offset", "pattern"],
-            )
-
-
-def _pattern_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`(gram, part, place, m)` of `(part, pattern)`."""
-    for batch in batches:
-        for part, pattern in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = _grams(np.frombuffer(pattern, np.uint8)).view(np.int64)
-            n = len(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found), pa.array(np.full(n, part)), pa.array(np.arange(n)), pa.array(np.full(n, len(pattern)))],
-                names=["gram", "part", "place", "m"],
-            )
-
-
-def _filter(grams: DataFrame, words: DataFrame) -> np.ndarray:
-    """Bits of all q-grams and short items, at two places each; 32 MiB at the most.
-
-    Where the benchmark has more than that serves, more passes, and the joins sort it out.
-    """
-    hashes = grams.select("gram").union(words.select("gram")).distinct()
-    n = hashes.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length()))
-    found = (
-        hashes.mapInArrow(_placer(bits), "place long")
-        .groupBy(F.shiftright("place", 6).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, CAST(place % 64 AS INT)))").alias("bits"))
-        .toArrow()
-    )
-    result = np.zeros(1 << (bits - 6), np.int64)
-    result[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return result
+            if len(pattern) >= MIN_CHARS:
+                self.items.append((item_id, pattern))
+            elif pattern:
+                self.words.setdefault(pattern, []).append(item_id)
+        self.lengths = sorted({len(w) for w in self.words})
+        start = np.zeros(1, np.int64)
+        hashes = [_word_hashes(np.frombuffer(w, np.uint8), start, len(w))[0] for w in self.words]
+        self.word_hashes = np.sort(np.array(hashes, np.uint64))
+        m = np.array([len(pattern) for _, pattern in self.items], np.int64)
+        gram = [_grams(np.frombuffer(pattern, np.uint8)) for _, pattern in self.items]
+        self.gram = np.concatenate(gram) if gram else np.zeros(0, np.uint64)
+        self.owner = np.repeat(np.arange(len(m)), m - Q + 1).astype(np.int32)
+        self.place = (np.arange(len(self.gram)) - np.repeat(np.cumsum(m - Q + 1) - (m - Q + 1), m - Q + 1)).astype(np.int32)
+        self.m = m
+        # Windows of all items in one list; those of an item start at `first`.
+        parts = [[at for at, _ in parts_of(n)[1:]] for n in m.tolist()]
+        self.first = np.cumsum([0] + [len(p) for p in parts])
+        self.offset = np.array([at for p in parts for at in p], np.int64)
+        self.window_item = np.repeat(np.arange(len(m)), np.diff(self.first))
+        self.budget = np.array([edit_budget(n) for n in m.tolist()], np.int64)
+        self._bounds()
+        order = np.argsort(self.gram, kind="stable")
+        self.gram, self.owner, self.place = (x[order] for x in (self.gram, self.owner, self.place))
+        self.seen = np.zeros(1 << _FILTER_BITS, bool)
+        self.seen[self.gram >> np.uint64(64 - _FILTER_BITS)] = True
+
+    def _bounds(self) -> None:
+        """Leaves common q-grams out, and lowers the bounds of items and windows by them.
+
+        An item of which too much is common keeps all.
+        """
+        _, which, count = np.unique(self.gram, return_inverse=True, return_counts=True)
+        is_common = count[which] > MOST_PLACES
+        before = np.append(0, np.cumsum(is_common))
+        starts = np.append(0, np.cumsum(self.m - Q + 1))
+        full = self.m - Q + 1 - self.budget * Q
+        whole = full - (before[starts[1:]] - before[starts[:-1]])
+        at = starts[self.window_item] + self.offset
+        full_window = WINDOW - Q + 1 - edit_budget(WINDOW) * Q
+        window = full_window - (before[at + WINDOW - Q + 1] - before[at])
+        least = whole.copy()
+        np.minimum.at(least, self.window_item, window)
+        keeps_all = least < LEAST_KEPT
+        self.bounds = np.where(keeps_all, full, whole)
+        self.window_bounds = np.where(keeps_all[self.window_item], full_window, window)
+        kept = ~is_common | keeps_all[self.owner]
+        self.gram, self.owner, self.place = self.gram[kept], self.owner[kept], self.place[kept]
+
+    def _counted(self, doc, part, diagonal, step, bounds) -> dict[tuple[int, int], list[int]]:
+        """The bands of each document and pattern that have as many hits as the bound."""
+        band = diagonal // step
+        n = max(1, len(bounds))
+        key = (doc * n + part) * np.int64(1 << 30) + band + np.int64(1 << 29)
+        keys, count = np.unique(np.concatenate((key, key - 1)), return_counts=True)
+        pair = keys >> np.int64(30)
+        keep = count >= bounds[pair % n] if len(bounds) else np.zeros(0, bool)
+        found: dict[tuple[int, int], list[int]] = {}
+        bands = (keys[keep] & ((1 << 30) - 1)) - (1 << 29)
+        for p, b in zip(pair[keep].tolist(), bands.tolist(), strict=True):
+            found.setdefault(divmod(p, n), []).append(b)
+        return found
+
+    def matches(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int, float]]:
+        """`(text, item id, edits, start, end, share)` of some texts; places are code points."""
+        if not len(raw):
+            return
+        text, bounds, at = normalised(raw, offsets)
+        for d, s, k in _short_hits(text, bounds, self.lengths, self.word_hashes):
+            for item_id in self.words.get(text[s : s + k].tobytes(), ()):
+                yield d, item_id, 0, *_code_points(raw, offsets, at, d, s, s + k), 1.0
+        if not len(self.gram):
+            return
+        grams = _grams(text)
+        maybe = np.flatnonzero(self.seen[grams >> np.uint64(64 - _FILTER_BITS)])
+        first = np.searchsorted(self.gram, grams[maybe], "left")
+        count = np.searchsorted(self.gram, grams[maybe], "right") - first
+        maybe, first, count = maybe[count > 0], first[count > 0], count[count > 0]
+        pos = np.repeat(maybe, count)
+        entry = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        doc = np.searchsorted(bounds, pos, "right") - 1
+        inside = pos + Q <= bounds[doc + 1]
+        pos, entry, doc = pos[inside], entry[inside], doc[inside]
+        if not len(pos):
+            return
+        item, place = self.owner[entry].astype(np.int64), self.place[entry].astype(np.int64)
+        # Places in the text count from its own start.
+        pos = pos - bounds[doc]
+        whole = self._counted(doc, item, pos - place, self.budget[item] + 1, self.bounds)
+        found: dict[tuple[int, int], list[tuple]] = {}
+        for (d, i), bands in whole.items():
+            pattern = self.items[i][1]
+            best = _best(text[bounds[d] : bounds[d + 1]], pattern, int(self.budget[i]), bands)
+            if best:
+                found[d, i] = [(0, len(pattern), *best)]
+        rows = []
+        for back in range(WINDOW // STEP):
+            own = place // STEP - back
+            good = np.flatnonzero((own >= 0) & (own * STEP < self.m[item] - WINDOW) & (place - own * STEP <= WINDOW - Q))
+            rows.append((good, self.first[item[good]] + own[good]))
+        good = np.flatnonzero((self.m[item] > WINDOW) & (place >= self.m[item] - WINDOW))
+        rows.append((good, self.first[item[good] + 1] - 1))
+        hit, window = (np.concatenate(x) for x in zip(*rows, strict=True))
+        diagonal = pos[hit] - place[hit] + self.offset[window]
+        slack = edit_budget(WINDOW)
+        for (d, w), bands in self._counted(doc[hit], window, diagonal, slack + 1, self.window_bounds).items():
+            i, offset = int(self.window_item[w]), int(self.offset[w])
+            if found.get((d, i), [(0, 0)])[0][1] == len(self.items[i][1]):
+                continue
+            pattern = self.items[i][1][offset : offset + WINDOW]
+            best = _best(text[bounds[d] : bounds[d + 1]], pattern, slack, bands)
+            if best:
+                found.setdefault((d, i), []).append((offset, WINDOW, *best))
+        for (d, i), own in sorted(found.items()):
+            base = int(bounds[d])
+            for covered, edits, start, end in _regions(own):
+                places = _code_points(raw, offsets, at, d, base + start, base + end)
+                yield d, self.items[i][0], edits, *places, covered / len(self.items[i][1])
 
 
 def _word_hashes(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -215,65 +294,10 @@ def _word_hashes(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
     return mix64(rolled)
 
 
-def _scanner(bits: object, least: int, span: int, lengths: list[int]) -> Callable:
-    """The first scan: q-grams that may be of the benchmark where `least` of them are within
-    `span` bytes, and the first place of each short item."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = bits.value
-        bits_of = (64 * len(seen)).bit_length() - 1
-
-        def may_be(hashes: np.ndarray) -> np.ndarray:
-            place = (hashes >> np.uint64(64 - bits_of)).astype(np.int64)
-            found = np.flatnonzero(seen[place >> 6] >> (place & 63) & 1)
-            place = _places(hashes[found], bits_of)[1]
-            return found[(seen[place >> 6] >> (place & 63) & 1) == 1]
-
-        for batch in batches:
-            for first, end, raw, offsets in slices(batch.column(1)):
-                if not len(raw):
-                    continue
-                text, bounds, at = normalised(raw, offsets)
-                grams = _grams(text)
-                pos = may_be(grams)
-                doc = np.searchsorted(bounds, pos, "right") - 1
-                whole = pos + Q <= bounds[doc + 1]
-                pos, doc = pos[whole], doc[whole]
-                near = np.zeros(len(pos), bool)
-                if len(pos) >= least:
-                    # A hit counts if it is within a stretch that has enough.
-                    ends = np.arange(least - 1, len(pos))
-                    good = np.flatnonzero(
-                        (pos[ends] - pos[ends - least + 1] <= span) & (doc[ends] == doc[ends - least + 1])
-                    )
-                    edge = np.zeros(len(pos) + 1, np.int64)
-                    np.add.at(edge, good, 1)
-                    np.add.at(edge, good + least, -1)
-                    near = np.cumsum(edge[:-1]) > 0
-                pos, doc = pos[near], doc[near]
-                n = len(pos)
-                shorts = list(_short_hits(text, bounds, lengths, may_be))
-                owner = np.array([d for d, _, _ in shorts], np.int64)
-                rows = np.concatenate((doc, owner)) + first
-                found = [*([None] * n), *(text[s : s + k].tobytes() for _, s, k in shorts)]
-                places = [_code_points(raw, offsets, at, d, s, s + k) for d, s, k in shorts]
-                none = pa.nulls(len(shorts), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(k).take(pa.array(rows, pa.int64())) for k in (0, 2, 3)),
-                        pa.concat_arrays([pa.array(grams[pos].view(np.int64)), none]),
-                        pa.concat_arrays([pa.array(pos - bounds[doc], pa.int64()), none]),
-                        pa.array(found, pa.binary()),
-                        *(pa.array([None] * n + [p[k] for p in places], pa.int64()) for k in (0, 1)),
-                    ],
-                    names=["doc_id", "text_hash", "text_check", "gram", "pos", "pattern", "start", "end"],
-                )
-
-    return scan
-
-
-def _short_hits(text, bounds, lengths, may_be) -> Iterator[tuple[int, int, int]]:
+def _short_hits(text, bounds, lengths, known) -> Iterator[tuple[int, int, int]]:
     """`(text, start, length)` of the first of each short item, as whole words."""
+    if not lengths:
+        return
     is_word = text != 0x20
     breaks = np.zeros(len(text) + 1, bool)
     breaks[bounds] = True
@@ -284,27 +308,12 @@ def _short_hits(text, bounds, lengths, may_be) -> Iterator[tuple[int, int, int]]
         inside = np.flatnonzero(starts + k <= bounds[doc + 1])
         inside = inside[is_end[starts[inside] + k]]
         hashes = _word_hashes(text, starts[inside], k)
-        some = may_be(hashes)
+        some = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
         _, first = np.unique(np.stack((doc[inside[some]].astype(np.uint64), hashes[some])), axis=1, return_index=True)
         for i in inside[some[np.sort(first)]].tolist():
             yield int(doc[i]), int(starts[i]), k
 
 
-def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two places of a hash in a filter."""
-    shift = np.uint64(64 - bits)
-    return (hashes >> shift).astype(np.int64), (mix64(hashes ^ _BASE) >> shift).astype(np.int64)
-
-
-def _placer(bits: int) -> Callable:
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = np.concatenate(_places(batch.column(0).to_numpy().view(np.uint64), bits))
-            yield pa.RecordBatch.from_arrays([pa.array(both)], names=["place"])
-
-    return place
-
-
 def _code_points(raw, offsets, at, d: int, start: int, end: int) -> tuple[int, int]:
     """Places in the text `d`, in code points, of a stretch of what `normalised` made of it."""
     base = int(offsets[d])
@@ -339,156 +348,59 @@ def _best(text: np.ndarray, pattern: bytes, budget: int, bands: list[int]) -> tu
     return best
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The second scan: candidates of each text, aligned."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            raw = np.frombuffer((batch.column(3)[k].as_py() or "").encode(), np.uint8)
-            offsets = np.array([0, len(raw)])
-            text, _, at = normalised(raw, offsets)
-            rows = []
-            for c in batch.column(4)[k].as_py():
-                found = _best(text, c["pattern"], edit_budget(len(c["pattern"])), c["bands"])
-                if found:
-                    rows.append((c["part"], *found, *_code_points(raw, offsets, at, 0, found[1], found[2])))
-            n = len(rows)
-            own = [batch.column(j).slice(k, 1).take(pa.array([0] * n, pa.int64())) for j in range(3)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays(
-                [*own, *(pa.array(list(c), pa.int64()) for c in columns)],
-                names=["doc_id", "text_hash", "text_check", "part", "edits", "from", "to", "start", "end"],
-            )
-
-
-def _regions(rows: pa.Table) -> pa.Table:
-    """The matches of one item in one text: the whole item, or else regions of windows in sequence."""
-    rows = rows.sort_by([("offset", "ascending")]).to_pylist()
-    whole = [r for r in rows if r["length"] == r["m"]]
-    regions: list[list[dict]] = []
-    for row in whole or rows:
-        last = regions[-1][-1] if regions else None
-        slack = edit_budget(WINDOW)
-        follows = last and 0 < row["offset"] - last["offset"] <= STEP and (
-            abs(row["from"] - last["from"] - row["offset"] + last["offset"]) <= 2 * slack
-        )
-        if follows:
-            regions[-1].append(row)
-        else:
-            regions.append([row])
-    result = []
-    for region in regions:
-        first, last = region[0], region[-1]
-        covered = last["offset"] + last["length"] - first["offset"]
-        result.append({
-            "doc_id": first["doc_id"], "item_id": first["item_id"], "edits": max(r["edits"] for r in region),
-            "start": min(r["start"] for r in region), "end": max(r["end"] for r in region),
-            "share": covered / first["m"], "text_hash": first["text_hash"], "text_check": first["text_check"],
-        })
-    return pa.Table.from_pylist(result, schema=_FOUND)
-
-
-_FOUND = pa.schema(
-    [(n, pa.int64()) for n in ("doc_id", "item_id", "edits", "start", "end")]
-    + [("share", pa.float64()), ("text_hash", pa.int64()), ("text_check", pa.int64())]
-)
-
-
-def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _regions(own: list[tuple[int, int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """`(bytes of the item, edits, start, end)` of `(offset, length, edits, start, end)`: what is
+    in sequence in item and text is one region."""
+    slack = 2 * edit_budget(WINDOW)
+    region: list[tuple] = []
+    for row in [*sorted(own), None]:
+        last = region[-1] if region else None
+        follows = row and last and row[0] - last[0] <= STEP and abs(row[3] - last[3] - row[0] + last[0]) <= slack
+        if region and not follows:
+            covered = last[0] + last[1] - region[0][0]
+            yield covered, max(r[2] for r in region), min(r[3] for r in region), max(r[4] for r in region)
+            region = []
+        region.append(row)
+
+
+def _matcher(items: list[tuple[int, str]]) -> Callable:
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(items)
+        for batch in batches:
+            for first, _, raw, offsets in slices(batch.column(1)):
+                rows = [(first + d, *row) for d, *row in index.matches(raw, offsets)]
+                if not rows:
+                    continue
+                at, *columns = zip(*rows, strict=True)
+                own = [batch.column(k).take(pa.array(at, pa.int64())) for k in (0, 2, 3)]
+                kinds = [pa.int64()] * 4 + [pa.float64()]
+                yield pa.RecordBatch.from_arrays(
+                    [own[0], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *own[1:]],
+                    names=["doc_id", "item_id", "edits", "start", "end", "share", "text_hash", "text_check"],
+                )
+
+    return match
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `contaminated`, with two hashes of the document's text."""
-    spark = docs.sparkSession
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"),
         F.hash("text").cast("long").alias("text_check"),
-    ).where("text IS NOT NULL")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    uses = stash(items.mapInArrow(_cut, "item_id long, m long, offset long, pattern binary"))
-    parts = stash(
-        uses.groupBy("pattern").agg(F.max(F.length("pattern")).alias("length"))
-        .withColumn("part", F.monotonically_increasing_id())
-    )
-    short = parts.where(F.col("length") < MIN_CHARS)
-    words = stash(short.select("pattern", "length").mapInArrow(_short_hashes, "gram long, pattern binary"))
-    grams = _counted_grams(parts.where(F.col("length") >= MIN_CHARS))
-    limits = grams.agg(F.min("bound").alias("least"), F.max(F.col("m") + 2 * F.col("budget")).alias("span")).first()
-    lengths = sorted(r.length for r in short.select("length").distinct().collect())  # fewer than MIN_CHARS
-    bits = spark.sparkContext.broadcast(_filter(grams, words))
-    scanned = stash(
-        named.mapInArrow(
-            _scanner(bits, limits.least or 1, limits.span or 0, lengths),
-            "doc_id long, text_hash long, text_check long, gram long, pos long, pattern binary, start long, end long",
-        )
-    )
-
-    hits = scanned.where("gram IS NOT NULL").select("text_hash", "text_check", "gram", "pos").distinct()
-    band = F.expr("(pos - place - pmod(pos - place, budget + 1)) DIV (budget + 1)")
-    counted = (
-        hits.join(grams, "gram")
-        .select("text_hash", "text_check", "part", "bound", F.explode(F.array(band, band - 1)).alias("band"))
-        .groupBy("text_hash", "text_check", "part", "band")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("bound").alias("bound"))
-        .where("n >= bound")
-        .groupBy("text_hash", "text_check", "part")
-        .agg(F.collect_list("band").alias("bands"))
-    )
-    candidates = stash(
-        lookup(counted, parts.select("part", "pattern"), "part")
-        .groupBy("text_hash", "text_check")
-        .agg(F.collect_list(F.struct("part", "pattern", "bands")).alias("candidates"))
-    )
-    verified = stash(
-        named.join(candidates, ["text_hash", "text_check"])
-        .select("doc_id", "text_hash", "text_check", "text", "candidates")
-        .mapInArrow(
-            _verify,
-            "doc_id long, text_hash long, text_check long, part long, edits long, `from` long, `to` long,"
-            " start long, end long",
-        )
     )
-    used = lookup(uses, parts, "pattern").select("item_id", "m", "offset", "length", "part")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    blocks = 1 + size // block_bytes
     schema = "doc_id long, item_id long, edits long, start long, end long, share double, text_hash long, text_check long"
-    # Rows of one id and text find the same, so one of them stands for all.
-    once = verified.distinct()
-    long = (
-        once.join(used, "part")
-        .groupBy("text_hash", "text_check", "doc_id", "item_id")
-        .applyInArrow(_regions, schema)
-    )
-    exact = lookup(scanned.where("pattern IS NOT NULL").drop("gram", "pos"), parts.select("pattern", "part"), "pattern")
-    exact = exact.where("part IS NOT NULL").join(used, "part").select(
-        "doc_id", "item_id", F.lit(0).cast("long").alias("edits"), "start", "end", F.lit(1.0).alias("share"),
-        "text_hash", "text_check",
-    )
-    return long.union(exact.distinct())
-
-
-def _short_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        patterns = batch.column(0).to_pylist()
-        start = np.zeros(1, np.int64)
-        hashes = [int(_word_hashes(np.frombuffer(p, np.uint8), start, len(p)).view(np.int64)[0]) for p in patterns]
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), batch.column(0)], names=["gram", "pattern"])
+    found = []
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        hits = named.mapInArrow(_matcher([(r.item_id, r.text) for r in own.collect()]), schema)
+        found.append(hits if blocks == 1 else stash(hits))
+    return reduce(DataFrame.union, found)
 
 
-def _counted_grams(parts: DataFrame) -> DataFrame:
-    """`(gram, part, place, m, budget, bound)`, a stored table.
-
-    A q-gram at more than `MOST_PLACES` places is left out, and the bound of each
-    pattern lowered by its own places of it; where too much of a pattern is such,
-    all of it is kept.
-    """
-    grams = stash(parts.select("part", "pattern").mapInArrow(_pattern_grams, "gram long, part long, place long, m long"))
-    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("places")).where(f"places > {MOST_PLACES * WINDOW // STEP}")
-    marked = lookup(grams, often, "gram").withColumn("is_common", F.col("places").isNotNull()).drop("places")
-    budget = f"greatest(0, least(CAST(floor({EDIT_RATE} * m) AS BIGINT), (m - {Q - 1 + LEAST_SHARED}) DIV {Q}))"
-    of_part = marked.groupBy("part").agg(F.sum(F.col("is_common").cast("long")).alias("common"), F.max("m").alias("m"))
-    bounds = of_part.withColumn("budget", F.expr(budget)).withColumn("full", F.expr(f"m - {Q - 1} - budget * {Q}"))
-    bounds = bounds.withColumn("keeps_all", F.col("full") - F.col("common") < 1).select(
-        "part", "budget", "keeps_all", F.expr("IF(keeps_all, full, full - common)").alias("bound")
-    )
-    return stash(lookup(marked, bounds, "part").where("keeps_all OR NOT is_common").drop("is_common", "keeps_all"))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`(doc_id, item_id, edits, start, end, share)`: documents that hold a benchmark text or a part of it.
 
     Letters of either case are the same in any script, and any run of characters
@@ -503,21 +415,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bytes are found as whole words, without edits, at their first place. Places
     are code points.
 
+    Items are taken in blocks of about `block_bytes`; each is broadcast and
+    meets every document once, so neither a task nor the driver ever has more
+    than one block, and the number of blocks follows the benchmark.
+
     Cases. NULL and empty texts hold nothing. NULL and empty items, and those
     without letters and digits, match nothing. A very long text is searched
-    whole; each of its candidates reads a stretch of it only. Equal items are each
-    reported; several rows of one id and text are reported as one. NULL ids are
-    reported as NULL. Further columns, whatever their names, are not read. Empty
-    tables give none.
+    whole; each of its candidates reads a stretch of it only. Equal items and
+    repeated rows are each reported. NULL ids are reported as NULL. Further
+    columns, whatever their names, are not read. Empty tables give none.
     """
-    return _found(docs, benchmark).drop("text_hash", "text_check")
+    return _found(docs, benchmark, block_bytes).drop("text_hash", "text_check")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the rows whose text holds a benchmark text or a region of one.
 
     Each row goes by its own text, whatever its id and those of others. Matches
-    under `TELLING_CHARS` characters, as short items have, are no reason.
+    under `TELLING_CHARS` characters, as short items have, are no reason. NULL and
+    empty texts stay, long ones are read whole; columns stay, whatever their
+    names. An empty table stays empty.
     """
     leaks = _found(docs.select("doc_id", "text"), benchmark).where(F.col("end") - F.col("start") >= TELLING_CHARS)
     leaks = stash(leaks.select("text_hash", "text_check").distinct().withColumnsRenamed(

@@ -40,6 +40,7 @@ WEIGHT = 1 << 20  # shingles of a group
 COLUMNS = 2048
 RANGE = 1 << 18
 CELLS = 1 << 12
+BROADCAST_ROWS = 1 << 18  # of ids and digests: some 20 MB
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,6 +48,11 @@ _LINK = "a long, b long"
 _RIGHT, _LEFT, _BOTH = range(3)
 
 
+def _measured(stored: DataFrame) -> DataFrame:
+    """A stored table of ids, broadcast in a join if it has few rows; beyond, Spark shuffles both sides."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
@@ -92,10 +98,10 @@ def confirmed_stars(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     dealt = stash(lookup(sized, chunks, "centre").select(
         "centre", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int").alias("chunk"), F.col("member").alias("node")
     ))
-    members = dealt.join(sets, "node").select("centre", "chunk", "node", F.lit(False).alias("is_centre"), "shingles")
+    members = sets.join(_measured(dealt), "node").select("centre", "chunk", "node", F.lit(False).alias("is_centre"), "shingles")
+    as_nodes = _measured(chunks.withColumn("node", F.col("centre")))
     centres = (
-        chunks.withColumn("node", F.col("centre"))
-        .join(sets, "node")
+        sets.join(as_nodes, "node")
         .select("centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node",
                 F.lit(True).alias("is_centre"), "shingles")
     )
@@ -177,10 +183,10 @@ def _compared_blocks(rows: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     one = f"array({seat.format('0', '0', f'IF(label = main, {_RIGHT}, {_BOTH})')})"
     places = f"explode(CASE WHEN rights = 1 THEN {one} WHEN label = main THEN {on_right} ELSE concat({on_right}, {on_left}) END)"
     seated = lookup(rows, seats, "bucket").select("bucket", "node", "label", F.expr(places).alias("seat"))
-    # Stored, so that its size decides whether it is broadcast.
     seated = stash(seated.select("bucket", "node", "label", "seat.*"))
     return (
-        seated.join(sets.select("node", "shingles"), "node")
+        sets.select("node", "shingles")
+        .join(_measured(seated), "node")
         .groupBy("bucket", "left_block", "right_block")
         .applyInArrow(_blocks(pct), _LINK)
     )
@@ -343,15 +349,14 @@ def component_ids(
     )
     members = lookup(usable.select("row", "doc_id", "class"), classes.select("class", "node"), "class")
     members = stash(members.select("row", "doc_id", "node"))
-    # Stored, so that its size decides whether it is broadcast.
     others = stash(members.where("row <> node").select("row"))
-    keyed = usable.select("row", "keys").join(others, "row", "left_anti").withColumnRenamed("row", "node")
+    keyed = usable.select("row", "keys").join(_measured(others), "row", "left_anti").withColumnRenamed("row", "node")
     buckets = key_buckets(keyed)
     nodes = buckets.select(F.explode(F.array("node", "centre")).alias("node")).distinct()
     nodes = stash(lookup(nodes, classes.select("node", "doc_id", "text_hash", "class"), "node"))
     sets = stash(
         named.withColumn("text_hash", F.xxhash64("text"))
-        .join(nodes, ["doc_id", "text_hash"])
+        .join(_measured(nodes), ["doc_id", "text_hash"])
         .select("node", "text", "class")
         .mapInArrow(_set_reader(words), "node long, size long, shingles array<long>")
     )
