@@ -269,6 +269,64 @@ def _elected(rows: DataFrame, links: DataFrame, sets: DataFrame, pct: int) -> tu
     return rows, confirmed_stars(pairs, sets, pct)
 
 
+def bin_counts(found: np.ndarray) -> bytes:
+    """How many of a set of sorted hashes are in each range of them, 255 at most: a byte each.
+
+    A power of two of ranges, about a quarter of the elements. Neighbours add up
+    to the counts of half as many.
+    """
+    bits = min(16, max(6, (len(found) // 4).bit_length()))
+    bins = (found >> np.uint64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(bins, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _near(pct: int) -> Callable[[pa.Table], pa.Table]:
+    def compare(rows: pa.Table) -> pa.Table:
+        node, size = rows.column("node").to_numpy(), rows.column("size").to_numpy()
+        counts = [np.frombuffer(c, np.uint8) for c in rows.column("counts").to_pylist()]
+        width = min(map(len, counts))
+        table = np.stack([
+            np.minimum(c.reshape(width, -1).sum(axis=1, dtype=np.int32), 255) for c in counts
+        ]).astype(np.int16)
+        left, right = [], []
+        for k in range(len(node) - 1):
+            apart = np.abs(table[k + 1 :] - table[k]).sum(axis=1, dtype=np.int64)
+            other = size[k + 1 :]
+            may = ((100 + pct) * apart <= (100 - pct) * (size[k] + other)) & (
+                100 * np.minimum(size[k], other) >= pct * np.maximum(size[k], other)
+            )
+            right.append(k + 1 + np.flatnonzero(may))
+            left.append(np.full(len(right[-1]), k))
+        i = np.concatenate([np.zeros(0, np.int64), *left])
+        j = np.concatenate([np.zeros(0, np.int64), *right])
+        some = _forest(i, j)
+        return _pairs(node[i[some]], node[j[some]])
+
+    return compare
+
+
+def narrowed(buckets: DataFrame, bounds: DataFrame, pct: int) -> DataFrame:
+    """Buckets `(centre, node)` of sets that may be similar by their counts, most of them smaller.
+
+    `bounds` has `(node, size, counts)` with `bin_counts` of each set. Two sets
+    differ in as many elements at least as their counts do, so a pair whose counts
+    are too far apart is no link. What is left of the pairs of all buckets that fit
+    into a group connects sets into new buckets, where each set is once. Larger
+    buckets stay as they are.
+    """
+    centres = buckets.select("centre").distinct()
+    whole = buckets.select(F.col("centre").alias("bucket"), "node").union(
+        centres.select(F.col("centre").alias("bucket"), F.col("centre").alias("node"))
+    )
+    small, large = _by_size(whole.withColumn("label", F.col("node")), bounds)
+    near = stash(
+        bounds.join(small.select("bucket", "node"), "node").groupBy("bucket").applyInArrow(_near(pct), _LINK)
+    )
+    groups = components(near).select(F.col("component").alias("centre"), "node")
+    large = large.select(F.col("bucket").alias("centre"), "node")
+    return stash(groups.union(large).where("node <> centre").distinct())
+
+
 def set_digest(found: np.ndarray) -> bytes | None:
     """128 bits that tell a set of hashes; none of an empty one."""
     if not len(found):
@@ -322,13 +380,15 @@ def key_buckets(keyed: DataFrame) -> DataFrame:
     return stash(usual.union(busy).where("node <> centre").select("centre", "node").distinct())
 
 
-def sign(named: DataFrame, signer: Callable) -> DataFrame:
+def sign(named: DataFrame, signer: Callable, *, has_counts: bool = False) -> DataFrame:
     """`(doc_id, text_hash, n_shingles, class, keys, row)`, a stored table, of `(doc_id, text)`.
 
-    `signer` gets batches of ids, texts and hashes, and returns the other columns but `row`.
+    `signer` gets batches of ids, texts and hashes, and returns the other columns but
+    `row`; with `has_counts`, also `counts`, the `bin_counts` of the set.
     """
     hashed = named.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     schema = "doc_id long, text_hash long, n_shingles long, class binary, keys array<long>"
+    schema += ", counts binary" if has_counts else ""
     return stash(hashed.mapInArrow(signer, schema).withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -337,7 +397,8 @@ def component_ids(
 ) -> DataFrame:
     """`(doc_id, n_shingles, component_id)` for each row of `named`, which has `(doc_id, text)`.
 
-    `signed` is its result of `sign`, where any two similar sets share a key.
+    `signed` is its result of `sign`, where any two similar sets share a key. Where
+    it has counts, buckets are narrowed by them before any set is moved.
     Rows of one set are a class, and only its first row goes on; its text is
     read again where it shares a key with another. Rows of one id are one document.
     """
@@ -352,6 +413,9 @@ def component_ids(
     others = stash(members.where("row <> node").select("row"))
     keyed = usable.select("row", "keys").join(_measured(others), "row", "left_anti").withColumnRenamed("row", "node")
     buckets = key_buckets(keyed)
+    if "counts" in signed.columns:
+        bounds = usable.select(F.col("row").alias("node"), F.col("n_shingles").alias("size"), "counts")
+        buckets = narrowed(buckets, bounds, pct)
     nodes = buckets.select(F.explode(F.array("node", "centre")).alias("node")).distinct()
     nodes = stash(lookup(nodes, classes.select("node", "doc_id", "text_hash", "class"), "node"))
     sets = stash(
