@@ -8,33 +8,35 @@ from pyspark.sql import functions as F
 from ..operators.lookup import lookup
 from .common import shared_folder, stash
 
+BROADCAST_ROWS = 1 << 18  # of ids and digests: some 20 MB
+
 
 def components(edges: DataFrame) -> DataFrame:
     """`(node, component)`: the least node that `(a, b)` edges reach.
 
     Each round takes the least label of the neighbours and then the label of
     that label, so chains shorten by more than half. A hub's edges are combined
-    before the shuffle. Every round is cut off by a checkpoint.
+    before the shuffle, of which a round has one while the labels are few enough
+    to be broadcast; beyond, Spark shuffles for the joins too. Every round is cut
+    off by a stored table.
     """
     shared_folder(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    both = stash(both)
+    both = stash(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
                    .select("node", F.least("node", "m").alias("component")))
+    hint = F.broadcast if labels.count() <= BROADCAST_ROWS else lambda table: table
     while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("component").alias("near"))
+        near = both.join(hint(labels.withColumnRenamed("node", "b")), "b").select(
+            F.col("a").alias("node"), F.col("component").alias("low"), F.lit(None).cast("long").alias("was")
         )
-        lowered = labels.join(near, "node").select(
-            "node", F.least("component", "near").alias("low"), F.col("component").alias("was")
+        lowered = (
+            near.union(labels.select("node", "component", F.col("component").alias("was")))
+            .groupBy("node")
+            .agg(F.min("low").alias("low"), F.max("was").alias("was"))
         )
         far = labels.select(F.col("node").alias("low"), F.col("component").alias("far"))
         moved = stash(
-            lookup(lowered, far, "low").select(
-                "node", F.least("low", "far").alias("component"), "was"
-            )
+            lookup(lowered, hint(far), "low").select("node", F.least("low", "far").alias("component"), "was")
         )
         labels = moved.select("node", "component")
         if moved.where("component <> was").isEmpty():

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lookup import lookup
 from .common import mix64, slices, stash
-from .components import components
+from .components import BROADCAST_ROWS, components
 from .shingles import Powers, shingle_sets
 
 # Sent with the task, so executors need no copy of this package.
@@ -40,7 +40,6 @@ WEIGHT = 1 << 20  # shingles of a group
 COLUMNS = 2048
 RANGE = 1 << 18
 CELLS = 1 << 12
-BROADCAST_ROWS = 1 << 18  # of ids and digests: some 20 MB
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -289,6 +288,8 @@ def _near(pct: int) -> Callable[[pa.Table], pa.Table]:
             np.minimum(c.reshape(width, -1).sum(axis=1, dtype=np.int32), 255) for c in counts
         ]).astype(np.int16)
         left, right = [], []
+        order = np.argsort(node)
+        node, size, table = node[order], size[order], table[order]
         for k in range(len(node) - 1):
             apart = np.abs(table[k + 1 :] - table[k]).sum(axis=1, dtype=np.int64)
             other = size[k + 1 :]
@@ -299,8 +300,17 @@ def _near(pct: int) -> Callable[[pa.Table], pa.Table]:
             left.append(np.full(len(right[-1]), k))
         i = np.concatenate([np.zeros(0, np.int64), *left])
         j = np.concatenate([np.zeros(0, np.int64), *right])
-        some = _forest(i, j)
-        return _pairs(node[i[some]], node[j[some]])
+        label = np.arange(len(node))
+        while len(i):  # least labels, so that every set has an edge to the first of its own
+            lower = label.copy()
+            np.minimum.at(lower, i, label[j])
+            np.minimum.at(lower, j, label[i])
+            lower = lower[lower]
+            if (lower == label).all():
+                break
+            label = lower
+        moved = np.flatnonzero(label != np.arange(len(node)))
+        return _pairs(node[label[moved]], node[moved])
 
     return compare
 
