@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterable, Iterator
 
@@ -53,6 +54,18 @@ def in_share(hashed: Column, rows: int, of: int) -> Column:
     return F.pmod(hashed, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
 
 
+def give_back() -> None:
+    """Memory that this worker holds but does not use goes back to the machine.
+
+    A worker lives on after its task, and what allocators keep for it would be
+    missing to the next stage of a job.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU only
+    if trim is not None:
+        trim(0)
+
+
 def slices(column: pa.Array, most_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """`(first, end, bytes, offsets)` of runs of texts, about `most_bytes` long.
 
@@ -73,12 +86,14 @@ def slices(column: pa.Array, most_bytes: int = 1 << 18) -> Iterator[tuple[int, i
         end = min(n, max(end, first + 1))
         yield first, end, raw[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+    give_back()
 
 
 def few(column: pa.Array, rows: int = 256) -> Iterator[list]:
     """The values of a batch, some rows at a time, so that they are not all there twice."""
     for first in range(0, len(column), rows):
         yield column.slice(first, rows).to_pylist()
+    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
